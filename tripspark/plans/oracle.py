@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+from tripspark.vocab import STATION_COORDS
+
 BUCKET = "CAST(FLOOR({0} / 300.0) AS BIGINT) * 300"
 
 
@@ -122,10 +124,69 @@ SELECT *, CAST(total_time_s AS DOUBLE) AS actual,
        4300 + off - CASE WHEN trip_id % 11 = 4 THEN 700 ELSE 0 END AS q4,
        4500 + off - CASE WHEN trip_id % 11 = 5 THEN 700 ELSE 0 END AS q5,
        CAST(2600 + 40 * ABS(pu_zone - do_zone) + 5 * (trip_id % 3) AS DOUBLE) AS baseline
-FROM (SELECT *, CAST(15 * (pu_zone % 5) + 10 * (trip_id % 7) AS DOUBLE) AS off FROM split_trips)""",
+FROM (SELECT *, CAST(15 * (pu_zone % 5) + 10 * (trip_id % 7) AS DOUBLE) AS off FROM enriched)""",
     "scored": "SELECT * FROM scored_all WHERE split = 'test'",
 }
 
+VIEWS["weather_parsed"] = """
+SELECT station, CAST(FLOOR(epoch(CAST(stamp AS TIMESTAMP)) / 3600) AS BIGINT) * 3600 AS hour_s,
+  CASE WHEN ABS(TRY_CAST(string_split(TMP, ',')[1] AS INT)) <> 9999
+       THEN TRY_CAST(string_split(TMP, ',')[1] AS INT) / CAST(10 AS DOUBLE) END AS temp_c,
+  CASE WHEN TRY_CAST(string_split(WND, ',')[4] AS INT) <> 9999
+       THEN TRY_CAST(string_split(WND, ',')[4] AS INT) / CAST(10 AS DOUBLE) END AS wind_ms,
+  CASE WHEN TRY_CAST(string_split(VIS, ',')[1] AS INT) <> 999999
+       THEN CAST(TRY_CAST(string_split(VIS, ',')[1] AS INT) AS DOUBLE) END AS visibility_m,
+  CASE WHEN TRY_CAST(string_split(AA1, ',')[2] AS INT) <> 9999 AND TRY_CAST(string_split(AA1, ',')[1] AS INT) > 0
+            AND TRY_CAST(string_split(AA1, ',')[1] AS INT) < 24
+       THEN TRY_CAST(string_split(AA1, ',')[2] AS INT) / CAST(10 AS DOUBLE)
+            / TRY_CAST(string_split(AA1, ',')[1] AS INT) END AS precip_mm_h,
+  CASE WHEN TRY_CAST(string_split(AJ1, ',')[1] AS INT) BETWEEN 0 AND 500
+       THEN CAST(TRY_CAST(string_split(AJ1, ',')[1] AS INT) AS DOUBLE) END AS snow_depth_cm
+FROM weather_reports"""
+VIEWS["weather_hours"] = """
+SELECT station, hour_s, AVG(temp_c) AS temp_c, AVG(wind_ms) AS wind_ms, MIN(visibility_m) AS visibility_m,
+       MAX(precip_mm_h) AS precip_mm_h, MAX(snow_depth_cm) AS snow_depth_cm
+FROM weather_parsed GROUP BY 1, 2"""
+VIEWS["weather_grid"] = """
+SELECT s.station, h.hour_s FROM (SELECT DISTINCT station FROM weather_parsed) s,
+       (SELECT unnest(generate_series(MIN(hour_s), MAX(hour_s), 3600)) AS hour_s FROM weather_parsed) h"""
+VIEWS["weather_filled"] = (
+    "SELECT g.station, g.hour_s, "
+    + ", ".join(
+        f"last_value({c} IGNORE NULLS) OVER (PARTITION BY g.station ORDER BY g.hour_s "
+        f"ROWS BETWEEN {n} PRECEDING AND CURRENT ROW) AS {c}"
+        for c, n in (("temp_c", 2), ("wind_ms", 2), ("visibility_m", 2), ("snow_depth_cm", 24))
+    )
+    + """, COALESCE(precip_mm_h, 0) AS precip_mm_h FROM weather_grid g
+LEFT JOIN weather_hours o ON g.station = o.station AND g.hour_s = o.hour_s"""
+)
+_KM = " ".join(
+    f"""2 * 6371.0088 * asin(sqrt(pow(sin((radians(centroid_lat) - radians(CAST({lat} AS DOUBLE))) / 2), 2)
+    + cos(radians(centroid_lat)) * cos(radians(CAST({lat} AS DOUBLE)))
+    * pow(sin((radians(centroid_lon) - radians(CAST({lon} AS DOUBLE))) / 2), 2))) AS km_{i},"""
+    for i, (lat, lon) in enumerate(STATION_COORDS.values())
+)
+VIEWS["zone_stations"] = f"""
+SELECT zone_id, LEAST(km_0, km_1, km_2, km_3) AS km,
+       CASE LEAST(km_0, km_1, km_2, km_3) WHEN km_0 THEN 'central_park' WHEN km_1 THEN 'lga' WHEN km_2 THEN 'jfk'
+            ELSE 'ewr' END AS station
+FROM (SELECT {_KM} zone_id FROM zones)"""
+VIEWS["enriched"] = """
+SELECT t.*, CAST(w.temp_c AS FLOAT) AS temp_c, CAST(w.wind_ms AS FLOAT) AS wind_ms,
+       CAST(w.visibility_m AS FLOAT) AS visibility_m, CAST(w.precip_mm_h AS FLOAT) AS precip_mm_h,
+       CAST(w.snow_depth_cm AS FLOAT) AS snow_depth_cm,
+       CASE WHEN CAST(w.temp_c AS FLOAT) <= 0 AND COALESCE(CAST(w.precip_mm_h AS FLOAT), 0) >= CAST(0.5 AS DOUBLE)
+              THEN 'snow'
+            WHEN COALESCE(CAST(w.precip_mm_h AS FLOAT), 0) >= CAST(0.2 AS DOUBLE) THEN 'rain' ELSE 'clear' END
+         AS seg_weather,
+       CASE WHEN t.split = 'holdout' THEN CAST(LEAST(255, GREATEST(0,
+         (t.request_local_s // 86400 - date_diff('day', DATE '1970-01-01', DATE '2001-01-01')) // 7)) AS SMALLINT) END
+         AS holdout_week
+FROM split_trips t LEFT JOIN zone_stations z ON t.pu_zone = z.zone_id
+LEFT JOIN weather_filled w ON w.station = z.station AND w.hour_s = (t.request_s // 3600) * 3600"""
+
+
+
 ROLLING = ",\n".join(
     f"SUM({m}) OVER (PARTITION BY zone ORDER BY bucket_s RANGE BETWEEN {60 * w - 1} PRECEDING AND CURRENT ROW) AS {m}_{w}m"
     for w in (15, 30, 60)
@@ -136,7 +197,7 @@ PI2 = repr(2 * math.pi)
 
 
 def _needs(sql: str) -> list[str]:
-    return [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
+    return [name for name in VIEWS if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql)]
 
 
 def with_views(sql: str) -> str:
@@ -150,7 +211,19 @@ def with_views(sql: str) -> str:
             stack += [n for n in _needs(VIEWS[name]) if n != name]
     if not wanted:
         return sql.strip()
-    parts = [f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in wanted]
+    ordered: list[str] = []
+
+    def place(name: str) -> None:
+        if name not in ordered:
+            for other in _needs(VIEWS[name]):
+                if other != name:
+                    place(other)
+            ordered.append(name)
+
+    for name in VIEWS:
+        if name in wanted:
+            place(name)
+    parts = [f"{name} AS ({VIEWS[name].strip()})" for name in ordered]
     body = sql.strip()
     if body.upper().startswith("WITH "):
         body = body[5:]

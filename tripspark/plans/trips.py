@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripspark.functions import clock, sampling, segments
-from tripspark.operators import card, cleaning, enrichment, weather, zone_state
+from tripspark.operators import card, cleaning, weather, zone_state
 from tripspark.plans.catalog import query
 from tripspark.plans.oracle import VIEWS
 from tripspark.session import fresh_path
@@ -171,64 +171,6 @@ def sampling_tiers(spark, sf):
 
 # ---- weather and segments --------------------------------------------------------------------------------
 
-VIEWS["weather_parsed"] = """
-SELECT station, CAST(FLOOR(epoch(CAST(stamp AS TIMESTAMP)) / 3600) AS BIGINT) * 3600 AS hour_s,
-  CASE WHEN ABS(TRY_CAST(string_split(TMP, ',')[1] AS INT)) <> 9999
-       THEN TRY_CAST(string_split(TMP, ',')[1] AS INT) / CAST(10 AS DOUBLE) END AS temp_c,
-  CASE WHEN TRY_CAST(string_split(WND, ',')[4] AS INT) <> 9999
-       THEN TRY_CAST(string_split(WND, ',')[4] AS INT) / CAST(10 AS DOUBLE) END AS wind_ms,
-  CASE WHEN TRY_CAST(string_split(VIS, ',')[1] AS INT) <> 999999
-       THEN CAST(TRY_CAST(string_split(VIS, ',')[1] AS INT) AS DOUBLE) END AS visibility_m,
-  CASE WHEN TRY_CAST(string_split(AA1, ',')[2] AS INT) <> 9999 AND TRY_CAST(string_split(AA1, ',')[1] AS INT) > 0
-            AND TRY_CAST(string_split(AA1, ',')[1] AS INT) < 24
-       THEN TRY_CAST(string_split(AA1, ',')[2] AS INT) / CAST(10 AS DOUBLE)
-            / TRY_CAST(string_split(AA1, ',')[1] AS INT) END AS precip_mm_h,
-  CASE WHEN TRY_CAST(string_split(AJ1, ',')[1] AS INT) BETWEEN 0 AND 500
-       THEN CAST(TRY_CAST(string_split(AJ1, ',')[1] AS INT) AS DOUBLE) END AS snow_depth_cm
-FROM weather_reports"""
-VIEWS["weather_hours"] = """
-SELECT station, hour_s, AVG(temp_c) AS temp_c, AVG(wind_ms) AS wind_ms, MIN(visibility_m) AS visibility_m,
-       MAX(precip_mm_h) AS precip_mm_h, MAX(snow_depth_cm) AS snow_depth_cm
-FROM weather_parsed GROUP BY 1, 2"""
-VIEWS["weather_grid"] = """
-SELECT s.station, h.hour_s FROM (SELECT DISTINCT station FROM weather_parsed) s,
-       (SELECT unnest(generate_series(MIN(hour_s), MAX(hour_s), 3600)) AS hour_s FROM weather_parsed) h"""
-VIEWS["weather_filled"] = (
-    "SELECT g.station, g.hour_s, "
-    + ", ".join(
-        f"last_value({c} IGNORE NULLS) OVER (PARTITION BY g.station ORDER BY g.hour_s "
-        f"ROWS BETWEEN {n} PRECEDING AND CURRENT ROW) AS {c}"
-        for c, n in (("temp_c", 2), ("wind_ms", 2), ("visibility_m", 2), ("snow_depth_cm", 24))
-    )
-    + """, COALESCE(precip_mm_h, 0) AS precip_mm_h FROM weather_grid g
-LEFT JOIN weather_hours o ON g.station = o.station AND g.hour_s = o.hour_s"""
-)
-_KM = " ".join(
-    f"""2 * 6371.0088 * asin(sqrt(pow(sin((radians(centroid_lat) - radians(CAST({lat} AS DOUBLE))) / 2), 2)
-    + cos(radians(centroid_lat)) * cos(radians(CAST({lat} AS DOUBLE)))
-    * pow(sin((radians(centroid_lon) - radians(CAST({lon} AS DOUBLE))) / 2), 2))) AS km_{i},"""
-    for i, (lat, lon) in enumerate(weather.STATION_COORDS.values())
-)
-VIEWS["zone_stations"] = f"""
-SELECT zone_id, LEAST(km_0, km_1, km_2, km_3) AS km,
-       CASE LEAST(km_0, km_1, km_2, km_3) WHEN km_0 THEN 'central_park' WHEN km_1 THEN 'lga' WHEN km_2 THEN 'jfk'
-            ELSE 'ewr' END AS station
-FROM (SELECT {_KM} zone_id FROM zones)"""
-VIEWS["enriched"] = """
-SELECT t.*, CAST(w.temp_c AS FLOAT) AS temp_c, CAST(w.wind_ms AS FLOAT) AS wind_ms,
-       CAST(w.visibility_m AS FLOAT) AS visibility_m, CAST(w.precip_mm_h AS FLOAT) AS precip_mm_h,
-       CAST(w.snow_depth_cm AS FLOAT) AS snow_depth_cm,
-       CASE WHEN CAST(w.temp_c AS FLOAT) <= 0 AND COALESCE(CAST(w.precip_mm_h AS FLOAT), 0) >= CAST(0.5 AS DOUBLE)
-              THEN 'snow'
-            WHEN COALESCE(CAST(w.precip_mm_h AS FLOAT), 0) >= CAST(0.2 AS DOUBLE) THEN 'rain' ELSE 'clear' END
-         AS seg_weather,
-       CASE WHEN t.split = 'holdout' THEN CAST(LEAST(255, GREATEST(0,
-         (t.request_local_s // 86400 - date_diff('day', DATE '1970-01-01', DATE '2001-01-01')) // 7)) AS SMALLINT) END
-         AS holdout_week
-FROM split_trips t LEFT JOIN zone_stations z ON t.pu_zone = z.zone_id
-LEFT JOIN weather_filled w ON w.station = z.station AND w.hour_s = (t.request_s // 3600) * 3600"""
-
-
 def _rounded(names, digits=6):
     return [F.round(F.col(c).cast("double"), digits).alias(c) for c in names]
 
@@ -237,21 +179,6 @@ def _sql_rounded(names, digits=6):
     return ", ".join(f"ROUND(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in names)
 
 
-def filled_weather(spark: SparkSession, sf: str) -> DataFrame:
-    return weather.fill_gaps(weather.hourly(weather.parse_reports(d.weather_reports(spark, sf))))
-
-
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    zones = d.zones(spark, sf)
-    return enrichment.enrich(
-        cleaning.clean(d.trips(spark, sf)),
-        filled_weather(spark, sf),
-        zones,
-        weather.station_by_zone(zones),
-        d.SETTINGS,
-    )
-
-
 @query(
     "weather_reports_parsed",
     "S3 P10 P11 A2",
@@ -270,7 +197,7 @@ def weather_reports_parsed(spark, sf):
     f"SELECT station, hour_s, {_sql_rounded(WEATHER_COLUMNS)} FROM weather_filled",
 )
 def weather_hours_filled(spark, sf):
-    return filled_weather(spark, sf).select("station", "hour_s", *_rounded(WEATHER_COLUMNS))
+    return d.filled_weather(spark, sf).select("station", "hour_s", *_rounded(WEATHER_COLUMNS))
 
 
 @query(
@@ -281,7 +208,7 @@ def weather_hours_filled(spark, sf):
     + " FROM weather_filled GROUP BY 1",
 )
 def weather_still_missing(spark, sf):
-    return weather.null_counts(filled_weather(spark, sf))
+    return weather.null_counts(d.filled_weather(spark, sf))
 
 
 @query(
@@ -308,7 +235,7 @@ def trips_by_station(spark, sf):
 )
 def trip_weather(spark, sf):
     joined = weather.join_weather(
-        cleaning.clean(d.trips(spark, sf)), filled_weather(spark, sf), weather.station_by_zone(d.zones(spark, sf))
+        cleaning.clean(d.trips(spark, sf)), d.filled_weather(spark, sf), weather.station_by_zone(d.zones(spark, sf))
     )
     return joined.select("trip_id", *_rounded(WEATHER_COLUMNS, 4))
 
@@ -321,7 +248,7 @@ def trip_weather(spark, sf):
 )
 def segment_buckets(spark, sf):
     key = segments.segment_key(F.col("seg_time"), F.col("seg_zone_density"), F.col("seg_weather"))
-    return enriched(spark, sf).select("trip_id", *SEGMENT_COLUMNS, key.alias("segment_key"))
+    return d.enrich_trips(spark, sf).select("trip_id", *SEGMENT_COLUMNS, key.alias("segment_key"))
 
 
 @query(
@@ -331,7 +258,7 @@ def segment_buckets(spark, sf):
               MAX(request_s) AS last_s FROM enriched GROUP BY 1, 2""",
 )
 def splits_and_holdout_weeks(spark, sf):
-    return enriched(spark, sf).groupBy("split", F.col("holdout_week").cast("int").alias("holdout_week")).agg(
+    return d.enrich_trips(spark, sf).groupBy("split", F.col("holdout_week").cast("int").alias("holdout_week")).agg(
         F.count("*").alias("rows"), F.min("request_s").alias("first_s"), F.max("request_s").alias("last_s")
     )
 
@@ -451,7 +378,7 @@ _AXES = ("split", *SEGMENT_COLUMNS)
     ),
 )
 def target_by_bucket(spark, sf):
-    return card.by_bucket(enriched(spark, sf)).withColumn("share_pct", F.round("share_pct", 4))
+    return card.by_bucket(d.enriched(spark, sf)).withColumn("share_pct", F.round("share_pct", 4))
 
 
 _MISSABLE = ("on_scene_s", "dispatch_approach_s", "curb_wait_s", "temp_c", "wind_ms", "visibility_m", "snow_depth_cm")
@@ -467,7 +394,7 @@ _MISSABLE = ("on_scene_s", "dispatch_approach_s", "curb_wait_s", "temp_c", "wind
     ),
 )
 def missing_values(spark, sf):
-    return card.missingness(enriched(spark, sf), _MISSABLE).withColumn("missing_pct", F.round("missing_pct", 4))
+    return card.missingness(d.enriched(spark, sf), _MISSABLE).withColumn("missing_pct", F.round("missing_pct", 4))
 
 
 @query(
@@ -480,7 +407,7 @@ SELECT COUNT(*) AS cells, CAST(SUM(rows) AS BIGINT) AS rows, COUNT(*) FILTER (ro
        CAST(COALESCE(SUM(rows) FILTER (rows < 500), 0) AS BIGINT) AS rows_in_thin_cells, MIN(rows) AS smallest FROM g""",
 )
 def calibration_grid(spark, sf):
-    return card.grid_viability(enriched(spark, sf).filter("split = 'cal'"), 500)
+    return card.grid_viability(d.enriched(spark, sf).filter("split = 'cal'"), 500)
 
 
 @query(
@@ -491,7 +418,7 @@ def calibration_grid(spark, sf):
        ORDER BY rows, seg_time, seg_trip_length, seg_zone_density, seg_weather LIMIT 8""",
 )
 def thinnest_cells(spark, sf):
-    return card.thinnest_cells(enriched(spark, sf).filter("split = 'cal'"), 500)
+    return card.thinnest_cells(d.enriched(spark, sf).filter("split = 'cal'"), 500)
 
 
 # ---- flagship --------------------------------------------------------------------------------------------
@@ -512,7 +439,14 @@ FROM j GROUP BY 1, 2""",
 )
 def trip_time_and_zone_load(spark, sf):
     """p50 and p90 trip time and mean zone load by split and time bucket, for clean trips."""
-    return load_report(d.split_trips(spark, sf))
+    return load_report(with_split_and_time(cleaning.clean(d.trips(spark, sf))))
+
+
+def with_split_and_time(trips: DataFrame) -> DataFrame:
+    local, cfg = F.col("request_local_s"), d.SETTINGS
+    return trips.withColumns(
+        {"split": segments.split_of(local, cfg.splits), "seg_time": segments.time_bucket(local, cfg.segments)}
+    )
 
 
 def load_report(trips: DataFrame) -> DataFrame:

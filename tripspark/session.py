@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +46,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table once and read it back.
 
     Lineage is cut on reliable storage, so a lost executor costs a re-read and not a re-run, and the
     planner sees the true size: it broadcasts the table only when that is under the session's limit.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written_once(
+    spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """A derived table that many jobs read: written by the first of them in this application."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(build(), name, partition_by)
+    return _WRITTEN[key]

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripspark.config import CalibrationConfig, SegmentConfig, Settings, SplitConfig
-from tripspark.functions import clock, segments
-from tripspark.operators import cleaning
+from tripspark.functions import clock
+from tripspark.operators import cleaning, enrichment, weather
+from tripspark.session import written_once
 
 SETTINGS = Settings(
     splits=SplitConfig(
@@ -42,6 +43,11 @@ def _day(ts: str) -> F.Column:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw trip table, written once per application as the trip files every job starts from."""
+    return written_once(spark, sf_dir, "trips", lambda: derive_trips(spark, sf_dir))
+
+
+def derive_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dirty trip per order line. Wall clock and instant coincide."""
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
@@ -143,22 +149,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def split_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean trips with target, split, holdout week and the segments that need no weather."""
-    cfg = SETTINGS
-    local = F.col("request_local_s")
-    density = zones(spark, sf_dir).select(
-        F.col("zone_id").alias("pu_zone"),
-        segments.density_bucket(F.col("zone_id"), F.col("borough"), cfg.segments).alias("seg_zone_density"),
-    )
-    tagged = cleaning.clean(trips(spark, sf_dir)).withColumns(
-        {
-            "split": segments.split_of(local, cfg.splits),
-            "seg_time": segments.time_bucket(local, cfg.segments),
-            "seg_trip_length": segments.trip_length_bucket(F.col("trip_miles"), cfg.segments),
-        }
+def filled_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weather.fill_gaps(weather.hourly(weather.parse_reports(weather_reports(spark, sf_dir))))
+
+
+def enrich_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zone_table = zones(spark, sf_dir)
+    return enrichment.enrich(
+        cleaning.clean(trips(spark, sf_dir)),
+        filled_weather(spark, sf_dir),
+        zone_table,
+        weather.station_by_zone(zone_table),
+        SETTINGS,
     )
-    return tagged.join(density, "pu_zone", "left")
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched trip table, written once per application by split so that split filters prune folders."""
+    return written_once(spark, sf_dir, "enriched", lambda: enrich_trips(spark, sf_dir), ["split"])
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +195,7 @@ def scored(spark: SparkSession, sf_dir: str, splits: tuple[str, ...] = ("test",)
 
     The promises are arithmetic on request-time columns, cross now and then, and repeat a lot of values.
     """
-    base = split_trips(spark, sf_dir).filter(F.col("split").isin(*splits))
+    base = enriched(spark, sf_dir).filter(F.col("split").isin(*splits))
     return base.selectExpr(
         "*",
         "CAST(total_time_s AS DOUBLE) AS actual",
