@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripspark.functions import clock, vectors
 from tripspark.functions.scores import clip_low
 from tripspark.operators.lookups import join_by_domain
 from tripspark.operators.zone_state import attach_state
-from tripspark.vocab import BOROUGH_IDS, POST_HOC_COLUMNS, EVAL_ONLY_COLUMNS, WEATHER_COLUMNS, WINDOWS_MIN
+from tripspark.vocab import BOROUGH_IDS, EVAL_ONLY_COLUMNS, POST_HOC_COLUMNS, WEATHER_COLUMNS, WINDOWS_MIN
 
 FAMILIES = ("route", "temporal", "congestion", "zone", "weather")
 
@@ -154,19 +155,23 @@ def default_registry() -> Registry:
     return registry
 
 
-def check_no_leakage(frame: DataFrame, features: Sequence[str]) -> None:
-    """Refuse features that are, or whose plan reads, columns known only after the trip.
+# The trip layout's own names for columns that are only known after the trip.
+LATE_COLUMNS = POST_HOC_COLUMNS | EVAL_ONLY_COLUMNS | {"on_scene_s", "pickup_s", "dropoff_s"}
 
-    The zone state is built from finished trips by design; it enters as its own columns, joined strictly before
-    the request, so it does not count as a read of the request's own outcome.
+
+def check_no_leakage(assembled: DataFrame, registry: Registry) -> None:
+    """Refuse features that read a column known only after the trip.
+
+    The features are analysed over the frame without those columns, so any read of one fails by name. The zone
+    state is built from finished trips by design; it enters as its own columns, strictly before the request.
     """
-    banned = POST_HOC_COLUMNS | EVAL_ONLY_COLUMNS
-    named = banned.intersection(features)
+    named = LATE_COLUMNS.intersection(registry.names)
     if named:
         raise ValueError(f"features known only after the trip: {sorted(named)}")
-    absent = [f for f in features if f not in frame.columns]
-    if absent:
-        raise ValueError(f"features missing from the frame: {absent}")
+    try:
+        _ = registry.frame(assembled.drop(*LATE_COLUMNS)).schema
+    except AnalysisException as error:
+        raise ValueError(f"a feature reads a column known only after the trip: {error}") from error
 
 
 @dataclass(frozen=True)

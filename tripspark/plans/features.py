@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripspark.functions import segments, vectors
+from tripspark.functions import vectors
 from tripspark.operators import dataset, features, zone_state
 from tripspark.plans import reference
 from tripspark.plans.catalog import query
@@ -13,9 +13,7 @@ from tripspark.session import fresh_path, written_once
 from tripspark.sources import driver_tables as d
 from tripspark.vocab import HOLIDAYS, MAX_ZONE_ID, WINDOWS_MIN, WEATHER_COLUMNS
 
-REGISTRY_NAMES = dataset.feature_names
 KEY = ("trip_id", "pu_zone")
-_FLOATS_4 = 4
 
 
 def static_tables(spark: SparkSession, sf: str) -> features.StaticTables:
@@ -217,13 +215,14 @@ def population_digest(spark, sf):
     "SELECT CAST(44 AS BIGINT) AS features, CAST(0 AS BIGINT) AS post_hoc, COUNT(*) AS rows FROM featured",
 )
 def leakage_boundary(spark, sf):
-    """Feature and post-hoc counts of the model matrix; the check raises if a feature leaks."""
-    matrix = model_matrix(spark, sf)
-    names = features.default_registry().names
-    features.check_no_leakage(matrix, names)
-    leaked = len(set(names) & (features.POST_HOC_COLUMNS | features.EVAL_ONLY_COLUMNS))
-    return matrix.agg(F.count("*").alias("rows")).select(
-        F.lit(len(names)).cast("bigint").alias("features"), F.lit(leaked).cast("bigint").alias("post_hoc"), "rows"
+    """Features and late columns among them, over the model rows; the check raises if a feature leaks."""
+    registry = features.default_registry()
+    enriched = d.enriched(spark, sf)
+    assembled = features.assemble(enriched, static_tables(spark, sf), zone_state.zone_state(enriched))
+    features.check_no_leakage(assembled, registry)
+    leaked = len(features.LATE_COLUMNS.intersection(registry.names))
+    return model_matrix(spark, sf).agg(F.count("*").alias("rows")).select(
+        F.lit(len(registry)).cast("bigint").alias("features"), F.lit(leaked).cast("bigint").alias("post_hoc"), "rows"
     )
 
 
