@@ -21,13 +21,19 @@ Rank = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Quantile:
-    """Which order statistics a quantile reads, as 1-based ranks of ``n`` values."""
+    """Which order statistics a quantile reads, as 1-based ranks of ``n`` values.
 
-    q: float
+    ``q`` is a number, or the name of a group column that holds one.
+    """
+
+    q: float | str
     method: str = "linear"
 
+    def level(self) -> Column:
+        return F.col(self.q) if isinstance(self.q, str) else F.lit(float(self.q))
+
     def position(self, n: Column) -> Column:
-        return (n - 1) * F.lit(float(self.q))
+        return (n - 1) * self.level()
 
     def ranks(self) -> tuple[Rank, ...]:
         if self.method == "linear":
@@ -39,7 +45,7 @@ class Quantile:
             return (lambda n: F.floor(self.position(n) + 0.5) + 1,)
         if self.method == "conformal":
             # q is the miss rate; a rank beyond the sample falls back to the largest value.
-            return (lambda n: F.least(F.ceil((n + 1) * F.lit(1.0 - self.q)), n),)
+            return (lambda n: F.least(F.ceil((n + 1) * (F.lit(1.0) - self.level())), n),)
         raise ValueError(f"unknown quantile method {self.method!r}")
 
     def combine(self, values: Sequence[Column], n: Column) -> Column:
