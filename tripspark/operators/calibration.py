@@ -16,6 +16,7 @@ from tripspark.functions import scores, vectors
 from tripspark.operators.evaluation import by_segment
 from tripspark.operators.lookups import null_safe
 from tripspark.operators.orderstats import Quantile, group_quantiles, row_edges, slice_of
+from tripspark.session import materialize
 from tripspark.vocab import MIN_SEGMENT_ROWS, REQUEST_TIME_SEGMENTS, SEGMENT_BUCKETS, SEGMENT_COLUMNS
 
 SCORE_WIDTH = 1.0
@@ -179,7 +180,7 @@ def split_conformal(cal: DataFrame, risk: float, keys: Sequence[str] = ()) -> Da
     out = group_quantiles(
         with_scores(cal), list(keys), "score", {"q_s": Quantile(risk, "conformal")}, width=SCORE_WIDTH
     )
-    return out.select(*keys, "q_s", "n")
+    return materialize(out.select(*keys, "q_s", "n"), "split-widths")
 
 
 def mondrian_conformal(
@@ -190,7 +191,7 @@ def mondrian_conformal(
     Scores are counted per cell and value first; those counts go to the margins that serve some cell, and to no
     other, so the rows themselves are never multiplied. Columns keys, axes, cell_rows, gid, n, q_s.
     """
-    plan = cell_plan(cal, axes, floor, keys)
+    plan = materialize(cell_plan(cal, axes, floor, keys), "cell-plan")
     needed = plan.select(*keys, F.col("margin").alias("_needed")).distinct()
     everything = (1 << len(axes)) - 1
     members = plan.select(*keys, *axes).withColumn("gid", F.explode(F.sequence(F.lit(0), F.lit(everything))))
@@ -205,7 +206,7 @@ def mondrian_conformal(
     ).select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("margin").alias("_q_margin"), "q_s")
     on = [(k, f"_q_{k}") for k in keys] + [("margin", "_q_margin")]
     joined = plan.join(widths, null_safe(plan, widths, on))
-    return joined.select(*keys, *axes, "cell_rows", "gid", "n", "q_s")
+    return materialize(joined.select(*keys, *axes, "cell_rows", "gid", "n", "q_s"), "cell-widths")
 
 
 def _known_buckets(axes: Sequence[str]) -> Column:
@@ -255,35 +256,30 @@ def _widen(frame: DataFrame) -> DataFrame:
 # ---- isotonic maps ---------------------------------------------------------------------------------------
 
 
-def _pool_adjacent(points: Column) -> Column:
-    """Increasing fit of points (x, y, w) sorted by x: at each point the largest, over starts at or before it, of
-    the smallest weighted mean over ends at or after it."""
-    n = F.size(points)
+def _pool_adjacent(maps: DataFrame) -> DataFrame:
+    """Adds ``ys``, the increasing fit of ``points`` (x, y, w) sorted by x: at each point the largest, over starts
+    at or before it, of the smallest weighted mean over ends at or after it. A map has at most 20 points."""
+    n = F.size("points")
 
-    def total(upto: Column, field: str) -> Column:
-        return F.aggregate(
-            F.slice(points, F.lit(1), upto),
-            F.lit(0.0),
-            lambda s, p: s + (p["y"] * p["w"] if field == "y" else p["w"]),
+    def totals(term) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), n),
+            lambda upto: F.aggregate(F.slice("points", F.lit(1), upto), F.lit(0.0), lambda s, p: s + term(p)),
         )
 
-    positions = F.sequence(F.lit(0), n)
-    sums = F.transform(positions, lambda i: total(i, "y"))
-    weights = F.transform(positions, lambda i: total(i, "w"))
+    summed = maps.withColumns({"_wy": totals(lambda p: p["y"] * p["w"]), "_w": totals(lambda p: p["w"])})
 
     def mean(a: Column, b: Column) -> Column:
-        return (F.element_at(sums, b + 1) - F.element_at(sums, a)) / (
-            F.element_at(weights, b + 1) - F.element_at(weights, a)
-        )
+        return (F.element_at("_wy", b + 1) - F.element_at("_wy", a)) / (F.element_at("_w", b + 1) - F.element_at("_w", a))
+
+    def lowest(a: Column, i: Column) -> Column:
+        return F.array_min(F.transform(F.sequence(i, n), lambda b: mean(a, b)))
 
-    return F.transform(
+    fit = F.transform(
         F.sequence(F.lit(1), n),
-        lambda i: F.array_max(
-            F.transform(
-                F.sequence(F.lit(1), i), lambda a: F.array_min(F.transform(F.sequence(i, n), lambda b: mean(a, b)))
-            )
-        ),
+        lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda a: lowest(a, i))),
     )
+    return summed.withColumn("ys", fit).drop("_wy", "_w")
 
 
 def interpolate(xs: Column, ys: Column, value: Column) -> Column:
@@ -318,6 +314,8 @@ def fit_isotonic(
 
     Rows are cut into equal-count bins by prediction; a bin gives its median prediction and the shift that makes
     its coverage exact. Buckets with few rows get no map of their own. A map with under two points is left out.
+    The small tables between the steps are written, so each step's plan starts from a table and not from all
+    steps before it.
     """
     per_level = F.array(
         *[F.struct(F.lit(float(a)).alias("level"), F.col("q")[i].alias("pred")) for i, a in enumerate(levels)]
@@ -329,7 +327,9 @@ def fit_isotonic(
     def parts(n: Column) -> Column:
         return F.least(F.lit(bins), F.greatest(F.floor(n / 200.0), F.lit(2)))
 
-    edges = row_edges(long, groups, "pred", "_tie", parts, bins, width=60.0, tie_width=tie_width)
+    edges = materialize(
+        row_edges(long, groups, "pred", "_tie", parts, width=60.0, tie_width=tie_width), "isotonic-edges"
+    )
     renamed = edges.select(*[F.col(g).alias(f"_b_{g}") for g in groups], "edges")
     # One row per bucket and level, both from fixed lists.
     cut = long.join(F.broadcast(renamed), null_safe(long, renamed, [(g, f"_b_{g}") for g in groups]))
@@ -342,7 +342,7 @@ def fit_isotonic(
     binned = [*groups, "bin"]
     centre = group_quantiles(cut, binned, "pred", {"x": Quantile(0.5)}, width=60.0)
     shift = group_quantiles(cut, binned, "residual", {"shift": Quantile("level")}, width=60.0)
-    points = centre.join(shift.drop("n"), binned)
+    points = materialize(centre.join(shift.drop("n"), binned), "isotonic-points")
     sizes = points.groupBy(*groups).agg(F.sum("n").alias("rows"))
     usable = points.filter(F.col("n") >= min_bin_rows)
     # Bins with the same centre count as one point with their mean.
@@ -354,9 +354,8 @@ def fit_isotonic(
     )
     maps = maps.filter(F.col("bins") >= 2).join(sizes, groups)
     maps = maps.filter((F.col("bucket") == ALL) | (F.col("rows") >= min_rows))
-    return maps.select(
-        *groups, F.col("points.x").alias("xs"), _pool_adjacent(F.col("points")).alias("ys"), "rows"
-    )
+    fitted = _pool_adjacent(maps).select(*groups, F.col("points.x").alias("xs"), "ys", "rows")
+    return materialize(fitted, "isotonic-maps")
 
 
 def apply_isotonic(
@@ -390,23 +389,45 @@ def apply_isotonic(
 def measure(
     frame: DataFrame, approach: str, settings: Settings, keys: Sequence[str], min_rows: int = MIN_SEGMENT_ROWS
 ) -> DataFrame:
-    """One row per key: point gaps at the served level, interval gaps, coverage and width."""
-    served = settings.model.levels[settings.served_index]
-    points = coverage_report(frame, settings.model.levels, keys=keys, min_rows=min_rows)
-    point = worst_segment(points.filter(F.col("nominal") == served), keys).withColumnsRenamed(
-        {"worst_gap_pp": "worst_point_gap_pp", "worst_segment": "worst_point_segment"}
+    """One row per key, from one pass: point gaps at the served level, interval gaps, coverage and width."""
+    level, target = settings.model.levels[settings.served_index], settings.calibration.target_coverage
+    actual = F.col("actual")
+    table = by_segment(
+        frame,
+        [
+            F.count("*").alias("rows"),
+            scores.share(actual <= F.col("q")[settings.served_index]).alias("point"),
+            scores.share(scores.covers(actual, F.col("lo"), F.col("hi"))).alias("band"),
+            F.avg(F.col("hi") - F.col("lo")).alias("width"),
+        ],
+        keys=keys,
     )
-    band = interval_coverage(frame, settings.calibration.target_coverage, keys=keys, min_rows=min_rows)
-    worst_band = worst_segment(band, keys).select(
-        *keys,
-        F.col("worst_gap_pp").alias("worst_interval_gap_pp"),
-        F.col("worst_segment").alias("worst_interval_segment"),
+    table = table.filter((F.col("axis") == "global") | (F.col("rows") >= min_rows)).withColumns(
+        {"point_gap": F.abs(F.col("point") - level) * 100.0, "band_gap": F.abs(F.col("band") - target) * 100.0}
+    )
+    whole = F.col("axis") == "global"
+
+    def worst(gap: str) -> Column:
+        return F.max(F.when(~whole, F.struct(F.col(gap).alias("gap"), F.col("axis"), F.col("bucket"))))
+
+    out = table.groupBy(*keys).agg(
+        F.max(F.when(whole, F.col("point_gap"))).alias("aggregate_gap_pp"),
+        worst("point_gap").alias("wp"),
+        worst("band_gap").alias("wb"),
+        F.max(F.when(whole, F.col("band"))).alias("interval_coverage"),
+        F.max(F.when(whole, F.col("width"))).alias("mean_width_s"),
     )
-    whole = band.filter("axis = 'global'").select(
-        *keys, F.col("empirical").alias("interval_coverage"), "mean_width_s"
+    return out.select(
+        F.lit(approach).alias("approach"),
+        *keys,
+        "aggregate_gap_pp",
+        F.col("wp.gap").alias("worst_point_gap_pp"),
+        F.concat_ws("=", "wp.axis", "wp.bucket").alias("worst_point_segment"),
+        F.col("wb.gap").alias("worst_interval_gap_pp"),
+        F.concat_ws("=", "wb.axis", "wb.bucket").alias("worst_interval_segment"),
+        "mean_width_s",
+        "interval_coverage",
     )
-    out = point.join(worst_band, list(keys)).join(whole, list(keys))
-    return out.select(F.lit(approach).alias("approach"), "*")
 
 
 def calibration_run(

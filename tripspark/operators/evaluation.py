@@ -118,9 +118,10 @@ def temporal_windows(
     n_windows = len(labels)
     marked = frame.withColumn("_all", F.lit(1))
     edges = row_edges(
-        marked, ["_all"], "request_s", tie, lambda n: F.lit(n_windows), n_windows, width=86_400.0, tie_width=tie_width
+        marked, ["_all"], "request_s", tie, lambda n: F.lit(n_windows), width=86_400.0, tie_width=tie_width
     )
-    sliced = marked.join(F.broadcast(_constant_group(edges)), "_all")
+    # One row.
+    sliced = marked.withColumn("edges", edges.select("edges").scalar())
     named = F.element_at(
         F.array(*[F.lit(x) for x in labels]), slice_of(F.col("edges"), F.col("request_s"), F.col(tie)) + 1
     )
@@ -136,11 +137,6 @@ def temporal_windows(
     return out.withColumn("improvement_pct", F.try_divide(change, F.col("baseline_cost")))
 
 
-def _constant_group(edges: DataFrame) -> DataFrame:
-    """One row: the edges of the single group."""
-    return edges.select(F.lit(1).alias("_all"), "edges")
-
-
 def daily_differences(frame: DataFrame, cfg: CostConfig) -> DataFrame:
     """Mean cost of champion minus baseline per request day; negative favours the champion."""
     actual = F.col("actual")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tripspark.operators.lookups import null_safe
 
 Rank = Callable[[Column], Column]
+Ranks = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -60,75 +61,61 @@ def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
-    ranks: Mapping[str, Rank],
+    ranks: Ranks,
     *,
     width: float | None,
     weight: str | None = None,
-    below: bool = False,
 ) -> DataFrame:
-    """The values at the given 1-based ranks, per group, next to the group's row count ``n``.
+    """The values at the wanted 1-based ranks of each group, one row per rank.
 
-    ``width=None`` states that a group has few distinct values (for example seconds under six hours), so one
-    window over the counts is enough. With ``below`` each rank also gets the number of smaller rows.
-    ``ranks`` may read the group columns as well as the count. Null values are left out.
+    ``ranks(n)`` is an array of (i, rank) for a group of ``n`` rows and may read the group columns; ranks outside
+    1..n are left out. ``width=None`` states that a group has few distinct values (for example seconds under six
+    hours), so one window over the counts is enough. Null values are left out.
+    Columns: groups, n, i, rank, value, below (rows with a smaller value).
     """
-    keys = [f"_g{i}" for i in range(len(groups))] or ["_g"]
-    named = [F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_g")]
-    context = [F.col(k).alias(g) for g, k in zip(groups, keys)]
+    keys = list(groups)
     rows = F.col(weight) if weight else F.lit(1)
     counts = (
-        df.select(*named, F.col(value).alias("_v"), rows.cast("bigint").alias("_w"))
+        df.select(*keys, F.col(value).alias("_v"), rows.cast("bigint").alias("_w"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.sum("_w").alias("_n"))
     )
-    names = list(ranks)
-
-    def wanted(frame: DataFrame, before: Column, upto: Column) -> DataFrame:
-        asked = frame.select("*", *context)
-        picks = F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), ranks[name](F.col("_total")).cast("bigint").alias("rank"))
-                for i, name in enumerate(names)
-            ]
-        )
-        asked = asked.withColumn("_want", F.filter(picks, lambda p: (p["rank"] > before) & (p["rank"] <= upto)))
-        return asked.filter(F.size("_want") > 0).drop(*groups)
-
     group_window = Window.partitionBy(*keys)
+    so_far = Window.unboundedPreceding, 0
     if width is None:
-        cum = F.sum("_n").over(group_window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        hits = counts.select("*", cum.alias("_cum"), F.sum("_n").over(group_window).alias("_total"))
+        upto = F.sum("_n").over(group_window.orderBy("_v").rowsBetween(*so_far))
+        hits = counts.select("*", upto.alias("_upto"), F.sum("_n").over(group_window).alias("n"))
+        asked = ranks(F.col("n"))
     else:
         binned = counts.withColumn("_bin", F.floor(F.col("_v").cast("double") / F.lit(float(width))))
         coarse = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-        upto = F.sum("_bn").over(group_window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-        coarse = coarse.select(
-            "*", (upto - F.col("_bn")).alias("_base"), F.sum("_bn").over(group_window).alias("_total")
+        upto = F.sum("_bn").over(group_window.orderBy("_bin").rowsBetween(*so_far))
+        coarse = coarse.select("*", upto.alias("_upto"), F.sum("_bn").over(group_window).alias("n"))
+        inside = F.filter(ranks(F.col("n")), _between(F.col("_upto") - F.col("_bn"), F.col("_upto")))
+        targets = coarse.withColumn("_asked", inside).filter(F.size("_asked") > 0)
+        targets = targets.select(
+            *[F.col(k).alias(f"_t_{k}") for k in [*keys, "_bin"]],
+            (F.col("_upto") - F.col("_bn")).alias("_base"),
+            "n",
+            "_asked",
         )
-        targets = wanted(coarse, F.col("_base"), F.col("_base") + F.col("_bn"))
-        renamed = targets.select(
-            *[F.col(k).alias(f"_t{k}") for k in keys], F.col("_bin").alias("_tbin"), "_base", "_total"
-        )
-        pairs = [(k, f"_t{k}") for k in keys] + [("_bin", "_tbin")]
-        fine = binned.join(renamed, null_safe(binned, renamed, pairs))
-        inner = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        pairs = [(k, f"_t_{k}") for k in [*keys, "_bin"]]
+        fine = binned.join(targets, null_safe(binned, targets, pairs))
+        inner = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(*so_far)
         hits = fine.select(
-            *keys, "_v", "_n", (F.col("_base") + F.sum("_n").over(inner)).alias("_cum"), "_total"
+            *keys, "_v", "_n", (F.col("_base") + F.sum("_n").over(inner)).alias("_upto"), "n", "_asked"
         )
-    hits = wanted(hits, F.col("_cum") - F.col("_n"), F.col("_cum"))
+        asked = F.col("_asked")
+    below = F.col("_upto") - F.col("_n")
+    found = hits.select(
+        *keys, "n", F.col("_v").alias("value"), below.alias("below"), F.inline(F.filter(asked, _between(below, F.col("_upto"))))
+    )
+    return found.select(*keys, "n", "i", "rank", "value", "below")
 
-    def pick(i: int, out: Column) -> Column:
-        return F.max(F.when(F.exists("_want", lambda p: p["i"] == i), out))
 
-    columns = [F.max("_total").alias("n")]
-    for i, name in enumerate(names):
-        columns.append(pick(i, F.col("_v")).alias(name))
-        if below:
-            columns.append(pick(i, F.col("_cum") - F.col("_n")).alias(f"{name}_below"))
-    result = hits.groupBy(*keys).agg(*columns)
-    kept = [c for name in names for c in ([name, f"{name}_below"] if below else [name])]
-    return result.select(*context, "n", *kept)
+def _between(before: Column, upto: Column) -> Callable[[Column], Column]:
+    return lambda pick: (pick["rank"] > before) & (pick["rank"] <= upto)
 
 
 def group_quantiles(
@@ -141,16 +128,28 @@ def group_quantiles(
     weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group: columns ``groups``, ``n`` and one per quantile."""
-    ranks: dict[str, Rank] = {}
+    wanted: list[Rank] = []
+    place: dict[str, list[int]] = {}
     for name, quantile in quantiles.items():
-        for i, rank in enumerate(quantile.ranks()):
-            ranks[f"_{name}_{i}"] = rank
-    stats = order_statistics(df, groups, value, ranks, width=width, weight=weight)
-    out = []
-    for name, quantile in quantiles.items():
-        parts = [F.col(f"_{name}_{i}").cast("double") for i in range(len(quantile.ranks()))]
-        out.append(quantile.combine(parts, F.col("n")).alias(name))
-    return stats.select(*groups, "n", *out)
+        own = quantile.ranks()
+        place[name] = list(range(len(wanted), len(wanted) + len(own)))
+        wanted.extend(own)
+
+    def ranks(n: Column) -> Column:
+        return F.array(
+            *[F.struct(F.lit(i).alias("i"), rank(n).cast("bigint").alias("rank")) for i, rank in enumerate(wanted)]
+        )
+
+    found = order_statistics(df, groups, value, ranks, width=width, weight=weight)
+    wide = found.groupBy(*groups).agg(
+        F.max("n").alias("n"),
+        *[F.max(F.when(F.col("i") == i, F.col("value").cast("double"))).alias(f"_r{i}") for i in range(len(wanted))],
+    )
+    out = [
+        quantile.combine([F.col(f"_r{i}") for i in place[name]], F.col("n")).alias(name)
+        for name, quantile in quantiles.items()
+    ]
+    return wide.select(*groups, "n", *out)
 
 
 def row_edges(
@@ -159,7 +158,6 @@ def row_edges(
     value: str,
     tie: str,
     parts: Callable[[Column], Column],
-    max_parts: int,
     *,
     width: float | None,
     tie_width: float,
@@ -170,33 +168,25 @@ def row_edges(
     boundary value are split by the tie column with a second ranking over just those rows.
     """
 
-    def start(i: int) -> Rank:
-        return lambda n: F.when(F.lit(i) < parts(n), F.floor(F.lit(i) * n / parts(n)) + 1)
+    def starts(n: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), (parts(n) - 1).cast("int")),
+            lambda i: F.struct(i.alias("i"), (F.floor(i * n / parts(n)) + 1).cast("bigint").alias("rank")),
+        )
 
-    values = order_statistics(
-        df, groups, value, {f"e{i}": start(i) for i in range(max_parts)}, width=width, below=True
+    first = order_statistics(df, groups, value, starts, width=width)
+    wanted = first.groupBy(*groups, "value").agg(
+        F.collect_list(F.struct("i", (F.col("rank") - F.col("below")).alias("rank"))).alias("_starts")
     )
-    entry = [
-        F.struct(
-            F.lit(i).alias("slice"),
-            F.col(f"e{i}").alias("edge_value"),
-            (start(i)(F.col("n")) - F.col(f"e{i}_below")).alias("edge_rank"),
-        )
-        for i in range(max_parts)
-    ]
-    edges = values.select(*groups, F.inline(F.filter(F.array(*entry), lambda e: e["edge_rank"].isNotNull())))
-    renamed = edges.select(*[F.col(g).alias(f"_e_{g}") for g in groups], "slice", "edge_value", "edge_rank")
+    renamed = wanted.select(*[F.col(g).alias(f"_e_{g}") for g in groups], F.col("value").alias("_e_value"), "_starts")
     source = df.select(*groups, value, tie)
-    pairs = [(g, f"_e_{g}") for g in groups] + [(value, "edge_value")]
-    boundary = source.join(renamed, null_safe(source, renamed, pairs))
-    keyed = [*groups, "slice", "edge_value", "edge_rank"]
-    firsts = order_statistics(
-        boundary, keyed, tie, {"edge_tie": lambda n: F.col("edge_rank")}, width=tie_width
-    )
-    grouped = firsts.groupBy(*groups) if groups else firsts.groupBy()
-    return grouped.agg(
-        F.array_sort(F.collect_list(F.struct("edge_value", "edge_tie"))).alias("edges")
+    pairs = [(g, f"_e_{g}") for g in groups] + [(value, "_e_value")]
+    boundary = source.join(renamed, null_safe(source, renamed, pairs)).drop(*[f"_e_{g}" for g in groups], value)
+    chosen = order_statistics(
+        boundary, [*groups, "_e_value", "_starts"], tie, lambda n: F.col("_starts"), width=tie_width
     )
+    edge = F.struct(F.col("_e_value").alias("edge_value"), F.col("value").alias("edge_tie"))
+    return chosen.groupBy(*groups).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def slice_of(edges: Column, value: Column, tie: Column) -> Column:
