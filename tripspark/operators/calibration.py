@@ -301,7 +301,7 @@ def interpolate(xs: Column, ys: Column, value: Column) -> Column:
 def fit_isotonic(
     cal: DataFrame,
     levels: Sequence[float],
-    axis: str,
+    axes: Sequence[str],
     min_rows: int,
     *,
     tie: str = "trip_id",
@@ -310,8 +310,9 @@ def fit_isotonic(
     min_bin_rows: int = 20,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Increasing maps per bucket and level, and overall (bucket ``*``): columns keys, bucket, level, xs, ys, rows.
+    """Increasing maps per axis bucket and level, and overall (axis and bucket ``*``), all from one job.
 
+    Columns keys, axis, bucket, level, xs, ys, rows.
     Rows are cut into equal-count bins by prediction; a bin gives its median prediction and the shift that makes
     its coverage exact. Buckets with few rows get no map of their own. A map with under two points is left out.
     The small tables between the steps are written, so each step's plan starts from a table and not from all
@@ -320,9 +321,14 @@ def fit_isotonic(
     per_level = F.array(
         *[F.struct(F.lit(float(a)).alias("level"), F.col("q")[i].alias("pred")) for i, a in enumerate(levels)]
     )
-    buckets = F.explode(F.array_distinct(F.array(F.lit(ALL), F.coalesce(F.col(axis), F.lit(ALL)))))
-    long = cal.select(*keys, "actual", F.col(tie).alias("_tie"), buckets.alias("bucket"), F.inline(per_level))
-    groups = [*keys, "bucket", "level"]
+    own = [F.struct(F.lit(a).alias("axis"), F.col(a).alias("bucket")) for a in axes]
+    whole = F.struct(F.lit(ALL).alias("axis"), F.lit(ALL).alias("bucket"))
+    long = (
+        cal.select(*keys, "actual", F.col(tie).alias("_tie"), "q", F.inline(F.array(whole, *own)))
+        .filter("bucket IS NOT NULL")
+        .select(*keys, "actual", "_tie", "axis", "bucket", F.inline(per_level))
+    )
+    groups = [*keys, "axis", "bucket", "level"]
 
     def parts(n: Column) -> Column:
         return F.least(F.lit(bins), F.greatest(F.floor(n / 200.0), F.lit(2)))
@@ -331,7 +337,7 @@ def fit_isotonic(
         row_edges(long, groups, "pred", "_tie", parts, width=60.0, tie_width=tie_width), "isotonic-edges"
     )
     renamed = edges.select(*[F.col(g).alias(f"_b_{g}") for g in groups], "edges")
-    # One row per bucket and level, both from fixed lists.
+    # One row per axis bucket and level, all from fixed lists.
     cut = long.join(F.broadcast(renamed), null_safe(long, renamed, [(g, f"_b_{g}") for g in groups]))
     cut = cut.select(
         *groups,
@@ -362,7 +368,7 @@ def apply_isotonic(
     frame: DataFrame, maps: DataFrame, levels: Sequence[float], axis: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Map each level through its bucket's curve, or the overall one, then restore the order of the levels."""
-    per_bucket = maps.groupBy(*keys, "bucket").agg(
+    per_bucket = maps.filter(F.col("axis").isin(ALL, axis)).groupBy(*keys, "bucket").agg(
         F.map_from_entries(F.collect_list(F.struct("level", F.struct("xs", "ys")))).alias("curves")
     )
     own = per_bucket.filter(F.col("bucket") != ALL).withColumnsRenamed({"bucket": axis, "curves": "own"})
@@ -444,8 +450,8 @@ def calibration_run(
     risk = settings.calibration.risk
     cal_band, test_band = with_bounds(cal, settings), with_bounds(test, settings)
     runs = [measure(test_band, "raw", settings, keys, min_rows)]
+    maps = fit_isotonic(cal, levels, isotonic_axes, floor, keys=keys) if isotonic_axes else None
     for axis in isotonic_axes:
-        maps = fit_isotonic(cal, levels, axis, floor, keys=keys)
         adjusted = with_bounds(apply_isotonic(test, maps, levels, axis, keys), settings)
         runs.append(measure(adjusted, f"isotonic[{axis}]", settings, keys, min_rows))
     overall = split_conformal(cal_band, risk, keys)
