@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripspark.functions import clock
 from tripspark.operators.lookups import null_safe
-from tripspark.vocab import METRES_PER_MILE, STATE_MEASURES, WINDOWS_MIN
+from tripspark.vocab import BUCKET_S, METRES_PER_MILE, STATE_MEASURES, WINDOWS_MIN
 
 
 def completions(trips: DataFrame) -> DataFrame:
@@ -85,17 +85,25 @@ def last_state(state: DataFrame) -> DataFrame:
     return state.groupBy("zone").agg(F.max_by(F.struct(*others), "bucket_s").alias("row")).select("zone", "row.*")
 
 
+def spread_to_ends(buckets: DataFrame, windows: Sequence[int] = WINDOWS_MIN) -> DataFrame:
+    """Each bucket once for every bucket end within the longest window and the one after, as ``clock_s``."""
+    longest = max(windows) * 60
+    ends = F.explode(F.sequence(F.col("bucket_s"), F.col("bucket_s") + longest, F.lit(BUCKET_S)))
+    return buckets.select("*", ends.alias("clock_s"))
+
+
+def window_sums(windows: Sequence[int] = WINDOWS_MIN) -> list[Column]:
+    """Sums over (clock - w, clock] of spread buckets."""
+    age = F.col("clock_s") - F.col("bucket_s")
+    return [
+        F.sum(F.when(age < 60 * w, F.col(m)).otherwise(0)).alias(f"{m}_{w}m") for w in windows for m in STATE_MEASURES
+    ]
+
+
 def decayed_state(buckets: DataFrame, windows: Sequence[int] = WINDOWS_MIN) -> DataFrame:
     """State at every zone and bucket end within an hour of activity, empty windows counted as zero.
 
     Unlike ``rolling_state`` this keeps falling after a zone's last trip, as a running replay does. Each bucket
     adds to the bucket ends it is visible at, so there is no window sort at all.
     """
-    longest = max(windows) * 60
-    ends = F.explode(F.sequence(F.col("bucket_s"), F.col("bucket_s") + longest, F.lit(300)))
-    spread = buckets.select("*", ends.alias("clock_s"))
-    age = F.col("clock_s") - F.col("bucket_s")
-    sums = [
-        F.sum(F.when(age < 60 * w, F.col(m)).otherwise(0)).alias(f"{m}_{w}m") for w in windows for m in STATE_MEASURES
-    ]
-    return spread.groupBy("zone", "clock_s").agg(*sums)
+    return spread_to_ends(buckets, windows).groupBy("zone", "clock_s").agg(*window_sums(windows))
