@@ -17,8 +17,12 @@ _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def ntz_seconds(ts: Column) -> Column:
-    """Seconds since 1970 of a time-zone-free timestamp."""
-    return F.timestamp_diff("SECOND", F.expr(_EPOCH_NTZ), ts)
+    """Whole seconds since 1970 of a time-zone-free timestamp.
+
+    Built from date and clock parts: timestampdiff would read both ends in the session's zone.
+    """
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def instant_seconds(ts: Column, tz: str = LOCAL_TZ) -> Column:
@@ -30,7 +34,7 @@ def instant_seconds(ts: Column, tz: str = LOCAL_TZ) -> Column:
 
 def local_seconds(instant: Column, tz: str = LOCAL_TZ) -> Column:
     """Wall-clock seconds of an instant."""
-    utc = F.timestamp_add("SECOND", instant, F.expr(_EPOCH_NTZ))
+    utc = F.expr(_EPOCH_NTZ) + F.make_dt_interval(secs=instant.cast("decimal(18,6)"))
     return ntz_seconds(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc))
 
 

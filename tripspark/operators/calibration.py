@@ -342,7 +342,7 @@ def fit_isotonic(
     cut = cut.select(
         *groups,
         "pred",
-        slice_of(F.col("edges"), F.col("pred"), F.col("_tie")).alias("bin"),
+        slice_of(F.col("edges"), F.col("pred"), F.col("_tie"), bins).alias("bin"),
         (F.col("actual") - F.col("pred")).alias("residual"),
     )
     binned = [*groups, "bin"]

@@ -123,7 +123,7 @@ def temporal_windows(
     # One row.
     sliced = marked.withColumn("edges", edges.select("edges").scalar())
     named = F.element_at(
-        F.array(*[F.lit(x) for x in labels]), slice_of(F.col("edges"), F.col("request_s"), F.col(tie)) + 1
+        F.array(*[F.lit(x) for x in labels]), slice_of(F.col("edges"), F.col("request_s"), F.col(tie), n_windows) + 1
     )
     actual, champion, baseline = F.col("actual"), F.col("promised"), F.col("baseline")
     out = sliced.groupBy(named.alias("window")).agg(

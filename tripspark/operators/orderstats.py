@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -189,7 +190,11 @@ def row_edges(
     return chosen.groupBy(*groups).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def slice_of(edges: Column, value: Column, tie: Column) -> Column:
-    """Zero-based slice of a row, given the ascending slice starts."""
-    here = F.struct(value.alias("edge_value"), tie.alias("edge_tie"))
-    return F.size(F.filter(edges, lambda e: e <= here)) - 1
+def slice_of(edges: Column, value: Column, tie: Column, max_parts: int) -> Column:
+    """Zero-based slice of a row, given the ascending slice starts. Written out, so that it stays compiled."""
+    passed = []
+    for i in range(max_parts):
+        edge = F.get(edges, F.lit(i))
+        reached = (edge["edge_value"] < value) | ((edge["edge_value"] == value) & (edge["edge_tie"] <= tie))
+        passed.append(F.when(reached, 1).otherwise(0))
+    return reduce(lambda a, b: a + b, passed) - 1

@@ -235,7 +235,7 @@ def trips_by_station(spark, sf):
 )
 def trip_weather(spark, sf):
     joined = weather.join_weather(
-        cleaning.clean(d.trips(spark, sf)), d.filled_weather(spark, sf), weather.station_by_zone(d.zones(spark, sf))
+        cleaning.clean(d.trips(spark, sf)), d.hourly_weather(spark, sf), weather.station_by_zone(d.zones(spark, sf))
     )
     return joined.select("trip_id", *_rounded(WEATHER_COLUMNS, 4))
 

@@ -110,6 +110,11 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw report table, written once per application as the report files a job starts from."""
+    return written_once(spark, sf_dir, "weather-reports", lambda: derive_weather_reports(spark, sf_dir))
+
+
+def derive_weather_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw weather report per order, in the comma-packed text form of the hourly files; UTC stamps."""
     return table(spark, sf_dir, "orders").selectExpr(
         f"element_at(array({', '.join(repr(s) for s in STATIONS)}), CAST(o_orderkey % 4 + 1 AS INT)) AS station",
@@ -149,6 +154,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled hourly table, written once: a small artifact that the trip jobs look up."""
+    return written_once(spark, sf_dir, "weather-hourly", lambda: filled_weather(spark, sf_dir))
+
+
 def filled_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather.fill_gaps(weather.hourly(weather.parse_reports(weather_reports(spark, sf_dir))))
 
@@ -157,7 +167,7 @@ def enrich_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone_table = zones(spark, sf_dir)
     return enrichment.enrich(
         cleaning.clean(trips(spark, sf_dir)),
-        filled_weather(spark, sf_dir),
+        hourly_weather(spark, sf_dir),
         zone_table,
         weather.station_by_zone(zone_table),
         SETTINGS,

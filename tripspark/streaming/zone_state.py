@@ -85,7 +85,8 @@ def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> I
 def ticking_state(buckets: DataFrame) -> DataFrame:
     """Per zone and micro-batch one row: the sums at the zone's own clock, with eviction.
 
-    Feed it ``event_buckets``: then a zone sends at most one row per bucket, so no zone's trips pile up in a task.
+    Feed it a stream of finished buckets (``event_buckets`` written to a table and read back as a stream): then a
+    zone sends at most one row per bucket, so no zone's trips pile up in a task.
     """
     slim = buckets.select("zone", "bucket_s", *STATE_MEASURES)
     return slim.groupBy("zone").applyInPandasWithState(
@@ -147,8 +148,19 @@ def stream_clock(state: DataFrame) -> DataFrame:
 # ---- running ---------------------------------------------------------------------------------------------
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append"):
-    """Run a stream over everything its source has now; returns (result table, progress of every batch)."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, list]:
+    """Run a stream over everything its source has now; returns the result table and each batch's progress."""
+    path, progress = _run(stream, name, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path), progress
+
+
+def run_to_stream(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream into a table and read that table as the input stream of the next job."""
+    path, _ = _run(stream, name, "append")
+    return stream.sparkSession.readStream.schema(stream.schema).parquet(path)
+
+
+def _run(stream: DataFrame, name: str, mode: str) -> tuple[str, list]:
     spark = stream.sparkSession
     out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
     running = (
@@ -159,7 +171,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append"):
         .start(out)
     )
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out), running.recentProgress
+    return out, running.recentProgress
 
 
 def run_upsert(stream: DataFrame, name: str) -> str:
