@@ -305,7 +305,7 @@ def fit_isotonic(
     min_rows: int,
     *,
     tie: str = "trip_id",
-    tie_width: float = 4e9,
+    tie_width: float = 1e6,
     bins: int = 20,
     min_bin_rows: int = 20,
     keys: Sequence[str] = (),
@@ -315,7 +315,8 @@ def fit_isotonic(
     Columns keys, axis, bucket, level, xs, ys, rows.
     Rows are cut into equal-count bins by prediction; a bin gives its median prediction and the shift that makes
     its coverage exact. Buckets with few rows get no map of their own. A map with under two points is left out.
-    The small tables between the steps are written, so each step's plan starts from a table and not from all
+    Equal predictions are split by the id column; ``tie_width`` is the id range that holds at most about a million
+    rows (ids without gaps: a million). The small tables between the steps are written, so each step's plan starts from a table and not from all
     steps before it.
     """
     per_level = F.array(
@@ -444,13 +445,16 @@ def calibration_run(
     mondrian_axes: Sequence[str] = REQUEST_TIME_SEGMENTS,
     isotonic_axes: Sequence[str] = SEGMENT_COLUMNS,
     min_rows: int = MIN_SEGMENT_ROWS,
+    tie_width: float = 1e6,
 ) -> DataFrame:
     """Fit every repair on the calibration rows, score it on the test rows; all seeds in one job per repair."""
     levels, floor = settings.model.levels, settings.calibration.min_cell_rows
     risk = settings.calibration.risk
     cal_band, test_band = with_bounds(cal, settings), with_bounds(test, settings)
     runs = [measure(test_band, "raw", settings, keys, min_rows)]
-    maps = fit_isotonic(cal, levels, isotonic_axes, floor, keys=keys) if isotonic_axes else None
+    maps = None
+    if isotonic_axes:
+        maps = fit_isotonic(cal, levels, isotonic_axes, floor, tie_width=tie_width, keys=keys)
     for axis in isotonic_axes:
         adjusted = with_bounds(apply_isotonic(test, maps, levels, axis, keys), settings)
         runs.append(measure(adjusted, f"isotonic[{axis}]", settings, keys, min_rows))

@@ -35,7 +35,7 @@ def model_matrix(
 
 
 def write_model_matrix(matrix: DataFrame, path: str) -> None:
-    matrix.write.partitionBy("split").option("compression", "zstd").parquet(path)
+    matrix.hint("rebalance", "split").write.partitionBy("split").option("compression", "zstd").parquet(path)
 
 
 def load_split(spark, path: str, split: str) -> DataFrame:

@@ -112,9 +112,13 @@ def select_champion(costs: DataFrame) -> DataFrame:
 
 def temporal_windows(
     frame: DataFrame, cfg: CostConfig, labels: Sequence[str] = ("early", "middle", "late"), tie: str = "trip_id",
-    tie_width: float = 4e9,
+    tie_width: float = 1e6,
 ) -> DataFrame:
-    """Paired costs and late rates in consecutive windows with equally many rows, by request time."""
+    """Paired costs and late rates in consecutive windows with equally many rows, by request time.
+
+    Rows of the same second are split by the id column; ``tie_width`` is the id range that holds at most about a
+    million rows (ids without gaps: a million).
+    """
     n_windows = len(labels)
     marked = frame.withColumn("_all", F.lit(1))
     edges = row_edges(
@@ -324,7 +328,7 @@ def attribution(
 def stage_percentiles(timings: DataFrame, width: float = 1.0) -> DataFrame:
     """p50, p95, p99 and mean of ``ms`` per ``stage``."""
     wanted = {"p50": Quantile(0.5), "p95": Quantile(0.95), "p99": Quantile(0.99)}
-    ranked = group_quantiles(timings, ["stage"], "ms", wanted, width=width)
+    ranked = group_quantiles(timings, ["stage"], "ms", wanted, width=width, groups_bounded=False)
     return ranked.join(timings.groupBy("stage").agg(F.avg("ms").alias("mean")), "stage")
 
 

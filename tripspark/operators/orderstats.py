@@ -5,6 +5,11 @@ distinct value (combined before the shuffle). Counts are then summed per coarse
 running sum over the bins finds the one bin that holds each wanted rank, and only the values of those
 bins are ranked. Bins of a group are bounded by the value's range over the width, values of a bin by the
 number of distinct values within one width.
+
+The wanted bins are one row per group and rank. Where the groups come from a fixed list (zones, zone pairs,
+segment buckets and levels: at most 265 * 265 groups), the caller leaves ``groups_bounded`` on and that table is
+broadcast, so the counts are not shuffled again. With any other groups it must be turned off; the join then goes
+by measured size.
 """
 
 from __future__ import annotations
@@ -66,6 +71,7 @@ def order_statistics(
     *,
     width: float | None,
     weight: str | None = None,
+    groups_bounded: bool = True,
 ) -> DataFrame:
     """The values at the wanted 1-based ranks of each group, one row per rank.
 
@@ -102,7 +108,7 @@ def order_statistics(
             "_asked",
         )
         pairs = [(k, f"_t_{k}") for k in [*keys, "_bin"]]
-        fine = binned.join(targets, null_safe(binned, targets, pairs))
+        fine = binned.join(_maybe_broadcast(targets, groups_bounded), null_safe(binned, targets, pairs))
         inner = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(*so_far)
         hits = fine.select(
             *keys, "_v", "_n", (F.col("_base") + F.sum("_n").over(inner)).alias("_upto"), "n", "_asked"
@@ -115,6 +121,10 @@ def order_statistics(
     return found.select(*keys, "n", "i", "rank", "value", "below")
 
 
+def _maybe_broadcast(small: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(small) if bounded else small
+
+
 def _between(before: Column, upto: Column) -> Callable[[Column], Column]:
     return lambda pick: (pick["rank"] > before) & (pick["rank"] <= upto)
 
@@ -127,6 +137,7 @@ def group_quantiles(
     *,
     width: float | None,
     weight: str | None = None,
+    groups_bounded: bool = True,
 ) -> DataFrame:
     """Exact quantiles per group: columns ``groups``, ``n`` and one per quantile."""
     wanted: list[Rank] = []
@@ -141,7 +152,7 @@ def group_quantiles(
             *[F.struct(F.lit(i).alias("i"), rank(n).cast("bigint").alias("rank")) for i, rank in enumerate(wanted)]
         )
 
-    found = order_statistics(df, groups, value, ranks, width=width, weight=weight)
+    found = order_statistics(df, groups, value, ranks, width=width, weight=weight, groups_bounded=groups_bounded)
     wide = found.groupBy(*groups).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("i") == i, F.col("value").cast("double"))).alias(f"_r{i}") for i in range(len(wanted))],
@@ -166,25 +177,35 @@ def row_edges(
     """First row of each of ``parts(n)`` equal-count slices per group, as an ascending ``edges`` array.
 
     Slice ``i`` of ``b`` starts at position ``floor(i * n / b)`` in (value, tie) order. Rows that share the
-    boundary value are split by the tie column with a second ranking over just those rows.
+    boundary value are split by the tie column with a second ranking over just those rows. Groups must come from
+    a fixed list.
     """
 
-    def starts(n: Column) -> Column:
+    def starts(n: Column, below: Column) -> Column:
+        slices = F.sequence(F.lit(0), (parts(n) - 1).cast("int"))
         return F.transform(
-            F.sequence(F.lit(0), (parts(n) - 1).cast("int")),
-            lambda i: F.struct(i.alias("i"), (F.floor(i * n / parts(n)) + 1).cast("bigint").alias("rank")),
+            slices,
+            lambda i: F.struct(i.alias("i"), (F.floor(i * n / parts(n)) + 1 - below).cast("bigint").alias("rank")),
         )
 
-    first = order_statistics(df, groups, value, starts, width=width)
-    wanted = first.groupBy(*groups, "value").agg(
-        F.collect_list(F.struct("i", (F.col("rank") - F.col("below")).alias("rank"))).alias("_starts")
+    first = order_statistics(df, groups, value, lambda n: starts(n, F.lit(0)), width=width)
+    wanted = first.groupBy(*groups, "value").agg(F.max("n").alias("_e_n"), F.max("below").alias("_e_below"))
+    renamed = wanted.select(
+        *[F.col(g).alias(f"_e_{g}") for g in groups], F.col("value").alias("_e_value"), "_e_n", "_e_below"
     )
-    renamed = wanted.select(*[F.col(g).alias(f"_e_{g}") for g in groups], F.col("value").alias("_e_value"), "_starts")
     source = df.select(*groups, value, tie)
     pairs = [(g, f"_e_{g}") for g in groups] + [(value, "_e_value")]
-    boundary = source.join(renamed, null_safe(source, renamed, pairs)).drop(*[f"_e_{g}" for g in groups], value)
+    # One row per group and slice, from bounded groups.
+    boundary = source.join(F.broadcast(renamed), null_safe(source, renamed, pairs)).drop(
+        *[f"_e_{g}" for g in groups], value
+    )
+    # Counted from the first row of the boundary value; starts at other values fall outside and are left out.
     chosen = order_statistics(
-        boundary, [*groups, "_e_value", "_starts"], tie, lambda n: F.col("_starts"), width=tie_width
+        boundary,
+        [*groups, "_e_value", "_e_n", "_e_below"],
+        tie,
+        lambda _: starts(F.col("_e_n"), F.col("_e_below")),
+        width=tie_width,
     )
     edge = F.struct(F.col("_e_value").alias("edge_value"), F.col("value").alias("edge_tie"))
     return chosen.groupBy(*groups).agg(F.array_sort(F.collect_list(edge)).alias("edges"))

@@ -198,7 +198,7 @@ FROM w GROUP BY 1""",
 )
 def temporal_windows(spark, sf):
     numbers = ("champion_cost", "baseline_cost", "champion_late", "baseline_late", "improvement_pct")
-    return ev.temporal_windows(promises(spark, sf), COST).select("window", "rows", *rounded(*numbers))
+    return ev.temporal_windows(promises(spark, sf), COST, tie_width=d.TRIP_ID_WIDTH).select("window", "rows", *rounded(*numbers))
 
 
 VIEWS["daily"] = f"""

@@ -53,7 +53,9 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     planner sees the true size: it broadcasts the table only when that is under the session's limit.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # Rebalancing keeps the files per folder few and lets adaptive execution split a folder that is too big.
+    balanced = df.hint("rebalance", *partition_by) if partition_by else df
+    balanced.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

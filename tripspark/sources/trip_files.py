@@ -63,8 +63,9 @@ def file_check(spark: SparkSession, path: str, column: str) -> DataFrame:
 def write_months(trips: DataFrame, path: str, *, by: Sequence[str] = ("month",)) -> DataFrame:
     """Write one folder per month, compressed, and return the row counts read back from what was written."""
     dated = trips.withColumn("month", clock.month_label(F.col("request_local_s")))
-    # Rows spread over many tasks per month; each task keeps its rows sorted by pickup zone for better statistics.
-    sorted_rows = dated.sortWithinPartitions("month", "pu_zone")
+    # Rebalancing gathers a month's rows into files of a good size and splits a month that is too big for a task;
+    # rows are sorted by pickup zone inside a file, for better statistics.
+    sorted_rows = dated.hint("rebalance", *by).sortWithinPartitions(*by, "pu_zone")
     sorted_rows.write.option("compression", "zstd").partitionBy(*by).mode("error").parquet(path)
     return trips.sparkSession.read.parquet(path).groupBy("month").agg(F.count("*").alias("rows"))
 
