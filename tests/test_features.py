@@ -46,7 +46,7 @@ def state(spark):
 WHEN = dt.datetime(2024, 1, 15, 17, 31)
 
 
-def test_registry_shape():
+def test_registry_shape(spark):
     registry = ft.default_registry()
     assert len(registry) == 44
     assert registry.counts() == {"route": 8, "temporal": 10, "congestion": 12, "zone": 8, "weather": 6}

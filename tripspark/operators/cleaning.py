@@ -22,6 +22,18 @@ from tripspark.vocab import (
 )
 
 
+RULE_NAMES = (
+    "timestamps_present",
+    "timestamps_ordered",
+    "positive_duration",
+    "duration_under_6h",
+    "dispatch_under_2h",
+    "distance_consistent",
+    "speed_plausible",
+    "zones_routable",
+)
+
+
 def rules() -> dict[str, Column]:
     """Name and keep-condition of each rule; a null condition rejects the row."""
     request, pickup, dropoff = F.col("request_s"), F.col("pickup_s"), F.col("dropoff_s")
@@ -31,17 +43,18 @@ def rules() -> dict[str, Column]:
     def routable(zone: str) -> Column:
         return F.col(zone).between(1, MAX_ROUTABLE_ZONE) & ~F.col(zone).isin(*UNKNOWN_ZONES)
 
-    return {
-        "timestamps_present": request.isNotNull() & pickup.isNotNull() & dropoff.isNotNull(),
-        "timestamps_ordered": pickup.between(request, dropoff),
-        "positive_duration": total > 0,
-        "duration_under_6h": total <= MAX_TRIP_S,
-        "dispatch_under_2h": (pickup - request) <= MAX_DISPATCH_S,
-        "distance_consistent": ~((miles <= 0) & (ride > 0)),
+    keep = (
+        request.isNotNull() & pickup.isNotNull() & dropoff.isNotNull(),
+        pickup.between(request, dropoff),
+        total > 0,
+        total <= MAX_TRIP_S,
+        (pickup - request) <= MAX_DISPATCH_S,
+        ~((miles <= 0) & (ride > 0)),
         # Multiplied out, so no division by a zero time.
-        "speed_plausible": (ride <= 0) | (miles * 3600 <= MAX_MPH * ride),
-        "zones_routable": routable("pu_zone") & routable("do_zone"),
-    }
+        (ride <= 0) | (miles * 3600 <= MAX_MPH * ride),
+        routable("pu_zone") & routable("do_zone"),
+    )
+    return dict(zip(RULE_NAMES, keep, strict=True))
 
 
 def _kept(rule: Column) -> Column:
@@ -62,19 +75,17 @@ def _percent(part: Column, whole: Column) -> Column:
 
 def audit(trips: DataFrame) -> DataFrame:
     """One pass: rows and, for each rule alone, how many it rejects. Columns rule, rows, rejected, pct."""
-    names = list(rules())
     counted = trips.agg(
         F.count("*").alias("rows"),
         *[F.count_if(~_kept(rule)).alias(name) for name, rule in rules().items()],
     )
-    long = counted.unpivot("rows", names, "rule", "rejected")
+    long = counted.unpivot("rows", list(RULE_NAMES), "rule", "rejected")
     return long.select("rule", "rows", "rejected", _percent(F.col("rejected"), F.col("rows")).alias("pct"))
 
 
 def monthly_report(trips: DataFrame) -> DataFrame:
     """Rows in, out and dropped per request month, with a total line, and each rule's own rejections."""
     dated = trips.withColumn("month", clock.month_label(F.col("request_local_s")))
-    names = list(rules())
     report = dated.rollup("month").agg(
         F.grouping("month").cast("int").alias("is_total"),
         F.count("*").alias("rows_in"),
@@ -88,7 +99,7 @@ def monthly_report(trips: DataFrame) -> DataFrame:
         "rows_out",
         dropped.alias("rows_dropped"),
         _percent(dropped, F.col("rows_in")).alias("pct_dropped"),
-        *names,
+        *RULE_NAMES,
     )
 
 

@@ -12,7 +12,7 @@ from tripspark.session import fresh_path
 from tripspark.sources import driver_tables as d, trip_files
 from tripspark.vocab import SEGMENT_COLUMNS, WEATHER_COLUMNS
 
-RULES = tuple(cleaning.rules())
+RULES = cleaning.RULE_NAMES
 
 # ---- sources ---------------------------------------------------------------------------------------------
 
