@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tripspark.vocab import LOCAL_TZ
 
@@ -46,27 +47,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, name: str, partition_by: Sequence[str]) -> str:
+    path = fresh_path(df.sparkSession, name)
+    # Rebalancing keeps the files per folder few and lets adaptive execution split a folder that is too big.
+    balanced = df.hint("rebalance", *partition_by) if partition_by else df
+    balanced.write.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table once and read it back.
 
     Lineage is cut on reliable storage, so a lost executor costs a re-read and not a re-run, and the
     planner sees the true size: it broadcasts the table only when that is under the session's limit.
     """
-    path = fresh_path(df.sparkSession, name)
-    # Rebalancing keeps the files per folder few and lets adaptive execution split a folder that is too big.
-    balanced = df.hint("rebalance", *partition_by) if partition_by else df
-    balanced.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name, partition_by))
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def written_once(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """A derived table that many jobs read: written by the first of them in this application."""
+    """A derived table that many jobs read: written by the first of them in this application, and again if the
+    shared folder was emptied since."""
     key = (spark.sparkContext.applicationId, scope, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = materialize(build(), name, partition_by)
-    return _WRITTEN[key]
+    if key not in _WRITTEN or not is_written(spark, _WRITTEN[key][0]):
+        table = build()
+        _WRITTEN[key] = (_write(table, name, partition_by), table.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
