@@ -172,7 +172,7 @@ def cosine_similarity(spark, sf):
 @query(
     "feature_matrix_by_split",
     "M14 N13 F17",
-    """SELECT split, COUNT(*) AS rows, SUM(total_time_s) AS total_s, COUNT(structural_detour_ratio) AS with_detour,
+    """SELECT split, COUNT(*) AS rows, CAST(SUM(total_time_s) AS BIGINT) AS total_s, COUNT(structural_detour_ratio) AS with_detour,
               ROUND(AVG(CAST(zone_completed_trips_60m AS DOUBLE)), 4) AS mean_load,
               COUNT(*) FILTER (is_weekend) AS weekend_rows
        FROM featured WHERE split = 'val' GROUP BY 1""",
@@ -229,9 +229,10 @@ def leakage_boundary(spark, sf):
 @query(
     "valid_and_rejected_requests",
     "F18 P32",
-    f"""SELECT user_id AS pu_zone, user_id BETWEEN 1 AND {MAX_ZONE_ID} AND event_id % 300 BETWEEN 1 AND {MAX_ZONE_ID}
-          AS is_valid, COUNT(*) AS requests,
-          SUM(COALESCE(CASE WHEN event_id % 4 > 0 THEN CAST(FLOOR(epoch(ts)) AS BIGINT) END, 0)) AS total_s
+    f"""SELECT user_id AS pu_zone,
+          CAST(user_id BETWEEN 1 AND {MAX_ZONE_ID} AND event_id % 300 BETWEEN 1 AND {MAX_ZONE_ID} AS INTEGER) AS is_valid,
+          COUNT(*) AS requests,
+          CAST(SUM(COALESCE(CASE WHEN event_id % 4 > 0 THEN CAST(FLOOR(epoch(ts)) AS BIGINT) END, 0)) AS BIGINT) AS total_s
         FROM events GROUP BY 1, 2""",
 )
 def valid_and_rejected_requests(spark, sf):
@@ -245,5 +246,5 @@ def valid_and_rejected_requests(spark, sf):
         F.when(F.col("event_id") % 4 > 0, clock.ntz_seconds(F.col("ts"))).alias("request_s"),
     )
     valid, rejected = split_requests(asked, now_s=F.lit(0).cast("bigint"))
-    both = valid.withColumn("is_valid", F.lit(True)).unionByName(rejected.withColumn("is_valid", F.lit(False)))
+    both = valid.withColumn("is_valid", F.lit(1)).unionByName(rejected.withColumn("is_valid", F.lit(0)))
     return both.groupBy("pu_zone", "is_valid").agg(F.count("*").alias("requests"), F.sum("request_s").alias("total_s"))

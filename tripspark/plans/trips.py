@@ -139,14 +139,14 @@ def unreconciled_components(spark, sf):
 @query(
     "component_complete_rows",
     "F13",
-    """SELECT operator, COUNT(*) AS rows, SUM(dispatch_approach_s) AS dispatch_s, SUM(curb_wait_s) AS curb_s,
-              SUM(trip_duration_s) AS ride_s
+    """SELECT operator, COUNT(*) AS rows, CAST(SUM(dispatch_approach_s) AS BIGINT) AS dispatch_s,
+              CAST(SUM(curb_wait_s) AS BIGINT) AS curb_s, CAST(SUM(trip_duration_s) AS BIGINT) AS ride_s
        FROM clean WHERE ABS(dispatch_approach_s + curb_wait_s + trip_duration_s - total_time_s) <= 1 GROUP BY 1""",
 )
 def component_complete_rows(spark, sf):
     return cleaning.component_complete(cleaning.clean(d.trips(spark, sf))).groupBy("operator").agg(
         F.count("*").alias("rows"),
-        F.sum("dispatch_approach_s").cast("double").cast("bigint").alias("dispatch_s"),
+        F.sum("dispatch_approach_s").alias("dispatch_s"),
         F.sum("curb_wait_s").alias("curb_s"),
         F.sum("trip_duration_s").alias("ride_s"),
     )
