@@ -202,13 +202,19 @@ def mondrian_conformal(
     counts = with_scores(cal).groupBy(*keys, *axes, "score").agg(F.count("*").alias("_rows"))
     pooled = _join_cells(counts, members, axes, keys, "inner").select(*keys, "margin", "score", "_rows")
     widths = group_quantiles(
-        pooled, [*keys, "margin"], "score", {"q_s": Quantile(risk, "conformal")}, width=SCORE_WIDTH, weight="_rows"
+        pooled, [*keys, "margin"], "score", {"q_s": Quantile(risk, "conformal")}, width=SCORE_WIDTH, weight="_rows",
+        groups_bounded=_bounded(axes),
     ).select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("margin").alias("_q_margin"), "q_s")
     on = [(k, f"_q_{k}") for k in keys] + [("margin", "_q_margin")]
     joined = plan.join(widths, null_safe(plan, widths, on))
     return materialize(joined.select(*keys, *axes, "cell_rows", "gid", "n", "q_s"), "cell-widths")
 
 
+def _bounded(axes: Sequence[str]) -> bool:
+    """Do all axes take their buckets from the fixed lists?"""
+    return all(a in SEGMENT_BUCKETS for a in axes)
+
+
 def _known_buckets(axes: Sequence[str]) -> Column:
     known = [F.col(a).isNull() | F.col(a).isin(*SEGMENT_BUCKETS[a]) for a in axes if a in SEGMENT_BUCKETS]
     return reduce(lambda a, b: a & b, known, F.lit(True))
@@ -217,12 +223,14 @@ def _known_buckets(axes: Sequence[str]) -> Column:
 def _join_cells(
     frame: DataFrame, table: DataFrame, axes: Sequence[str], keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Null-safe join on the segment cell. Buckets outside the fixed lists are filtered from the table, which
-    bounds it by the lists (under 400 cells per key), so it is broadcast."""
+    """Null-safe join on the segment cell. With axes from the fixed lists, other buckets are filtered from the table,
+    which bounds it by the lists (under 400 cells per key), so it is broadcast; with any other axes the planner
+    decides by size."""
     on = [*keys, *axes]
     others = [c for c in table.columns if c not in on]
     small = table.filter(_known_buckets(axes)).select(*[F.col(c).alias(f"_j_{c}") for c in on], *others)
-    joined = frame.join(F.broadcast(small), null_safe(frame, small, [(c, f"_j_{c}") for c in on]), how)
+    small = F.broadcast(small) if _bounded(axes) else small
+    joined = frame.join(small, null_safe(frame, small, [(c, f"_j_{c}") for c in on]), how)
     return joined.drop(*[f"_j_{c}" for c in on])
 
 
@@ -319,6 +327,8 @@ def fit_isotonic(
     rows (ids without gaps: a million). The small tables between the steps are written, so each step's plan starts from a table and not from all
     steps before it.
     """
+    if not _bounded(axes):
+        raise ValueError(f"isotonic axes must be segment columns with a fixed list of buckets: {list(axes)}")
     per_level = F.array(
         *[F.struct(F.lit(float(a)).alias("level"), F.col("q")[i].alias("pred")) for i, a in enumerate(levels)]
     )
