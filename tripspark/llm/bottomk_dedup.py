@@ -10,8 +10,12 @@ How the lists stay short without dropping anything:
   pair exactly at the limit and falls fast above it). So they also share one of the values that remain when each leaves
   out its ``SHARED - 1`` most frequent ones. Passages that many documents share are the most frequent and go first.
 * Each list first compares its members with one representative for each step of size. What these links join needs no
-  further pair; only members of different components are then compared with each other, with the estimate as part of
-  the join condition, so only pairs that pass it are ever emitted.
+  further pair, and a list whose members are all joined is done.
+* Members of the lists that stay open get sketches of ``WIDE`` values: the whole sets of most texts, where nothing is
+  left to chance. Their lists hold only texts that are alike in most shingles, and only members of different components
+  are compared.
+* A pair is proposed only if enough values are left, from the one it meets at, for the overlap it needs: at its first
+  common value, all its common values come from there on.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -29,10 +33,9 @@ from tripspark.llm.components import connected_components
 from tripspark.llm.shingles import shingle_set
 from tripspark.session import materialize
 
-SKETCH = 64
-SHARED = 24
-#: Six standard deviations of a 64-value estimate below 0.75.
-ESTIMATE = 0.42
+SKETCH, WIDE = 64, 512
+#: Six standard deviations below the shared values that are expected of sets that are just similar enough.
+SHARED, WIDE_SHARED = 24, 325
 #: Similarity of at least NEAR_PARTS / 100.
 NEAR_PARTS = 75
 
@@ -44,6 +47,7 @@ _SKETCHED = StructType(
         StructField("sketch", ArrayType(LongType(), False)),
     ]
 )
+_WIDE = StructType([StructField("rep", LongType()), StructField("sketch", ArrayType(LongType(), False))])
 _SETS = StructType([StructField("doc_id", LongType()), StructField("prints", BinaryType())])
 _LINKS = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
@@ -51,15 +55,12 @@ _LINKS = StructType([StructField("a", LongType()), StructField("b", LongType())]
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
-        heads = [s[:SKETCH] for s in sets]
-        ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-        values = pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                _lists(sets, SKETCH),
             ],
             ["doc_id", "n_shingles", "digest", "sketch"],
         )
@@ -71,6 +72,19 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "prints"])
 
 
+def _lists(sets: list[np.ndarray], size: int) -> pa.ListArray:
+    heads = [s[:size] for s in sets]
+    ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+    values = np.concatenate(heads) if heads else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prints")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets, WIDE)], ["rep", "sketch"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -81,35 +95,68 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _estimate(a: Column, b: Column) -> Column:
+def _estimate(a: Column, b: Column, size: int) -> Column:
     """Share of the union's smallest values that both sketches hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= NEAR_PARTS * F.greatest(a, b)
+def _least_estimate(size: int) -> float:
+    """Six standard deviations of an estimate from ``size`` values below the similarity asked for."""
+    near = NEAR_PARTS / 100
+    return near - 6 * (near * (1 - near) / size) ** 0.5
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = materialize(pairs, "proposed")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _may_overlap(x: Column, y: Column, left: Column, size: int) -> Column:
+    """Whether ``left`` common values are enough for sets of x and y shingles whose sketches hold ``size`` values.
+
+    Similar sets share (x + y) * 75 / 175 shingles. Whole sets need all of these; of sketches, the share that falls
+    below both ends is expected, less six standard deviations.
+    """
+    shared = (x + y) * NEAR_PARTS / (100 + NEAR_PARTS)
+    part = shared / F.greatest(x, y)
+    expected = size * part - 6 * F.sqrt(size * part * (1 - part))
+    needed = F.when((x <= size) & (y <= size), shared - 1e-6).otherwise(F.least(expected, shared - 1e-6))
+    return (100 * F.least(x, y) >= NEAR_PARTS * F.greatest(x, y)) & (left >= needed)
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Full sets (doc_id, prints) of the documents named by ``wanted`` (doc_id), written."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets, _SETS)
     # Rows that repeat a doc_id may differ; all their sets stand for it.
-    sets = materialize(sets.dropDuplicates(["doc_id", "prints"]), "sets")
+    return materialize(texts.mapInArrow(_full_sets, _SETS).dropDuplicates(["doc_id", "prints"]), "sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``sets`` where they are known."""
+    pairs = materialize(pairs, "proposed")
+    if sets is None:
+        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+        sets = _sets_of(ends.distinct(), docs)
     first = sets.select(F.col("doc_id").alias("a"), F.col("prints").alias("prints_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("prints").alias("prints_b"))
     return pairs.join(first, "a").join(second, "b").mapInArrow(_confirmed, _LINKS)
 
 
-def _inverted_lists(classes: DataFrame) -> DataFrame:
-    """Rows (value, rep, n_shingles) of the retained values that similar sets cannot all miss."""
+def _likely(pairs: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) that the sketch of their union finds similar."""
+    first = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
+    second = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
+    near = _estimate(F.col("sketch_a"), F.col("sketch_b"), size) >= _least_estimate(size)
+    return pairs.join(first, "a").join(second, "b").where(near).select("a", "b")
+
+
+def _inverted_lists(classes: DataFrame, size: int, shared: int) -> DataFrame:
+    """Rows (value, rep, n_shingles, common, left) of the retained values that similar sets cannot all miss.
+
+    ``common`` is how many of its retained values the set has in common with others, ``left`` how many of these come
+    from this value on.
+    """
     postings = classes.select("rep", "n_shingles", F.explode("sketch").alias("value"))
     frequent = postings.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    # From fewer than 48 shingles, partners hold fewer than 64 and both sketches are whole sets.
-    needed = F.when(F.col("n_shingles") < 48, F.ceil(F.col("n_shingles") * NEAR_PARTS / 100)).otherwise(SHARED)
+    # Where partners have fewer shingles than a sketch holds, both sketches are whole sets.
+    whole = F.col("n_shingles") < size * NEAR_PARTS // 100
+    needed = F.when(whole, F.ceil(F.col("n_shingles") * NEAR_PARTS / 100)).otherwise(shared)
     held = (
         postings.join(frequent, "value")
         .groupBy("rep", "n_shingles")
@@ -117,9 +164,9 @@ def _inverted_lists(classes: DataFrame) -> DataFrame:
         .where(F.size("held") >= needed)
     )
     chosen = F.slice("held", F.lit(1), (F.size("held") - needed + 1).cast("int"))
-    return held.select("rep", "n_shingles", F.explode(chosen).alias("item")).select(
-        "rep", "n_shingles", F.col("item.value").alias("value")
-    )
+    each = held.select("rep", "n_shingles", F.size("held").alias("common"), F.posexplode(chosen).alias("place", "item"))
+    left = F.col("common") - F.col("place")
+    return each.select("rep", "n_shingles", "common", left.alias("left"), F.col("item.value").alias("value"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -137,38 +184,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("rep is not null"),
         "classes",
     )
-    lists = materialize(_inverted_lists(classes), "lists")
+    lists = materialize(_inverted_lists(classes, SKETCH, SHARED), "lists")
 
     step = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / NEAR_PARTS)))
     sized = lists.withColumn("step", step)
-    heads = sized.groupBy("value", "step").agg(F.min(F.struct("rep", "n_shingles")).alias("head"))
+    # The text that edited copies come from has most in common with them; ties go to the smallest id.
+    rank = F.struct("common", -F.col("rep"), "rep", "n_shingles", "left")
+    heads = sized.groupBy("value", "step").agg(F.max(rank).alias("head"))
     stars = sized.join(heads, ["value", "step"]).where("head.rep <> rep")
-    stars = stars.where(_sizes_allow(F.col("n_shingles"), F.col("head.n_shingles")))
-    pairs = stars.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    sketches = classes.select("rep", "sketch")
-    side_a = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
-    side_b = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
-    near = _estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE
-    found = materialize(_confirm(pairs.join(side_a, "a").join(side_b, "b").where(near).select("a", "b"), docs), "near")
+    enough = _may_overlap(F.col("n_shingles"), F.col("head.n_shingles"), F.least("left", "head.left"), SKETCH)
+    stars = stars.where(enough)
+    pairs = stars.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
+    found = materialize(_confirm(_likely(pairs, classes, SKETCH), docs), "near")
     joined = connected_components(found, "a", "b")
 
     member = lists.join(joined, F.col("rep") == F.col("node"), "left").drop("node")
-    member = materialize(member.withColumn("component", F.coalesce("component", "rep")), "members")
+    member = member.withColumn("component", F.coalesce("component", "rep"))
     open_lists = member.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = member.join(open_lists.where("lo < hi").select("value"), "value").join(sketches, "rep")
-    rest = materialize(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    still = member.join(open_lists.where("lo < hi").select("value"), "value")
+    still = materialize(still.select("rep", "n_shingles", "component").distinct(), "open")
+    sets = _sets_of(still.select(F.col("rep").alias("doc_id")), docs)
+    wide = materialize(sets.mapInArrow(_widened, _WIDE).dropDuplicates(["rep"]).join(still, "rep"), "wide")
+    around = materialize(_inverted_lists(wide, WIDE, WIDE_SHARED).join(still.select("rep", "component"), "rep"), "across")
+    x, y = around.alias("x"), around.alias("y")
     meet = (
         (F.col("x.value") == F.col("y.value"))
         & (F.col("x.component") < F.col("y.component"))
-        & _sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles"))
-        & (_estimate(F.col("x.sketch"), F.col("y.sketch")) >= ESTIMATE)
+        & _may_overlap(F.col("x.n_shingles"), F.col("y.n_shingles"), F.least("x.left", "y.left"), WIDE)
     )
     across = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = _confirm(_likely(across, wide, WIDE), docs, sets)
+
     rows = filled.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi")
     same_id = rows.join(several, "doc_id").select("a", F.col("rep").alias("b"))
-    links = found.union(_confirm(across, docs)).union(same_id)
+    links = found.union(more).union(same_id)
     component = materialize(connected_components(links, "a", "b"), "components")
     rows = rows.join(component, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
@@ -182,8 +232,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay. Of rows that repeat a kept doc_id, the smallest text stays.
     """
-    from pyspark.sql import Window
-
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"))
     order = Window.partitionBy("_kept_id").orderBy(F.col("text").asc_nulls_last())
