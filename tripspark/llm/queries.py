@@ -11,6 +11,7 @@ from tripspark.llm import (
     chat_windows,
     curriculum,
     host_rules,
+    oracles,
     orc_tokens,
     pivot_join,
     secret_forest,
@@ -47,13 +48,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.positions(spark, path)
 
 
-@query("op4_curriculum_mix")
+@query("op4_curriculum_mix", oracles.MIX)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op5_host_quality_rules")
+@query("op5_host_quality_rules", oracles.QUALITY)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality(_table(spark, sf_dir, "documents"))
 
@@ -63,12 +64,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-@query("op7_pivot_range_join")
+@query("op7_pivot_range_join", oracles.VECTORS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_join.embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
-@query("op8_bottomk_near_duplicates")
+@query("op8_bottomk_near_duplicates", oracles.DOCUMENTS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
