@@ -109,7 +109,7 @@ def test_isotonic_repairs_a_biased_bucket_and_thin_ones_use_the_whole(spark):
         [(i, b, [float(p)], float(a)) for i, (b, p, a) in enumerate(zip(bucket.tolist(), pred, actual))],
         "trip_id long, seg_zone_density string, q array<double>, actual double",
     )
-    maps = cb.fit_isotonic(df, (0.75,), ["seg_zone_density"], 5000, tie_width=1000.0)
+    maps = cb.fit_isotonic(df, (0.75,), ["seg_zone_density"], 5000)
     assert {r["bucket"] for r in maps.collect()} == {"*", "airport"}
     fixed = cb.apply_isotonic(df, maps, (0.75,), "seg_zone_density")
     rows = {r["bucket"]: r["empirical"] for r in cb.coverage_report(fixed, (0.75,), ["seg_zone_density"], min_rows=100).collect()}

@@ -90,7 +90,7 @@ def test_windows_hold_equally_many_rows(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(40) * 1000, float(rng.randrange(900)), 500.0, 450.0) for i in range(1000)]
     df = spark.createDataFrame(rows, "trip_id long, request_s long, actual double, promised double, baseline double")
-    got = {r["window"]: r for r in ev.temporal_windows(df.repartition(5), COST, tie_width=100.0).collect()}
+    got = {r["window"]: r for r in ev.temporal_windows(df.repartition(5), COST).collect()}
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     for name, lo, hi in (("early", 0, 333), ("middle", 333, 666), ("late", 666, 1000)):
         part = ordered[lo:hi]

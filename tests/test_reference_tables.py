@@ -92,7 +92,7 @@ def test_embeddings_equal_a_dense_decomposition(spark):
     counts[2, :] = 0
     rows = [r for i in range(n) for j in range(n) for r in night(int(counts[i, j]), pu=i + 1, do=j + 1)]
     zones = spark.range(1, n + 1).withColumnRenamed("id", "zone_id")
-    got = ref.zone_embeddings(spark.createDataFrame(rows, TRIPS), zones, 3, n).orderBy("zone_id").collect()
+    got = ref.zone_embeddings(spark.createDataFrame(rows, TRIPS), zones, 3).orderBy("zone_id").collect()
     mine = np.array([r["embedding"] for r in got])
     w = np.log1p(counts)
     u, s, _ = np.linalg.svd(np.hstack([w, w.T]), full_matrices=False)

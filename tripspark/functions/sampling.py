@@ -22,8 +22,3 @@ def key_hash(df: DataFrame, columns: Sequence[str]) -> Column:
 
 def in_tier(hash_column: Column, tier: str) -> Column:
     return hash_column < tier_threshold(tier)
-
-
-def sample_of_size(df: DataFrame, columns: Sequence[str], basis_points: int) -> DataFrame:
-    """Seedless row sample without replacement; nested, so a smaller sample is inside a larger one."""
-    return df.filter(key_hash(df, columns) < basis_points)

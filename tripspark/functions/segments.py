@@ -6,7 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from tripspark.config import SegmentConfig, SplitConfig
 from tripspark.functions import clock
-from tripspark.vocab import SEGMENT_BUCKETS, SPLITS
 
 
 def time_bucket(local_s: Column, cfg: SegmentConfig) -> Column:
@@ -65,9 +64,3 @@ def holdout_week(local_s: Column, split: Column, cfg: SplitConfig) -> Column:
 
 def segment_key(*buckets: Column) -> Column:
     return F.concat_ws("|", F.array_sort(F.array(*buckets)))
-
-
-def bucket_position(axis: str, bucket: Column) -> Column:
-    """Reporting order of a bucket, for sorts that must not be alphabetical."""
-    order = SPLITS if axis == "split" else SEGMENT_BUCKETS[axis]
-    return F.array_position(F.array(*[F.lit(b) for b in order]), bucket).cast("int")

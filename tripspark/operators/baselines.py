@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tripspark.functions import clock
-from tripspark.operators.lookups import join_by_domain
+from tripspark.operators.lookups import join_lookup
 from tripspark.session import materialize
 from tripspark.vocab import MIN_HOUR_ROWS, MIN_PAIR_ROWS, TARGET
 
@@ -25,8 +25,8 @@ class HistoricalMean:
     def predict(self, frame: DataFrame, output: str = "prediction") -> DataFrame:
         hour = clock.hour(F.col("request_local_s"))
         keyed = frame.withColumn("_hour", hour)
-        keyed = join_by_domain(keyed, self.pair_hour, [*_PAIR, "_hour"], _PAIR)
-        keyed = join_by_domain(keyed, self.pair, _PAIR, _PAIR)
+        keyed = join_lookup(keyed, self.pair_hour, [*_PAIR, "_hour"])
+        keyed = join_lookup(keyed, self.pair, _PAIR)
         value = F.coalesce("pair_hour_mean", "pair_mean", self.overall.scalar())
         return keyed.withColumn(output, value).drop("_hour", "pair_hour_mean", "pair_mean")
 

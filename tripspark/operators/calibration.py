@@ -6,6 +6,7 @@ at once, key columns such as ``seed``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,9 +18,8 @@ from tripspark.operators.evaluation import by_segment
 from tripspark.operators.lookups import null_safe
 from tripspark.operators.orderstats import Quantile, group_quantiles, row_edges, slice_of
 from tripspark.session import materialize
-from tripspark.vocab import MIN_SEGMENT_ROWS, REQUEST_TIME_SEGMENTS, SEGMENT_BUCKETS, SEGMENT_COLUMNS
+from tripspark.vocab import MIN_SEGMENT_ROWS, REQUEST_TIME_SEGMENTS, SEGMENT_COLUMNS
 
-SCORE_WIDTH = 1.0
 ALL = "*"
 
 
@@ -176,10 +176,16 @@ def with_scores(frame: DataFrame) -> DataFrame:
 
 
 def split_conformal(cal: DataFrame, risk: float, keys: Sequence[str] = ()) -> DataFrame:
-    """One widening per key: the conformal order statistic of the calibration scores. Columns keys, q_s, n."""
+    """One widening per key: the conformal order statistic of the calibration scores. Columns keys, q_s, n.
+
+    Without calibration rows nothing bounds the error and the widening is infinite; :func:`apply_split` gives the same
+    to keys that have no row here.
+    """
     out = group_quantiles(
-        with_scores(cal), list(keys), "score", {"q_s": Quantile(risk, "conformal")}, width=SCORE_WIDTH
+        with_scores(cal), list(keys), "score", {"q_s": Quantile(risk, "conformal")}
     )
+    if not keys:
+        out = out.agg(F.coalesce(F.max("q_s"), F.lit(math.inf)).alias("q_s"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     return materialize(out.select(*keys, "q_s", "n"), "split-widths")
 
 
@@ -202,34 +208,20 @@ def mondrian_conformal(
     counts = with_scores(cal).groupBy(*keys, *axes, "score").agg(F.count("*").alias("_rows"))
     pooled = _join_cells(counts, members, axes, keys, "inner").select(*keys, "margin", "score", "_rows")
     widths = group_quantiles(
-        pooled, [*keys, "margin"], "score", {"q_s": Quantile(risk, "conformal")}, width=SCORE_WIDTH, weight="_rows",
-        groups_bounded=_bounded(axes),
+        pooled, [*keys, "margin"], "score", {"q_s": Quantile(risk, "conformal")}, weight="_rows"
     ).select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("margin").alias("_q_margin"), "q_s")
     on = [(k, f"_q_{k}") for k in keys] + [("margin", "_q_margin")]
     joined = plan.join(widths, null_safe(plan, widths, on))
     return materialize(joined.select(*keys, *axes, "cell_rows", "gid", "n", "q_s"), "cell-widths")
 
 
-def _bounded(axes: Sequence[str]) -> bool:
-    """Do all axes take their buckets from the fixed lists?"""
-    return all(a in SEGMENT_BUCKETS for a in axes)
-
-
-def _known_buckets(axes: Sequence[str]) -> Column:
-    known = [F.col(a).isNull() | F.col(a).isin(*SEGMENT_BUCKETS[a]) for a in axes if a in SEGMENT_BUCKETS]
-    return reduce(lambda a, b: a & b, known, F.lit(True))
-
-
 def _join_cells(
     frame: DataFrame, table: DataFrame, axes: Sequence[str], keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Null-safe join on the segment cell. With axes from the fixed lists, other buckets are filtered from the table,
-    which bounds it by the lists (under 400 cells per key), so it is broadcast; with any other axes the planner
-    decides by size."""
+    """Null-safe join on the segment cell. The tables of cells are written, so the planner broadcasts by size."""
     on = [*keys, *axes]
     others = [c for c in table.columns if c not in on]
-    small = table.filter(_known_buckets(axes)).select(*[F.col(c).alias(f"_j_{c}") for c in on], *others)
-    small = F.broadcast(small) if _bounded(axes) else small
+    small = table.select(*[F.col(c).alias(f"_j_{c}") for c in on], *others)
     joined = frame.join(small, null_safe(frame, small, [(c, f"_j_{c}") for c in on]), how)
     return joined.drop(*[f"_j_{c}" for c in on])
 
@@ -240,7 +232,7 @@ def apply_split(frame: DataFrame, widening: DataFrame, keys: Sequence[str] = ())
         joined = _join_cells(frame, widening.select(*keys, "q_s"), (), keys)
     else:
         joined = frame.withColumn("q_s", widening.select("q_s").scalar())
-    return _widen(joined)
+    return _widen(joined.withColumn("q_s", F.coalesce("q_s", F.lit(math.inf))))
 
 
 def apply_mondrian(
@@ -254,7 +246,7 @@ def apply_mondrian(
         joined = _join_cells(joined, whole, (), keys)
     else:
         joined = joined.withColumn("all_q", whole.scalar())
-    return _widen(joined.withColumn("q_s", F.coalesce("cell_q", "all_q")).drop("cell_q", "all_q"))
+    return _widen(joined.withColumn("q_s", F.coalesce("cell_q", "all_q", F.lit(math.inf))).drop("cell_q", "all_q"))
 
 
 def _widen(frame: DataFrame) -> DataFrame:
@@ -313,7 +305,6 @@ def fit_isotonic(
     min_rows: int,
     *,
     tie: str = "trip_id",
-    tie_width: float = 1e6,
     bins: int = 20,
     min_bin_rows: int = 20,
     keys: Sequence[str] = (),
@@ -323,12 +314,9 @@ def fit_isotonic(
     Columns keys, axis, bucket, level, xs, ys, rows.
     Rows are cut into equal-count bins by prediction; a bin gives its median prediction and the shift that makes
     its coverage exact. Buckets with few rows get no map of their own. A map with under two points is left out.
-    Equal predictions are split by the id column; ``tie_width`` is the id range that holds at most about a million
-    rows (ids without gaps: a million). The small tables between the steps are written, so each step's plan starts from a table and not from all
-    steps before it.
+    Equal predictions are split by the id column. The small tables between the steps are written, so each step's plan
+    starts from a table and not from all steps before it.
     """
-    if not _bounded(axes):
-        raise ValueError(f"isotonic axes must be segment columns with a fixed list of buckets: {list(axes)}")
     per_level = F.array(
         *[F.struct(F.lit(float(a)).alias("level"), F.col("q")[i].alias("pred")) for i, a in enumerate(levels)]
     )
@@ -345,11 +333,11 @@ def fit_isotonic(
         return F.least(F.lit(bins), F.greatest(F.floor(n / 200.0), F.lit(2)))
 
     edges = materialize(
-        row_edges(long, groups, "pred", "_tie", parts, width=60.0, tie_width=tie_width), "isotonic-edges"
+        row_edges(long, groups, "pred", "_tie", parts), "isotonic-edges"
     )
     renamed = edges.select(*[F.col(g).alias(f"_b_{g}") for g in groups], "edges")
-    # One row per axis bucket and level, all from fixed lists.
-    cut = long.join(F.broadcast(renamed), null_safe(long, renamed, [(g, f"_b_{g}") for g in groups]))
+    # One row per axis bucket and level.
+    cut = long.join(renamed, null_safe(long, renamed, [(g, f"_b_{g}") for g in groups]))
     cut = cut.select(
         *groups,
         "pred",
@@ -357,8 +345,8 @@ def fit_isotonic(
         (F.col("actual") - F.col("pred")).alias("residual"),
     )
     binned = [*groups, "bin"]
-    centre = group_quantiles(cut, binned, "pred", {"x": Quantile(0.5)}, width=60.0)
-    shift = group_quantiles(cut, binned, "residual", {"shift": Quantile("level")}, width=60.0)
+    centre = group_quantiles(cut, binned, "pred", {"x": Quantile(0.5)})
+    shift = group_quantiles(cut, binned, "residual", {"shift": Quantile("level")})
     points = materialize(centre.join(shift.drop("n"), binned), "isotonic-points")
     sizes = points.groupBy(*groups).agg(F.sum("n").alias("rows"))
     usable = points.filter(F.col("n") >= min_bin_rows)
@@ -455,7 +443,6 @@ def calibration_run(
     mondrian_axes: Sequence[str] = REQUEST_TIME_SEGMENTS,
     isotonic_axes: Sequence[str] = SEGMENT_COLUMNS,
     min_rows: int = MIN_SEGMENT_ROWS,
-    tie_width: float = 1e6,
 ) -> DataFrame:
     """Fit every repair on the calibration rows, score it on the test rows; all seeds in one job per repair."""
     levels, floor = settings.model.levels, settings.calibration.min_cell_rows
@@ -464,7 +451,7 @@ def calibration_run(
     runs = [measure(test_band, "raw", settings, keys, min_rows)]
     maps = None
     if isotonic_axes:
-        maps = fit_isotonic(cal, levels, isotonic_axes, floor, tie_width=tie_width, keys=keys)
+        maps = fit_isotonic(cal, levels, isotonic_axes, floor, keys=keys)
     for axis in isotonic_axes:
         adjusted = with_bounds(apply_isotonic(test, maps, levels, axis, keys), settings)
         runs.append(measure(adjusted, f"isotonic[{axis}]", settings, keys, min_rows))

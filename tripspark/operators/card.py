@@ -40,7 +40,7 @@ def overall(trips: DataFrame) -> DataFrame:
         F.max(TARGET).alias("max"),
     ).withColumn("axis", F.lit("all"))
     nearest = {name: Quantile(q, "nearest") for name, q in CARD_QUANTILES.items()}
-    ranked = group_quantiles(counts, ["axis"], TARGET, nearest, width=None, weight="rows").drop("n")
+    ranked = group_quantiles(counts, ["axis"], TARGET, nearest, weight="rows").drop("n")
     return basic.join(ranked, "axis").drop("axis")
 
 
@@ -48,7 +48,7 @@ def by_bucket(trips: DataFrame, axes: Sequence[str] = ("split", *SEGMENT_COLUMNS
     """Rows, share, median and nearest-rank p90 of the target for each bucket of each axis."""
     counts = value_counts(trips, axes).filter("axis <> 'all'")
     wanted = {"p50": Quantile(0.5), "p90": Quantile(0.9, "nearest")}
-    stats = group_quantiles(counts, ["axis", "bucket"], TARGET, wanted, width=None, weight="rows")
+    stats = group_quantiles(counts, ["axis", "bucket"], TARGET, wanted, weight="rows")
     rows = stats.groupBy("axis").agg(F.sum("n").alias("axis_rows"))
     return stats.join(rows, "axis").select(
         "axis",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tripspark.functions.sampling import in_tier, key_hash
-from tripspark.operators.features import StaticTables, default_registry, feature_frame
+from tripspark.operators.features import StaticTables, feature_frame
 from tripspark.operators.zone_state import zone_state
 from tripspark.vocab import COMPONENTS, SEGMENT_COLUMNS, TARGET
 
@@ -55,7 +55,3 @@ def population_digest(frame: DataFrame, keys: Sequence[str] = ("request_s", "pu_
     stats.append(F.sum(F.conv(F.substring(row_text, 1, 8), 16, 10).cast("bigint")))
     text = F.concat_ws(";", *[F.coalesce(s.cast("string"), F.lit("")) for s in stats])
     return frame.agg(F.count("*").alias("rows"), F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
-
-
-def feature_names() -> list[str]:
-    return default_registry().names

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tripspark.config import Settings
 from tripspark.functions import segments
-from tripspark.operators.lookups import join_by_domain
+from tripspark.operators.lookups import join_lookup
 from tripspark.operators.weather import join_weather
 
 
@@ -26,7 +26,7 @@ def assign_segments(trips: DataFrame, density: DataFrame, settings: Settings) ->
             "seg_weather": segments.weather_bucket(F.col("temp_c"), F.col("precip_mm_h"), cfg),
         }
     )
-    return join_by_domain(tagged, density, ["pu_zone"], ["pu_zone"])
+    return join_lookup(tagged, density, ["pu_zone"])
 
 
 def assign_split(trips: DataFrame, settings: Settings) -> DataFrame:

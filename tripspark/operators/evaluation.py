@@ -90,7 +90,10 @@ def segment_table(segments: DataFrame) -> DataFrame:
 
 def select_champion(costs: DataFrame) -> DataFrame:
     """Candidate with the lowest mean validation cost, the runner-up's margin, and whether that margin beats the
-    champion's own seed spread. ``costs`` has one row per candidate and seed: model, val_cost."""
+    champion's own seed spread. ``costs`` has one row per candidate and seed: model, val_cost; without any, there is
+    nothing to choose from, which is an error."""
+    if costs.isEmpty():
+        raise ValueError("no candidate to choose a champion from")
     means = costs.groupBy("model").agg(
         F.avg("val_cost").alias("val_cost"), F.coalesce(F.stddev_samp("val_cost"), F.lit(0.0)).alias("val_cost_std")
     )
@@ -111,19 +114,15 @@ def select_champion(costs: DataFrame) -> DataFrame:
 
 
 def temporal_windows(
-    frame: DataFrame, cfg: CostConfig, labels: Sequence[str] = ("early", "middle", "late"), tie: str = "trip_id",
-    tie_width: float = 1e6,
+    frame: DataFrame, cfg: CostConfig, labels: Sequence[str] = ("early", "middle", "late"), tie: str = "trip_id"
 ) -> DataFrame:
     """Paired costs and late rates in consecutive windows with equally many rows, by request time.
 
-    Rows of the same second are split by the id column; ``tie_width`` is the id range that holds at most about a
-    million rows (ids without gaps: a million).
+    Rows of the same second are split by the id column.
     """
     n_windows = len(labels)
     marked = frame.withColumn("_all", F.lit(1))
-    edges = row_edges(
-        marked, ["_all"], "request_s", tie, lambda n: F.lit(n_windows), width=86_400.0, tie_width=tie_width
-    )
+    edges = row_edges(marked, ["_all"], "request_s", tie, lambda n: F.lit(n_windows))
     # One row.
     sliced = marked.withColumn("edges", edges.select("edges").scalar())
     named = F.element_at(
@@ -164,8 +163,10 @@ def losing_streak(days: DataFrame) -> DataFrame:
 
 
 def paired_blocks(frame: DataFrame, cfg: CostConfig) -> DataFrame:
-    """Distribution of the daily cost differences."""
+    """Distribution of the daily cost differences; an error without a day to compare."""
     days = daily_differences(frame, cfg)
+    if days.isEmpty():
+        raise ValueError("no rows to compare in daily blocks")
     weekend = F.col("weekday") >= 5
     summary = days.agg(
         F.count("*").alias("blocks"),
@@ -251,7 +252,7 @@ def clamp_stats(frame: DataFrame, levels: Sequence[float]) -> DataFrame:
         F.coalesce(F.avg("adjustment"), F.lit(0.0)).alias("mean_adjustment_s"),
         F.coalesce(F.max("adjustment"), F.lit(0.0)).alias("max_adjustment_s"),
     )
-    p95 = group_quantiles(long, ["level"], "adjustment", {"p95": Quantile(0.95)}, width=1.0)
+    p95 = group_quantiles(long, ["level"], "adjustment", {"p95": Quantile(0.95)})
     joined = counts.join(p95.select("level", "p95"), "level", "left")
     return joined.withColumn("p95_adjustment_s", F.coalesce("p95", F.lit(0.0))).drop("p95")
 
@@ -283,7 +284,7 @@ def overshoot(frame: DataFrame) -> DataFrame:
         F.avg("direct").alias("mean_direct_s"),
         F.avg("summed").alias("mean_summed_s"),
     )
-    middle = group_quantiles(gaps, ["_all"], "gap", {"median_overshoot_s": Quantile(0.5)}, width=1.0)
+    middle = group_quantiles(gaps, ["_all"], "gap", {"median_overshoot_s": Quantile(0.5)})
     return basic.join(middle.drop("n"), "_all").drop("_all")
 
 
@@ -325,21 +326,27 @@ def attribution(
     return shares.drop("mean_abs"), best.select("axis", "bucket", "place", "feature", "mean_abs")
 
 
-def stage_percentiles(timings: DataFrame, width: float = 1.0) -> DataFrame:
+def stage_percentiles(timings: DataFrame) -> DataFrame:
     """p50, p95, p99 and mean of ``ms`` per ``stage``."""
     wanted = {"p50": Quantile(0.5), "p95": Quantile(0.95), "p99": Quantile(0.99)}
-    ranked = group_quantiles(timings, ["stage"], "ms", wanted, width=width, groups_bounded=False)
+    ranked = group_quantiles(timings, ["stage"], "ms", wanted)
     return ranked.join(timings.groupBy("stage").agg(F.avg("ms").alias("mean")), "stage")
 
 
 def compare_predictions(left: DataFrame, right: DataFrame, key: str, tolerance: float = 1e-4) -> DataFrame:
-    """Largest and mean absolute difference of two prediction columns, and the share within tolerance."""
-    renamed = right.select(F.col(key).alias("_key"), F.col("prediction").alias("_other"))
-    pairs = left.join(renamed, null_safe(left, renamed, [(key, "_key")]))
+    """Largest and mean absolute difference of two prediction columns, and the share within tolerance.
+
+    Rows that only one side has are counted on their side and are not within tolerance.
+    """
+    mine = left.select(F.col(key).alias("_mine"), "prediction", F.lit(True).alias("_left"))
+    renamed = right.select(F.col(key).alias("_key"), F.col("prediction").alias("_other"), F.lit(True).alias("_right"))
+    pairs = mine.join(renamed, null_safe(mine, renamed, [("_mine", "_key")]), "full")
     gap = F.abs(F.col("prediction") - F.col("_other"))
     return pairs.agg(
         F.count("*").alias("rows"),
+        F.count_if(F.col("_right").isNull()).alias("only_left"),
+        F.count_if(F.col("_left").isNull()).alias("only_right"),
         F.max(gap).alias("max_abs_diff"),
         F.avg(gap).alias("mean_abs_diff"),
-        scores.share(gap <= tolerance).alias("share_within"),
+        scores.share(F.coalesce(gap <= tolerance, F.lit(False))).alias("share_within"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripspark.functions import clock, vectors
 from tripspark.functions.scores import clip_low
-from tripspark.operators.lookups import join_by_domain
+from tripspark.operators.lookups import join_lookup
 from tripspark.operators.zone_state import attach_state
 from tripspark.vocab import BOROUGH_IDS, EVAL_ONLY_COLUMNS, POST_HOC_COLUMNS, WEATHER_COLUMNS, WINDOWS_MIN
 
@@ -206,14 +206,14 @@ class StaticTables:
 def add_lookups(requests: DataFrame, static: StaticTables) -> DataFrame:
     """Pair columns, then every zone column once for the pickup side and once for the drop-off side."""
     pairs = ["pu_zone", "do_zone"]
-    frame = join_by_domain(requests, static.pair_lookup(), pairs, pairs)
+    frame = join_lookup(requests, static.pair_lookup(), pairs)
     by_zone = static.zone_lookup()
     for side in ("pu", "do"):
         renamed = by_zone.select(
             F.col("zone_id").alias(f"{side}_zone"),
             *[F.col(c).alias(f"{side}_{c}") for c in by_zone.columns if c != "zone_id"],
         )
-        frame = join_by_domain(frame, renamed, [f"{side}_zone"], [f"{side}_zone"])
+        frame = join_lookup(frame, renamed, [f"{side}_zone"])
     return frame
 
 

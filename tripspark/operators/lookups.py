@@ -1,40 +1,20 @@
-"""Joins with small tables. A side is broadcast only when its size is proven or measured."""
+"""Joins with small tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
-from tripspark.vocab import MAX_ZONE_ID
 
-# A zone-pair-hour table: 265 * 265 * 24 rows of a few numbers, under 100 MB however much data it sums up.
-DOMAIN_ROWS = {"zone": MAX_ZONE_ID, "hour": 24}
-MAX_MEASURED_ROWS = 2_000_000
+def join_lookup(frame: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table that has one row per key; ``table`` must be unique on ``on``: every caller aggregates by these keys.
 
-
-def in_zone_domain(*columns: str) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(c).between(1, MAX_ZONE_ID) for c in columns))
-
-
-def join_by_domain(
-    frame: DataFrame, table: DataFrame, on: Sequence[str], zones: Sequence[str], how: str = "left"
-) -> DataFrame:
-    """Join a table that has one row per zone, zone pair or zone-pair-hour.
-
-    The filter on the zone range bounds the table at 265 rows per zone column whatever the input size,
-    so broadcasting it is safe. ``table`` must be unique on ``on``: every caller aggregates by these keys.
+    Lookup tables are written, so the planner knows their size: it broadcasts one that is small and shuffles one that is
+    not. No row of either side is filtered.
     """
-    return frame.join(F.broadcast(table.filter(in_zone_domain(*zones))), list(on), how)
-
-
-def join_measured(
-    frame: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = MAX_MEASURED_ROWS
-) -> DataFrame:
-    """Join a table of unknown size: count it first, broadcast when small, else let adaptive execution split it."""
-    small = table.limit(max_rows + 1).count() <= max_rows
-    return frame.join(F.broadcast(table) if small else table, list(on), how)
+    return frame.join(table, list(on), how)
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:

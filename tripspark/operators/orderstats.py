@@ -1,15 +1,13 @@
 """Exact order statistics that never sort a whole group in one task.
 
-A group may hold a third of all rows, so no window here runs over raw rows. Rows are first counted per
-distinct value (combined before the shuffle). Counts are then summed per coarse bin of a fixed width; a
-running sum over the bins finds the one bin that holds each wanted rank, and only the values of those
-bins are ranked. Bins of a group are bounded by the value's range over the width, values of a bin by the
-number of distinct values within one width.
-
-The wanted bins are one row per group and rank. Where the groups come from a fixed list (zones, zone pairs,
-segment buckets and levels: at most 265 * 265 groups), the caller leaves ``groups_bounded`` on and that table is
-broadcast, so the counts are not shuffled again. With any other groups it must be turned off; the join then goes
-by measured size.
+A group may hold a third of all rows, so no window here runs over all rows of a large group. Each wanted rank starts with
+its group's whole range of values. While more than ``MOST_RANKED`` rows lie in the range, they are counted per bin of it,
+combined before the shuffle, and the range shrinks to the values of the one bin that holds the rank; its exact smallest
+and largest value are the next range. Only the rows of the final ranges are counted per value and ranked. So the rows
+that move are the counts of at most ``BINS`` bins for each range, and no caller has to guess a width.
+
+The ranges, one row for each group and rank, are written between the rounds. The planner sees their size and broadcasts
+them when they are small.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripspark.operators.lookups import null_safe
+from tripspark.session import materialize
 
 Rank = Callable[[Column], Column]
 Ranks = Callable[[Column], Column]
@@ -63,70 +62,97 @@ class Quantile:
         return low + (high - low) * part
 
 
+#: Rows of one range that one task may rank, and bins that a longer range is counted in.
+MOST_RANKED = 200_000
+BINS = 4096
+
+
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     ranks: Ranks,
     *,
-    width: float | None,
     weight: str | None = None,
-    groups_bounded: bool = True,
+    most: int = MOST_RANKED,
 ) -> DataFrame:
     """The values at the wanted 1-based ranks of each group, one row per rank.
 
     ``ranks(n)`` is an array of (i, rank) for a group of ``n`` rows and may read the group columns; ranks outside
-    1..n are left out. ``width=None`` states that a group has few distinct values (for example seconds under six
-    hours), so one window over the counts is enough. Null values are left out.
+    1..n are left out. Null values are left out. ``df`` is read once for the sizes of the groups, once for each
+    round of shrinking (none for small groups) and once for the rows of the final ranges.
     Columns: groups, n, i, rank, value, below (rows with a smaller value).
     """
     keys = list(groups)
-    rows = F.col(weight) if weight else F.lit(1)
-    counts = (
-        df.select(*keys, F.col(value).alias("_v"), rows.cast("bigint").alias("_w"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.sum("_w").alias("_n"))
+    held = F.col(weight) if weight else F.lit(1)
+    rows = df.select(*keys, F.col(value).alias("_v"), held.cast("bigint").alias("_w")).filter(F.col("_v").isNotNull())
+    sizes = rows.groupBy(*keys).agg(
+        F.sum("_w").alias("n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    group_window = Window.partitionBy(*keys)
-    so_far = Window.unboundedPreceding, 0
-    if width is None:
-        upto = F.sum("_n").over(group_window.orderBy("_v").rowsBetween(*so_far))
-        hits = counts.select("*", upto.alias("_upto"), F.sum("_n").over(group_window).alias("n"))
-        asked = ranks(F.col("n"))
-    else:
-        binned = counts.withColumn("_bin", F.floor(F.col("_v").cast("double") / F.lit(float(width))))
-        coarse = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-        upto = F.sum("_bn").over(group_window.orderBy("_bin").rowsBetween(*so_far))
-        coarse = coarse.select("*", upto.alias("_upto"), F.sum("_bn").over(group_window).alias("n"))
-        inside = F.filter(ranks(F.col("n")), _between(F.col("_upto") - F.col("_bn"), F.col("_upto")))
-        targets = coarse.withColumn("_asked", inside).filter(F.size("_asked") > 0)
-        targets = targets.select(
-            *[F.col(k).alias(f"_t_{k}") for k in [*keys, "_bin"]],
-            (F.col("_upto") - F.col("_bn")).alias("_base"),
-            "n",
-            "_asked",
-        )
-        pairs = [(k, f"_t_{k}") for k in [*keys, "_bin"]]
-        fine = binned.join(_maybe_broadcast(targets, groups_bounded), null_safe(binned, targets, pairs))
-        inner = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(*so_far)
-        hits = fine.select(
-            *keys, "_v", "_n", (F.col("_base") + F.sum("_n").over(inner)).alias("_upto"), "n", "_asked"
-        )
-        asked = F.col("_asked")
-    below = F.col("_upto") - F.col("_n")
-    found = hits.select(
-        *keys, "n", F.col("_v").alias("value"), below.alias("below"), F.inline(F.filter(asked, _between(below, F.col("_upto"))))
+    wanted = F.filter(ranks(F.col("n")), lambda pick: (pick["rank"] >= 1) & (pick["rank"] <= F.col("n")))
+    start = sizes.filter("n IS NOT NULL").select("*", F.lit(0).cast("bigint").alias("_base"), F.inline(wanted))
+    ranges = materialize(start, "rank-ranges")
+    kept = [*keys, "n", "i", "rank"]
+    while True:
+        large = ranges.filter((F.col("_rows") > most) & (F.col("_lo") < F.col("_hi")))
+        if large.isEmpty():
+            break
+        small = ranges.filter(~((F.col("_rows") > most) & (F.col("_lo") < F.col("_hi"))))
+        ranges = materialize(small.unionByName(_shrunk(rows, large, keys, kept)), "rank-ranges")
+    places = ranges.select(*keys, "_lo", "_hi", "_base").distinct()
+    counts = _inside(rows, places, keys).groupBy(*keys, "_lo", "_hi", "_base", "_v").agg(F.sum("_w").alias("_n"))
+    so_far = Window.partitionBy(*keys, "_lo", "_hi", "_base").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.select("*", (F.col("_base") + F.sum("_n").over(so_far)).alias("_upto"))
+    found = counts.select(
+        *[F.col(k).alias(f"_c_{k}") for k in [*keys, "_lo", "_hi", "_base"]],
+        F.col("_v").alias("value"),
+        (F.col("_upto") - F.col("_n")).alias("below"),
+        "_upto",
+    )
+    pairs = [(k, f"_c_{k}") for k in [*keys, "_lo", "_hi", "_base"]]
+    joined = ranges.join(found, null_safe(ranges, found, pairs))
+    hit = joined.filter((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("_upto")))
+    return hit.select(*kept, "value", "below")
+
+
+def _inside(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of each range, with its columns. Ranges of a group touch no value twice, but may be the same."""
+    names = {k: f"_t_{k}" for k in keys}
+    slim = ranges.withColumnsRenamed(names).withColumn("_one", F.lit(1))
+    on = [(k, names[k]) for k in keys] + [("_one", "_one")]
+    marked = rows.withColumn("_one", F.lit(1))
+    joined = marked.join(slim, null_safe(marked, slim, on)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    return joined.drop("_one", *names.values())
+
+
+def _shrunk(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Each range cut to the values of the bin that holds its rank."""
+    place = [*keys, "_lo", "_hi", "_base"]
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    # Halved, so that the widest ranges do not overflow. The largest value has a bin of its own, so every round
+    # takes something off.
+    part = (F.col("_v").cast("double") / 2 - low / 2) / F.nullif(high / 2 - low / 2, F.lit(0.0))
+    part = F.when(F.col("_v") == F.col("_hi"), BINS).when(F.col("_v") == F.col("_lo"), -1).otherwise(
+        F.coalesce(F.floor(F.when(~F.isnan(part), part) * BINS), F.lit(0))
+    )
+    binned = _inside(rows, ranges.select(*place).distinct(), keys).withColumn("_bin", part)
+    bins = binned.groupBy(*place, "_bin").agg(
+        F.sum("_w").alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
+    )
+    so_far = Window.partitionBy(*place).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.select("*", (F.col("_base") + F.sum("_n").over(so_far)).alias("_upto"))
+    renamed = bins.select(*[F.col(c).alias(f"_b_{c}") for c in place], "_n", F.col("_rows").alias("_left"), "_from", "_to", "_upto")
+    joined = ranges.join(renamed, null_safe(ranges, renamed, [(c, f"_b_{c}") for c in place]))
+    hit = joined.filter((F.col("rank") > F.col("_upto") - F.col("_n")) & (F.col("rank") <= F.col("_upto")))
+    return hit.select(
+        *[c for c in kept if c not in ("i", "rank")],
+        F.col("_left").alias("_rows"),
+        F.col("_from").alias("_lo"),
+        F.col("_to").alias("_hi"),
+        (F.col("_upto") - F.col("_n")).alias("_base"),
+        "i",
+        "rank",
     )
-    return found.select(*keys, "n", "i", "rank", "value", "below")
-
-
-def _maybe_broadcast(small: DataFrame, bounded: bool) -> DataFrame:
-    return F.broadcast(small) if bounded else small
-
-
-def _between(before: Column, upto: Column) -> Callable[[Column], Column]:
-    return lambda pick: (pick["rank"] > before) & (pick["rank"] <= upto)
 
 
 def group_quantiles(
@@ -135,9 +161,8 @@ def group_quantiles(
     value: str,
     quantiles: Mapping[str, Quantile],
     *,
-    width: float | None,
     weight: str | None = None,
-    groups_bounded: bool = True,
+    most: int = MOST_RANKED,
 ) -> DataFrame:
     """Exact quantiles per group: columns ``groups``, ``n`` and one per quantile."""
     wanted: list[Rank] = []
@@ -152,7 +177,7 @@ def group_quantiles(
             *[F.struct(F.lit(i).alias("i"), rank(n).cast("bigint").alias("rank")) for i, rank in enumerate(wanted)]
         )
 
-    found = order_statistics(df, groups, value, ranks, width=width, weight=weight, groups_bounded=groups_bounded)
+    found = order_statistics(df, groups, value, ranks, weight=weight, most=most)
     wide = found.groupBy(*groups).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("i") == i, F.col("value").cast("double"))).alias(f"_r{i}") for i in range(len(wanted))],
@@ -171,14 +196,12 @@ def row_edges(
     tie: str,
     parts: Callable[[Column], Column],
     *,
-    width: float | None,
-    tie_width: float,
+    most: int = MOST_RANKED,
 ) -> DataFrame:
     """First row of each of ``parts(n)`` equal-count slices per group, as an ascending ``edges`` array.
 
     Slice ``i`` of ``b`` starts at position ``floor(i * n / b)`` in (value, tie) order. Rows that share the
-    boundary value are split by the tie column with a second ranking over just those rows. Groups must come from
-    a fixed list.
+    boundary value are split by the tie column with a second ranking over just those rows.
     """
 
     def starts(n: Column, below: Column) -> Column:
@@ -188,15 +211,16 @@ def row_edges(
             lambda i: F.struct(i.alias("i"), (F.floor(i * n / parts(n)) + 1 - below).cast("bigint").alias("rank")),
         )
 
-    first = order_statistics(df, groups, value, lambda n: starts(n, F.lit(0)), width=width)
+    first = order_statistics(df, groups, value, lambda n: starts(n, F.lit(0)), most=most)
     wanted = first.groupBy(*groups, "value").agg(F.max("n").alias("_e_n"), F.max("below").alias("_e_below"))
+    # One row per group and slice; written, so the planner broadcasts it by its size.
+    wanted = materialize(wanted, "slice-values")
     renamed = wanted.select(
         *[F.col(g).alias(f"_e_{g}") for g in groups], F.col("value").alias("_e_value"), "_e_n", "_e_below"
     )
     source = df.select(*groups, value, tie)
     pairs = [(g, f"_e_{g}") for g in groups] + [(value, "_e_value")]
-    # One row per group and slice, from bounded groups.
-    boundary = source.join(F.broadcast(renamed), null_safe(source, renamed, pairs)).drop(
+    boundary = source.join(renamed, null_safe(source, renamed, pairs)).drop(
         *[f"_e_{g}" for g in groups], value
     )
     # Counted from the first row of the boundary value; starts at other values fall outside and are left out.
@@ -205,7 +229,7 @@ def row_edges(
         [*groups, "_e_value", "_e_n", "_e_below"],
         tie,
         lambda _: starts(F.col("_e_n"), F.col("_e_below")),
-        width=tie_width,
+        most=most,
     )
     edge = F.struct(F.col("_e_value").alias("edge_value"), F.col("value").alias("edge_tie"))
     return chosen.groupBy(*groups).agg(F.array_sort(F.collect_list(edge)).alias("edges"))

@@ -23,7 +23,6 @@ from tripspark.vocab import COMPONENTS, TARGET
 
 # Trees split a missing value off by this number, which no feature takes.
 MISSING = -1.0e6
-RESIDUAL_WIDTH = 4.0
 
 
 @dataclass(frozen=True)
@@ -93,12 +92,13 @@ def fit_quantile(
 ) -> QuantileTrees:
     """Boost towards one quantile; with validation rows, keep the round where their pinball loss was lowest."""
     rows = train.select("features", F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL")
-    start = group_quantiles(rows, [], "_y", {"q": Quantile(level)}, width=RESIDUAL_WIDTH).first()["q"]
+    start = group_quantiles(rows, [], "_y", {"q": Quantile(level)}).first()["q"]
     model = QuantileTrees(level, float(start))
     current = rows.withColumn("_p", F.lit(model.start))
     checked = None
     if valid is not None:
-        checked = valid.select("features", F.col(label).cast("double").alias("_y")).withColumn("_p", F.lit(model.start))
+        checked = valid.select("features", F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL")
+        checked = checked.withColumn("_p", F.lit(model.start))
     best_loss, best_rounds = math.inf, 0
     for k in range(params.rounds):
         pull = F.when(F.col("_y") > F.col("_p"), level).otherwise(level - 1.0)
@@ -114,7 +114,7 @@ def fit_quantile(
         in_leaf = tree.transform(current).select(
             F.col("_leaf").cast("int").alias("leaf"), (F.col("_y") - F.col("_p")).alias("residual")
         )
-        shifts = group_quantiles(in_leaf, ["leaf"], "residual", {"q": Quantile(level)}, width=RESIDUAL_WIDTH)
+        shifts = group_quantiles(in_leaf, ["leaf"], "residual", {"q": Quantile(level)})
         by_leaf = {row["leaf"]: row["q"] for row in shifts.collect()}
         leaves = (tree.numNodes + 1) // 2
         values = tuple(params.rate * by_leaf.get(i, 0.0) for i in range(leaves))
@@ -124,6 +124,8 @@ def fit_quantile(
             current = materialize(current, "boosting-rows")
         if checked is not None:
             checked = model._step(checked, k, "_p")
+            if (k + 1) % params.write_every == 0:
+                checked = materialize(checked, "boosting-checks")
             loss = pinball_loss(checked, "_y", "_p", level)
             if loss < best_loss:
                 best_loss, best_rounds = loss, k + 1
@@ -180,7 +182,7 @@ def fit_composition(
         )
         models.append(model)
         running = materialize(advance(running, model, i == 0), "composition-rows")
-        checked = None if checked is None else advance(checked, model, i == 0)
+        checked = None if checked is None else materialize(advance(checked, model, i == 0), "composition-checks")
     return models
 
 

@@ -151,22 +151,21 @@ def embedding_similarity_feature(spark, sf):
     "cosine_similarity",
     "P27",
     """
-WITH q AS (SELECT label, [AVG(embedding[1]), AVG(embedding[2]), AVG(embedding[3]), AVG(embedding[4])] AS centre
-           FROM embeddings GROUP BY 1),
-x AS (SELECT e.vec_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE),
-      CAST(embedding[4] AS DOUBLE)] AS v, q.centre FROM embeddings e JOIN q ON e.label = q.label)
+WITH parts AS (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS part
+               FROM (SELECT label, embedding, UNNEST(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2),
+q AS (SELECT label, list(part ORDER BY i) AS centre FROM parts GROUP BY 1),
+x AS (SELECT e.vec_id, CAST(embedding AS DOUBLE[]) AS v, q.centre FROM embeddings e JOIN q ON e.label = q.label)
 SELECT vec_id, ROUND(list_dot_product(v, centre) / NULLIF(sqrt(list_dot_product(v, v))
        * sqrt(list_dot_product(centre, centre)), 0), 6) AS similarity FROM x""",
 )
 def cosine_similarity(spark, sf):
-    """Each vector's first four numbers against the mean of its label."""
-    vecs = d.table(spark, sf, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)]
-    )
-    centres = vecs.groupBy("label").agg(F.array(*[F.avg(f"x{i}") for i in range(4)]).alias("centre"))
-    joined = vecs.join(centres, "label")
-    own = F.array(*[F.col(f"x{i}") for i in range(4)])
-    return joined.select("vec_id", F.round(vectors.cosine(own, F.col("centre")), 6).alias("similarity"))
+    """Each vector against the mean of its label."""
+    vecs = d.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    parts = vecs.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("part"))
+    # As many parts per label as a vector is long.
+    centres = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("c"))
+    joined = vecs.join(centres.select("label", F.col("c.part").alias("centre")), "label")
+    return joined.select("vec_id", F.round(vectors.cosine(F.col("v"), F.col("centre")), 6).alias("similarity"))
 
 
 @query(

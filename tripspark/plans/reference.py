@@ -101,7 +101,7 @@ def embeddings(spark: SparkSession, sf: str, dims: int = 4) -> DataFrame:
         spark,
         sf,
         f"embeddings-{dims}",
-        lambda: ref.zone_embeddings(d.enriched(spark, sf), d.zones(spark, sf), dims, 25),
+        lambda: ref.zone_embeddings(d.enriched(spark, sf), d.zones(spark, sf), dims),
     )
 
 
@@ -185,7 +185,7 @@ def zone_pair_matrix(spark, sf):
               GREATEST(COUNT(*) FILTER (is_estimated) - 35, 0) AS estimates_over_limit FROM matrix""",
 )
 def matrix_validation(spark, sf):
-    return ref.matrix_checks(matrix(spark, sf), 25)
+    return ref.matrix_checks(matrix(spark, sf), d.zones(spark, sf).count())
 
 
 @query(
@@ -286,7 +286,7 @@ def training_pair_counts(spark, sf):
 
 @query("zone_embeddings", "A11")
 def zone_embeddings(spark, sf):
-    return ref.zone_embeddings(d.enriched(spark, sf), d.zones(spark, sf), 4, 25)
+    return ref.zone_embeddings(d.enriched(spark, sf), d.zones(spark, sf), 4)
 
 
 @query(

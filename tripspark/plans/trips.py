@@ -463,6 +463,6 @@ def load_report(trips: DataFrame) -> DataFrame:
     )
     # Whole seconds under six hours: few distinct values per group, so one window over their counts is enough.
     times = group_quantiles(
-        trips, keys, "total_time_s", {"p50": Quantile(0.5), "p90": Quantile(0.9)}, width=None
+        trips, keys, "total_time_s", {"p50": Quantile(0.5), "p90": Quantile(0.9)}
     )
     return load.join(times.drop("n"), keys).withColumn("p90", F.round("p90", 4))

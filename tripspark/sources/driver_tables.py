@@ -25,7 +25,6 @@ SETTINGS = Settings(
 )
 
 # Trip ids leave gaps of four million per order line; a range this wide holds some ten thousand trips.
-TRIP_ID_WIDTH = 1e11
 
 STATIONS = ("central_park", "lga", "jfk", "ewr")
 _BOROUGHS = {

@@ -16,18 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tripspark.functions import clock
 from tripspark.operators import zone_state as batch
 from tripspark.session import fresh_path
-from tripspark.vocab import BUCKET_S, METRES_PER_MILE, STATE_MEASURES, WINDOWS_MIN
-
-
-def completion_rows(trips: DataFrame) -> DataFrame:
-    """One bucket row per finished trip; grouping happens inside the stateful step, after map-side combining."""
-    return trips.filter(F.col("trip_duration_s") > 0).select(
-        F.col("pu_zone").alias("zone"),
-        clock.bucket(F.col("dropoff_s")).alias("bucket_s"),
-        F.lit(1).cast("bigint").alias("completed"),
-        (F.col("trip_miles") * METRES_PER_MILE).alias("distance_m"),
-        F.col("trip_duration_s").alias("duration_s"),
-    )
+from tripspark.vocab import STATE_MEASURES, WINDOWS_MIN
 
 
 def event_buckets(rows: DataFrame, lateness_s: int) -> DataFrame:
@@ -192,6 +181,3 @@ def run_upsert(stream: DataFrame, name: str) -> str:
 def dropped_by_watermark(progress: list) -> int:
     """Rows that came too late to count, over all batches."""
     return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
-
-
-assert BUCKET_S * 12 == 60 * max(WINDOWS_MIN)

@@ -66,22 +66,6 @@ SEGMENT_BUCKETS = {
 SPLITS = ("train", "cal", "val", "test", "holdout", "beyond")
 
 # Column roles. A feature may not read a column that is only known after the trip.
-REQUEST_TIME_KNOWN = frozenset(
-    {
-        "request_datetime",
-        "hvfhs_license_num",
-        "pu_zone",
-        "do_zone",
-        "temp_c",
-        "wind_ms",
-        "visibility_m",
-        "precip_mm_h",
-        "snow_depth_cm",
-        "seg_time",
-        "seg_zone_density",
-        "seg_weather",
-    }
-)
 POST_HOC_COLUMNS = frozenset(
     {
         "on_scene_datetime",
@@ -151,3 +135,15 @@ MIN_SEGMENT_ROWS = 1_000
 # Sampling tiers in basis points of the key hash.
 HASH_MODULUS = 10_000
 TIERS = {"tune": 300, "ablation": 2_500, "full": 10_000}
+
+# Fixed: columns of the pair matrix.
+MATRIX_COLUMNS = (
+    "pu_zone",
+    "do_zone",
+    "route_distance_m",
+    "free_flow_duration_s",
+    "turn_count",
+    "highway_fraction",
+    "is_intra_zone",
+    "is_estimated",
+)
