@@ -13,20 +13,24 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-#: Entries that each memo of a worker holds before it starts again; about 60 MB each.
-MEMO_ENTRIES = 300_000
-
-# Letters whose lower case and normal form are the same in every Unicode version. Chunks of other letters, and those
-# that may hold a special string, go to the library whole.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
-# The file's own pre-token pattern for these letters, lower-cased.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Entries of a generation of the memos of pieces and of odd chunks. A worker holds two generations: 250 MB at most.
+MEMO_PIECES, MEMO_CHUNKS = 500_000, 100_000
+
+# Characters whose class, lower case and normal form are the same in every Unicode version: ASCII, Latin letters, general
+# punctuation. Texts of these alone are cut as a whole; of others, the chunks that hold anything else or may hold a
+# special string go to the library as they are.
+_SIGNS = "!-/:-@\\[-`{-~\u2010-\u2027\u2030-\u203e"
+_PLAIN = re.compile(f"[0-9A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ{_SIGNS}\t-\r ]*")
+# The file's own pre-token pattern for these characters, lower-cased; alternatives that start with different characters
+# may stand in any order.
+_PIECES = re.compile(f"[a-zß-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{_SIGNS}]+")
 _WORD_END = "</w>"
 
 
@@ -81,16 +85,21 @@ def ship(spark: SparkSession, path: str) -> Broadcast:
 
 
 class _Memo(dict):
-    """Results by text; starts again when it is full."""
+    """Results by text in two generations: when the young one is full it becomes the old one, whose entries come back
+    as they are met. What is frequent is thus never computed again, and what is rare goes."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make = make
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
-        self[key] = found = self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -103,39 +112,53 @@ class Encoder:
         self.tokenizer.no_padding()
         self.plain = shipped["plain"]
         self.whole = {k: np.uint32(v).tobytes() for k, v in shipped["whole"].items()}
-        self.pieces = _Memo(self._merged)
-        self.chunks = _Memo(self._chunk_ids)
-        self.counts = _Memo(self._chunk_count)
+        self.pieces = _Memo(self._piece_ids, MEMO_PIECES)
+        self.lengths = _Memo(self._piece_length, MEMO_PIECES)
+        self.chunks = _Memo(self._merged, MEMO_CHUNKS)
 
     def _merged(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _cut(self, chunk: bytes) -> list[str] | None:
-        text = chunk.decode()
+    def _piece_ids(self, piece: str) -> bytes:
+        return self.whole.get(piece) or self._merged(piece)
+
+    def _piece_length(self, piece: str) -> int:
+        # A whole token counts as it stands; only the rest is merged.
+        return 1 if piece in self.whole else len(self._merged(piece)) // 4
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text of plain characters."""
         if not self.plain or "<|" in text or not _PLAIN.fullmatch(text):
             return None
         return _PIECES.findall(text.lower())
 
-    def _chunk_ids(self, chunk: bytes) -> bytes:
-        pieces = self._cut(chunk)
-        if pieces is None:
-            return self._merged(chunk.decode())
-        return b"".join([self.whole.get(p) or self.pieces[p] for p in pieces])
-
-    def _chunk_count(self, chunk: bytes) -> int:
-        pieces = self._cut(chunk)
-        if pieces is None:
-            return len(self._merged(chunk.decode())) // 4
-        # One for each whole token; the rest is merged.
-        return sum([1 if p in self.whole else len(self.pieces[p]) // 4 for p in pieces])
+    def _parts(self, text: str) -> Iterator[tuple[str, list[str] | None]]:
+        """The chunks of a text between ASCII white space, with the pre-tokens of the plain ones."""
+        for chunk in text.encode("utf-8", "surrogatepass").split():
+            part = chunk.decode("utf-8", "surrogatepass")
+            yield part, self._cut(part)
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text; none for null."""
-        return b"" if text is None else b"".join(map(self.chunks.__getitem__, text.encode().split()))
-
-    def count(self, raw: bytes) -> int:
-        """The number of ids of a whole text, given as UTF-8."""
-        return sum(map(self.counts.__getitem__, raw.split()))
+        text = text or ""
+        pieces = self._cut(text)
+        if pieces is not None:
+            return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(
+            self.chunks[chunk] if own is None else b"".join(map(self.pieces.__getitem__, own))
+            for chunk, own in self._parts(text)
+        )
+
+    def count(self, text: str | None) -> int:
+        """The number of ids of a whole text."""
+        text = text or ""
+        pieces = self._cut(text)
+        if pieces is not None:
+            return sum(map(self.lengths.__getitem__, pieces))
+        return sum(
+            len(self.chunks[chunk]) // 4 if own is None else sum(map(self.lengths.__getitem__, own))
+            for chunk, own in self._parts(text)
+        )
 
 
 _ENCODERS: dict[str, Encoder] = {}

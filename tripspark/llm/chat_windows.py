@@ -136,7 +136,7 @@ def training_windows(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(shipped)
         for batch in batches:
-            tokens = [TURN_COST + code.count(escape(t).encode()) for t in batch.column("text").to_pylist()]
+            tokens = [TURN_COST + code.count(escape(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], names)
 
     names = ["conv_id", "turn", "role", "text", "tokens"]

@@ -23,12 +23,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(shipped)
         for batch in batches:
-            raw = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
-            counts = [code.count(r) for r in raw]
+            texts = batch.column("text").to_pylist()
+            counts = [code.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(r) for r in raw], pa.int64()),
+                    pa.array([len((t or "").encode()) for t in texts], pa.int64()),
                     pa.array(counts, pa.int64()),
                     pa.array([n > limit for n in counts], pa.bool_()),
                 ],
