@@ -127,12 +127,9 @@ def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(_full_sets, _SETS).dropDuplicates(["doc_id", "prints"]), "sets")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``sets`` where they are known."""
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     pairs = materialize(pairs, "proposed")
-    if sets is None:
-        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-        sets = _sets_of(ends.distinct(), docs)
     first = sets.select(F.col("doc_id").alias("a"), F.col("prints").alias("prints_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("prints").alias("prints_b"))
     return pairs.join(first, "a").join(second, "b").mapInArrow(_confirmed, _LINKS)
@@ -185,6 +182,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     lists = materialize(_inverted_lists(classes, SKETCH, SHARED), "lists")
+    # Texts move once: every set that is compared below belongs to a member of a list.
+    sets = _sets_of(lists.select(F.col("rep").alias("doc_id")).distinct(), docs)
 
     step = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / NEAR_PARTS)))
     sized = lists.withColumn("step", step)
@@ -195,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     enough = _may_overlap(F.col("n_shingles"), F.col("head.n_shingles"), F.least("left", "head.left"), SKETCH)
     stars = stars.where(enough)
     pairs = stars.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
-    found = materialize(_confirm(_likely(pairs, classes, SKETCH), docs), "near")
+    found = materialize(_confirm(_likely(pairs, classes, SKETCH), sets), "near")
     joined = connected_components(found, "a", "b")
 
     member = lists.join(joined, F.col("rep") == F.col("node"), "left").drop("node")
@@ -203,8 +202,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_lists = member.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     still = member.join(open_lists.where("lo < hi").select("value"), "value")
     still = materialize(still.select("rep", "n_shingles", "component").distinct(), "open")
-    sets = _sets_of(still.select(F.col("rep").alias("doc_id")), docs)
-    wide = materialize(sets.mapInArrow(_widened, _WIDE).dropDuplicates(["rep"]).join(still, "rep"), "wide")
+    opened = sets.join(still.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    wide = materialize(opened.mapInArrow(_widened, _WIDE).dropDuplicates(["rep"]).join(still, "rep"), "wide")
     around = materialize(_inverted_lists(wide, WIDE, WIDE_SHARED).join(still.select("rep", "component"), "rep"), "across")
     x, y = around.alias("x"), around.alias("y")
     meet = (
@@ -213,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         & _may_overlap(F.col("x.n_shingles"), F.col("y.n_shingles"), F.least("x.left", "y.left"), WIDE)
     )
     across = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = _confirm(_likely(across, wide, WIDE), docs, sets)
+    more = _confirm(_likely(across, wide, WIDE), sets)
 
     rows = filled.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi")
