@@ -21,9 +21,22 @@ END_ID = 2
 ROW_INDEX_STRIDE = 1_000
 STRIPE_BYTES = 32 << 20
 BLOOM_FALSE_POSITIVES = 0.01
+#: Bytes of ids that meet in one array, unless a single document has more.
+ARRAY_BYTES = 8 << 20
 SCHEMA = "doc_id long, ordinal long, ids array<int>"
 
 
+def _bounded(batch: pa.RecordBatch, encode) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The rows of a batch with their encoded texts, a few at a time: very long texts must not meet in one array."""
+    first, held, size = 0, [], 0
+    for row, text in enumerate(batch.column("text")):
+        held.append(encode(text.as_py()))
+        size += len(held[-1])
+        if size >= ARRAY_BYTES or row + 1 == batch.num_rows:
+            yield batch.slice(first, row + 1 - first), held
+            first, held, size = row + 1, [], 0
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Write the ids of every whole text of ``docs`` (doc_id, text), each followed by ``end_id``.
 
@@ -37,10 +50,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, row = encoder(shipped), 0
         for batch in batches:
-            # A few rows at a time: very long texts must not meet in one array.
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                raw = [code.ids(text) + end for text in part.column("text").to_pylist()]
+            for part, raw in _bounded(batch, lambda text: code.ids(text) + end):
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -73,7 +83,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("ids")
         ends = lists.offsets.to_numpy()
         raw = memoryview(lists.values.to_numpy().astype("<i4", copy=False).tobytes())
-        marks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1] , ends[1:], strict=True)]
+        marks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("file"),
