@@ -147,7 +147,10 @@ def _join_blocks(table: pa.Table, cosine: float) -> pa.Table:
 def _links(classes: DataFrame, cosine: float, block: int) -> DataFrame:
     """Rows (k, n, head) of every pair of blocks in which a class has links."""
     reach = float(np.sqrt(2 - 2 * cosine))
-    sample = classes.select("dim", "embedding").orderBy(F.xxhash64("k")).limit(PIVOT_SAMPLE).toPandas()
+    # The vectors with the smallest hashes; only hashes meet in one task.
+    drawn = classes.select("dim", "embedding", F.xxhash64("k").alias("draw"))
+    last = drawn.select("draw").orderBy("draw").limit(PIVOT_SAMPLE).agg(F.max("draw")).first()[0]
+    sample = drawn.where(F.col("draw") <= F.lit(last).cast("long")).select("dim", "embedding").toPandas()
     pivots = _Pivots(sample, classes.count())
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
