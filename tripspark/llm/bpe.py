@@ -11,15 +11,13 @@ vocabulary, not by the data.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
-from tokenizers import Tokenizer
-
 #: Entries of a generation of the memos of pieces and of odd chunks. A worker holds two generations: 250 MB at most.
 MEMO_PIECES, MEMO_CHUNKS = 500_000, 100_000
 
@@ -31,6 +29,8 @@ _PLAIN = re.compile(f"[0-9A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ{_SIGNS}\t-\r ]*")
 # The file's own pre-token pattern for these characters, lower-cased; alternatives that start with different characters
 # may stand in any order.
 _PIECES = re.compile(f"[a-zß-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{_SIGNS}]+")
+# That pattern as the file states it.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _WORD_END = "</w>"
 
 
@@ -41,7 +41,7 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def whole_tokens(tokenizer: Tokenizer) -> dict[str, int]:
+def whole_tokens(tokenizer) -> dict[str, int]:
     """Texts that are one pre-token and encode alone as one token, with its id.
 
     Every vocabulary entry that ends a word is encoded by the library; those that come back as themselves, from a text
@@ -68,6 +68,21 @@ def whole_tokens(tokenizer: Tokenizer) -> dict[str, int]:
     }
 
 
+def _proven(spark: SparkSession, text: str) -> dict[str, int]:
+    """:func:`whole_tokens` of a tokenizer file, worked out in one task so that the driver never loads the library."""
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        for _ in batches:
+            found = whole_tokens(Tokenizer.from_str(text))
+            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["text", "id"])
+
+    rows = spark.range(0, 1, 1, 1).mapInArrow(prove, "text string, id long").collect()
+    return {r["text"]: r["id"] for r in rows}
+
+
 _SHIPPED: dict[tuple[str, str], Broadcast] = {}
 
 
@@ -77,10 +92,10 @@ def ship(spark: SparkSession, path: str) -> Broadcast:
     if key not in _SHIPPED:
         with open(path, encoding="utf-8") as file:
             text = file.read()
-        tokenizer = Tokenizer.from_str(text)
-        plain = "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in text and json.loads(text)["model"]["type"] == "BPE"
+        plain = _PATTERN in text and re.search(r'"type": ?"BPE"', text) is not None
         shipped = {"name": hashlib.md5(text.encode()).hexdigest(), "text": text, "plain": plain}
-        _SHIPPED[key] = spark.sparkContext.broadcast(shipped | {"whole": whole_tokens(tokenizer) if plain else {}})
+        shipped["whole"] = _proven(spark, text) if plain else {}
+        _SHIPPED[key] = spark.sparkContext.broadcast(shipped)
     return _SHIPPED[key]
 
 
@@ -107,6 +122,8 @@ class Encoder:
     """Encodes texts in one worker."""
 
     def __init__(self, shipped: dict):
+        from tokenizers import Tokenizer
+
         self.tokenizer = Tokenizer.from_str(shipped["text"])
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -128,13 +128,20 @@ def host_verdicts(measured: DataFrame, host: str = "host", limit: float = HOST_L
     return shrunk.withColumn("host_failed", worst > limit)
 
 
-def _judged(docs: DataFrame, carried: DataFrame, limit: float) -> DataFrame:
-    """``carried`` (host, measures and more) with base_failed and kept."""
-    stored = materialize(carried, "measures")
+def _verdicts(docs: DataFrame, host: str, limit: float) -> tuple[DataFrame, DataFrame]:
+    """The measures of ``docs`` (doc_id, host), written, and the verdict of each host (_host, host_failed), written so
+    that the planner sees how small it is."""
+    narrow = docs.select("doc_id", F.col(host).alias("host"), _measured(F.col("text")).alias("m"))
+    stored = materialize(narrow.select("doc_id", "host", "m.*"), "measures")
     verdicts = host_verdicts(stored, limit=limit).select(F.col("host").alias("_host"), "host_failed")
-    rows = stored.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
+    return stored, materialize(verdicts, "verdicts")
+
+
+def _judged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of host and measures with base_failed and kept."""
+    joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("host_failed"))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("host_failed"))
 
 
 def quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
@@ -143,16 +150,15 @@ def quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) ->
     A null or blank text has no words and fails. Documents without a host share one. Repeated rows are measured and
     counted each; other columns are ignored; no rows give no rows.
     """
-    narrow = docs.select("doc_id", F.col(host).alias("host"), _measured(F.col("text")).alias("m"))
-    return _judged(docs, narrow.select("doc_id", "host", "m.*"), limit).select(
-        "doc_id", *MEASURES, "base_failed", "kept"
-    )
+    stored, verdicts = _verdicts(docs, host, limit)
+    return _judged(stored, verdicts).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with all their columns, whatever their names.
 
-    Rows are written once with their measures, so texts are neither measured twice nor shuffled.
+    Texts are measured a second time rather than written or shuffled with their measures.
     """
+    _, verdicts = _verdicts(docs, host, limit)
     whole = docs.select(F.struct("*").alias("doc"), F.col(host).alias("host"), _measured(F.col("text")).alias("m"))
-    return _judged(docs, whole.select("doc", "host", "m.*"), limit).where("kept").select("doc.*")
+    return _judged(whole.select("doc", "host", "m.*"), verdicts).where("kept").select("doc.*")
