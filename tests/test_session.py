@@ -20,10 +20,13 @@ def test_derived_tables_are_written_once_and_rebuilt_when_gone(spark, tmp_path):
     key = (spark.sparkContext.applicationId, scope, "numbers")
     path = session._WRITTEN[key][0]
     assert path.startswith(session.shared_dir(spark))
-    moved = str(tmp_path / "moved")
+    moved = str(tmp_path.parent / f"{tmp_path.name}-moved")
     shutil.move(path.removeprefix("file:"), moved)
     assert session.written_once(spark, scope, "numbers", build, ["k"]).count() == 10
     assert len(built) == 2
+    (tmp_path / "rewritten.parquet").write_bytes(b"x")
+    assert session.written_once(spark, scope, "numbers", build, ["k"]).count() == 10
+    assert len(built) == 3
 
 
 def test_split_filter_prunes_folders(spark, sf_dir):

@@ -100,3 +100,25 @@ def test_request_validity(spark):
     assert (valid.count(), rejected.count()) == (2, 3)
     now = dt.datetime.now().timestamp()
     assert valid.filter("pu_zone = 3").first()["request_s"] == pytest.approx(now, abs=120)
+
+
+def test_old_versions_of_the_state_table_expire(spark, tmp_path):
+    path = str(tmp_path / "state")
+    write = live.upsert_state(path, keep=3)
+    for batch in range(6):
+        write(spark.createDataFrame([(batch % 2, 300 * batch, float(batch))], "zone long, clock_s long, completed_5m double"), batch)
+    assert [v for v, _ in live._finished_versions(spark, path)] == [3, 4, 5]
+    rows = {r["zone"]: r["clock_s"] for r in live.latest_version(spark, path).collect()}
+    assert rows == {0: 1200, 1: 1500}
+    assert live.StateStore.staleness_s(live.latest_version(spark, path), 1560) == 60
+
+
+def test_a_store_that_cannot_be_read_counts_as_failed(spark, tmp_path):
+    store = live.StateStore(str(tmp_path / "none"))
+    assert store.read(spark) is None and store.failure_rate == 0.0
+    broken = tmp_path / "broken" / "version=000000000001"
+    broken.mkdir(parents=True)
+    (broken / "_SUCCESS").write_text("")
+    (broken / "part-0.parquet").write_text("no parquet")
+    bad = live.StateStore(str(tmp_path / "broken"))
+    assert bad.read(spark) is None and bad.failure_rate == 1.0

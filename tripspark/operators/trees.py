@@ -201,9 +201,11 @@ def predict_composition(models: Sequence[QuantileTrees], frame: DataFrame) -> Da
 # ---- decomposed model ------------------------------------------------------------------------------------
 
 
-def fit_components(train: DataFrame, level: float, params: TreeParams) -> dict[str, QuantileTrees]:
-    """One model per component of the trip time; ``train`` holds component-complete rows."""
-    return {part: fit_quantile(train, level, params, label=part) for part in COMPONENTS}
+def fit_components(
+    train: DataFrame, level: float, params: TreeParams, valid: DataFrame | None = None
+) -> dict[str, QuantileTrees]:
+    """One model per component of the trip time; both tables hold component-complete rows."""
+    return {part: fit_quantile(train, level, params, valid, label=part) for part in COMPONENTS}
 
 
 def predict_components(models: dict[str, QuantileTrees], frame: DataFrame, output: str = "summed") -> DataFrame:

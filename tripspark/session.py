@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -69,17 +70,30 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType, str]] = {}
+
+
+def folder_stamp(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of a folder's files and of the files of its tables; empty where there is no folder."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return ""
+    seen = []
+    for entry in files.listStatus(top):
+        inside = files.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        seen += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in inside]
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 def written_once(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """A derived table that many jobs read: written by the first of them in this application, and again if the
-    shared folder was emptied since."""
-    key = (spark.sparkContext.applicationId, scope, name)
-    if key not in _WRITTEN or not is_written(spark, _WRITTEN[key][0]):
+    """A table derived from the folder ``scope`` that many jobs read: written by the first of them in this application,
+    and again if the shared folder was emptied or the folder's files changed since."""
+    key, stamp = (spark.sparkContext.applicationId, scope, name), folder_stamp(spark, scope)
+    if key not in _WRITTEN or _WRITTEN[key][2] != stamp or not is_written(spark, _WRITTEN[key][0]):
         table = build()
-        _WRITTEN[key] = (_write(table, name, partition_by), table.schema)
-    path, schema = _WRITTEN[key]
+        _WRITTEN[key] = (_write(table, name, partition_by), table.schema, stamp)
+    path, schema, _ = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)

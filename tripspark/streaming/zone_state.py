@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -86,7 +89,11 @@ def ticking_state(buckets: DataFrame) -> DataFrame:
 # ---- state table -----------------------------------------------------------------------------------------
 
 
-def upsert_state(path: str):
+#: Versions that stay; a reader has that many batches to finish, and a failed batch finds the one before it.
+KEPT_VERSIONS = 5
+
+
+def upsert_state(path: str, keep: int = KEPT_VERSIONS):
     """A foreachBatch function that keeps the newest row per zone in a versioned table.
 
     Each batch writes version ``batch_id`` from the version before it, so a batch that is run again after a
@@ -107,27 +114,65 @@ def upsert_state(path: str):
             ).select("zone", "row.*")
         # The stream's clock is the newest bucket end any zone has reached.
         merged.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        expire_versions(spark, path, keep)
 
     return write
 
 
+def _finished_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and folder name of every finished version, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(top)]
+    done = [
+        name
+        for name in names
+        if name.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}", "_SUCCESS"))
+    ]
+    return sorted((int(name.removeprefix("version=")), name) for name in done)
+
+
+def expire_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the newest finished versions, so that listing them costs the same however old the stream is."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for _, name in _finished_versions(spark, path)[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+
+
 def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Newest finished version of the state table, or None when there is none."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(jvm_path):
-        return None
-    versions = []
-    for status in files.listStatus(jvm_path):
-        name = status.getPath().getName()
-        done = files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if name.startswith("version=") and done:
-            number = int(name.removeprefix("version="))
-            if before is None or number < before:
-                versions.append((number, name))
-    if not versions:
-        return None
-    return spark.read.parquet(os.path.join(path, max(versions)[1]))
+    versions = [v for v in _finished_versions(spark, path) if before is None or v[0] < before]
+    return spark.read.parquet(os.path.join(path, versions[-1][1])) if versions else None
+
+
+@dataclass
+class StateStore:
+    """Reads the state table for scoring and counts the reads that failed; scoring goes on without state then."""
+
+    path: str
+    reads: int = 0
+    failures: int = 0
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        """The newest state, or None if there is none or it cannot be read now."""
+        self.reads += 1
+        try:
+            return latest_version(spark, self.path)
+        except (PySparkException, Py4JJavaError):
+            self.failures += 1
+            return None
+
+    @property
+    def failure_rate(self) -> float:
+        return self.failures / self.reads if self.reads else 0.0
+
+    @staticmethod
+    def staleness_s(state: DataFrame, now_s: int) -> int | None:
+        """Seconds by which the state's clock is behind ``now_s``; None for a table without zones."""
+        clock_s = stream_clock(state).first()["clock_s"]
+        return None if clock_s is None else int(now_s - clock_s)
 
 
 def stream_clock(state: DataFrame) -> DataFrame:
