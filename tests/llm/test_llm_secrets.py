@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,25 @@ def test_nothing_to_learn_from(spark):
     assert [(r.value, r.is_secret) for r in forest.scan(table).collect()] == [(AWS, True)]
     assert forest.scan(table.limit(0)).count() == 0
     assert forest.redact(table.limit(0), path="path").count() == 0
+
+
+def test_keys_without_digits_are_scored_and_masked(docs):
+    """A random key may have no digit; words of the same length are not masked."""
+    draw = random.Random(5)
+    kinds = {"AKIA": (string.ascii_uppercase, 16), "": (string.ascii_letters, 24)}
+    keys = [lead + "".join(draw.choices(a, k=n)) for lead, (a, n) in kinds.items() for _ in range(20)]
+    rows = [(90000 + i, f"the value {k} stays here", "en", "src1", 5) for i, k in enumerate(keys)]
+    rows.append((91000, "-" * 40 + " /usr/share/common/licenses " + "=" * 20, "en", "src1", 5))
+    documents = docs.drop("path")
+    mixed = documents.union(docs.sparkSession.createDataFrame(rows, documents.schema))
+    got = {r.doc_id: r.text for r in forest.redact(mixed).collect()}
+    masked = [i for i, k in enumerate(keys) if got[90000 + i] == "the value [SECRET] stays here"]
+    assert len([i for i in masked if i < 20]) == 20
+    assert len(masked) >= 38
+    assert got[91000] == rows[-1][1]
+    words = 0
+    for r in documents.where("text is not null").collect():
+        runs = [x for x in re.findall(r"(?<![A-Za-z0-9+/_=-])[a-z]{16,}(?![A-Za-z0-9+/_=-])", r.text)]
+        words += len(runs)
+        assert all(x in got[r.doc_id] for x in runs)
+    assert words > 20

@@ -25,8 +25,6 @@ _NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-
 _ASSIGNED = rf"(?i:(?:{_NAMES})[\"']?\s{{0,2}}(?:=>|:=|=|:)\s{{0,2}}[\"']?)"
 #: A candidate: a value after a name of a secret, or a run of 16 characters and more.
 CANDIDATE = rf"{_ASSIGNED}[^\s\"'`<>,;]{{6,}}+|[A-Za-z0-9+/_=-]{{16,}}+"
-#: Texts without digits and without these names have no candidates that could be secrets.
-_MAY_HOLD = rf"[0-9]|{_ASSIGNED}"
 MASK = "[SECRET]"
 #: Characters kept on each side of a candidate as its neighbourhood.
 NEAR = 80
@@ -50,13 +48,14 @@ def _key() -> Column:
     return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5("text"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, every: bool = False) -> DataFrame:
     """Per candidate of ``docs`` (doc_id, text, path): key, doc_id, path, number, start, value, head, left and right.
 
     ``head`` is the assignment before the value. Texts are split once at all candidates, so the pieces between them give
-    places and neighbourhoods.
+    places and neighbourhoods. Runs that have neither a name before them nor a digit are listed with ``every`` only; the
+    forest is fitted to and sees all of them, as a random key may well have no digit.
     """
-    likely = docs.where(F.col("text").rlike(_MAY_HOLD))
+    likely = docs.where(F.col("text").rlike(CANDIDATE))
     matches = F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), 1)
     split = likely.select(
         _key().alias("key"), "doc_id", "path", matches.alias("found"), F.split("text", CANDIDATE, -1).alias("pieces")
@@ -81,7 +80,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     return (
         each.withColumn("head", head)
         .withColumn("value", value)
-        .where((F.col("head") != "") | F.col("value").rlike("[0-9]"))
+        .where(F.lit(every) | (F.col("head") != "") | F.col("value").rlike("[0-9]"))
         .select(
             "key",
             "doc_id",
@@ -181,7 +180,8 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
 
     Neighbourhoods are the documents' own words. Secrets are digests in the usual shapes; findings that are none are
     words and numbers of the same documents in the same places: passwords that are words, joined words, dates, counters,
-    placeholders. Values are drawn from digests of the documents, so that every run makes the same rows.
+    placeholders. Both kinds come with and without digits. Values are drawn from digests of the documents, so that every
+    run makes the same rows.
     """
     # The documents with the smallest hashes; only hashes meet in one task, texts stay where they are.
     drawn = docs.where("text is not null").select("path", "text", F.xxhash64("text", "doc_id").alias("draw"))
@@ -191,6 +191,8 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
     base = sample.select("path", F.md5("text").alias("seed"), F.slice(words, 1, 60).alias("w")).where(F.size("w") >= 12)
     draw = F.sha2("seed", 256)
     strong = F.translate(F.base64(F.unhex(draw)), "+/=", "xYz")
+    # Letters alone: each digit becomes another letter.
+    letters = F.translate(strong, "0123456789", "qWzKxJvHgB")
 
     def word(i: int) -> Column:
         return F.get("w", F.lit(i))
@@ -206,6 +208,9 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
         "base64": (F.substring(strong, 1, 28), 1),
         "capitals": (F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(strong, "[^A-Za-z0-9]", "Q")), 1, 16)), 1),
         "mixed": (F.concat(F.substring(strong, 5, 10), F.lit("_"), F.substring(strong, 20, 14)), 1),
+        "letters": (F.substring(letters, 3, 24), 1),
+        "capital_letters": (F.concat(F.lit("AKIA"), F.substring(F.upper(letters), 7, 16)), 1),
+        "small_letters": (F.substring(F.lower(letters), 11, 20), 1),
         # None: words, joined words, words with numbers, dates and counters, placeholders.
         "word": (F.lower(word(3)), 0),
         "words": (F.concat_ws("_", F.lower(word(2)), F.lower(word(5)), F.lower(word(7)), F.lit("2")), 0),
@@ -215,6 +220,12 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
         "number": (F.lpad(F.pmod(F.xxhash64("seed"), F.lit(10**15)).cast("string"), 16, "4"), 0),
         "placeholder": (F.concat(F.lit("your_"), F.lower(word(3)), F.lit("_here_1")), 0),
         "crosses": (F.lit("xxxxxxxxxxxxxxxx1234"), 0),
+        "long_word": (F.lower(F.concat(word(8), word(1), word(9), word(10))), 0),
+        "capital_words": (F.upper(F.concat(word(3), word(6), word(8), word(2))), 0),
+        "camel": (F.concat(F.lower(word(1)), *[F.initcap(word(i)) for i in (5, 9, 11)]), 0),
+        "hyphens": (F.concat_ws("-", F.lower(word(9)), F.lower(word(4)), F.lower(word(11)), F.lower(word(2))), 0),
+        "folders": (F.concat_ws("/", F.lit(""), F.lower(word(8)), F.lower(word(10)), F.lower(word(2)), F.lower(word(7))), 0),
+        "rule": (F.repeat(F.element_at(F.array(*map(F.lit, "-=_")), F.pmod(F.hash("seed"), F.lit(3)) + 1), 32), 0),
     }
     made = []
     for place, (value, label) in enumerate(values.values()):
@@ -231,7 +242,7 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
 def fit(labelled: DataFrame, words: DataFrame) -> PipelineModel | None:
     """A forest over labelled findings (text, path, label); None where one of the two labels is missing."""
     rows = labelled.withColumn("doc_id", F.monotonically_increasing_id())
-    found = candidates(rows)
+    found = candidates(rows, every=True)
     labels = rows.select(_key().alias("key"), "label").groupBy("key").agg(F.max("label").alias("label"))
     table = materialize(featured(found, words).join(labels, "key").select("label", *FEATURES), "labelled")
     if table.select("label").distinct().count() < 2:
@@ -255,7 +266,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     words = materialize(corpus_words(docs), "corpus-words")
     labelled = materialize(labelled_findings(docs) if labelled is None else labelled, "findings")
     model = fit(labelled, words)
-    found = materialize(candidates(docs).dropDuplicates(["key", "number"]), "candidates")
+    found = materialize(candidates(docs, every=True).dropDuplicates(["key", "number"]), "candidates")
     rows = featured(found, words)
     if model is None:
         scored = rows.withColumn("score", F.lit(1.0))
@@ -281,7 +292,7 @@ def redact(docs: DataFrame, path: str = "source", mask: str = MASK) -> DataFrame
     whole = docs.select(F.struct("*").alias("doc"), "doc_id", "text", F.col(path).cast("string").alias("path"))
     secrets = scan(whole).where("is_secret").groupBy("key").agg(F.collect_set("number").alias("numbers"))
     secrets = materialize(secrets, "secrets")
-    likely = F.coalesce(F.col("text").rlike(_MAY_HOLD), F.lit(False))
+    likely = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     rest = whole.where(~likely).select("doc.*")
     joined = whole.where(likely).withColumn("key", _key()).join(secrets, "key", "left")
     found = F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), 1)
