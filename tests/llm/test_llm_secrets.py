@@ -106,3 +106,24 @@ def test_keys_without_digits_are_scored_and_masked(docs):
         words += len(runs)
         assert all(x in got[r.doc_id] for x in runs)
     assert words > 20
+
+
+def test_equal_digests_are_told_by_path_and_neighbours(docs):
+    """The same value is a secret or not by the path of its document and by the words before it."""
+    lead = {
+        "see commit {} now": 0, "the sha256: {} of it": 0, 'with etag: "{}" sent': 0, "md5={} here": 0,
+        'our password="{}" here': 1, "our token = {} here": 1, "it is {} here": 1,
+    }
+    values = [hashlib.sha1(bytes([i])).hexdigest() for i in range(5)] + [hashlib.md5(bytes([i])).hexdigest() for i in range(5)]
+    rows, want = [], {}
+    for value in values:
+        for text, label in lead.items():
+            for path in ("src1", "src1/examples/notes", "src2/latest/notes"):
+                want[len(rows)] = label if path != "src1/examples/notes" or "our" in text else 0
+                rows.append((90000 + len(rows), text.format(value), path))
+    columns = ["doc_id", "text", "path"]
+    table = docs.select(*columns).union(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, path string"))
+    got = forest.scan(table).where("doc_id >= 90000").collect()
+    assert len(got) == len(rows)
+    wrong = [(rows[r.doc_id - 90000], r.score) for r in got if int(r.is_secret) != want[r.doc_id - 90000]]
+    assert len(wrong) <= len(rows) * 0.02, wrong[:10]

@@ -32,14 +32,20 @@ NEAR = 80
 LEAST_COUNT = 5
 #: Documents from which labelled findings are made, and the share of trees that must agree.
 LABEL_DOCUMENTS = 1500
+#: Places in which each document has each shape of findings.
+PLACES_EACH = 4
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 40, 8, 7
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _EXAMPLE = "(?i)example|sample|dummy|placeholder|your|test|fake|demo|xxx|changeme"
+#: Whole words of a path, or just before a value, that say that the value is for show.
+_FOR_SHOW = r"(?<![A-Za-z])(?i:examples?|samples?|dummy|placeholders?|tests?|fixtures?|fake|demos?|mocks?)(?![A-Za-z])"
+#: Names of digests that are no secrets, before a value or at its start.
+_DIGEST_NAMES = r"(?<![A-Za-z])(?i:commit|revision|checksum|digest|etag|integrity|md5|sha-?(?:1|256|384|512)|git)"
 FEATURES = (
     "length digits uppers lowers marks distinct switches longest_run transitions coverage longest_word named quoted "
-    "path_depth path_example near_example near_name near_digits"
+    "path_depth path_example value_example near_example near_name near_digest near_digits"
 ).split()
 
 
@@ -166,9 +172,11 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         "named": F.col("head") != "",
         "quoted": F.col("head").rlike("[\"']$"),
         "path_depth": F.length(F.regexp_replace(path, "[^/.]", "")),
-        "path_example": path.rlike(_EXAMPLE),
-        "near_example": around.rlike(_EXAMPLE) | F.col("value").rlike(_EXAMPLE),
+        "path_example": path.rlike(_FOR_SHOW),
+        "value_example": F.col("value").rlike(_EXAMPLE),
+        "near_example": F.col("left").rlike(rf"{_FOR_SHOW}\W{{1,4}}(?:\w{{1,12}}\W{{1,4}})?$"),
         "near_name": F.col("left").rlike(rf"(?i)(?:{_NAMES})\W{{0,4}}$"),
+        "near_digest": F.col("left").rlike(rf"{_DIGEST_NAMES}\W{{0,4}}$") | F.col("value").rlike(rf"{_DIGEST_NAMES}[=_/+-]"),
         "near_digits": F.length(F.regexp_replace(around, "[^0-9]", "")) / F.lit(2.0 * NEAR),
     }
     rows = rows.join(covered, ["key", "number"], "left").withColumn("log_share", log_share)
@@ -178,10 +186,13 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> DataFrame:
     """Labelled findings made from a bounded sample of documents: text, path and label.
 
-    Neighbourhoods are the documents' own words. Secrets are digests in the usual shapes; findings that are none are
-    words and numbers of the same documents in the same places: passwords that are words, joined words, dates, counters,
-    placeholders. Both kinds come with and without digits. Values are drawn from digests of the documents, so that every
-    run makes the same rows.
+    Neighbourhoods are the documents' own words. Keys in the usual shapes are secrets wherever they stand; words and
+    numbers of the same documents in the same places are none: passwords that are words, joined words, dates, counters,
+    placeholders. Both kinds come with and without digits. Digests (hexadecimal, base 64) are told by what is around
+    them: after a name of a secret they are secrets wherever the document lies; after 'commit', 'sha256' and the like,
+    after a word such as 'example', or alone in a document below an example or test path they are none; elsewhere they
+    are secrets. Each document has every shape in ``PLACES_EACH`` of the places. Values are drawn from digests of the
+    documents, so that every run makes the same rows.
     """
     # The documents with the smallest hashes; only hashes meet in one task, texts stay where they are.
     drawn = docs.where("text is not null").select("path", "text", F.xxhash64("text", "doc_id").alias("draw"))
@@ -197,15 +208,31 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
     def word(i: int) -> Column:
         return F.get("w", F.lit(i))
 
-    # Names with the mark that closes their value.
-    named = {"password=": "", 'token = "': '"', "secret: ": "", "api_key='": "'"}
-    heads = list(named)
+    # Names with the mark that closes their value; names without an assignment; names of digests; words for show.
+    named = [("password=", ""), ('token = "', '"'), ("secret: ", ""), ("api_key='", "'")]
+    loose = [("token (", ")"), ('password "', '"'), ("api_key -> ", ""), ("secret ", "")]
+    digests = [("commit ", ""), ("sha256: ", ""), ('etag: "', '"'), ("md5=", ""), ("checksum ", ""), ("commit/", "")]
+    shown = [("for example ", ""), ("sample: ", ""), ("test key ", ""), ("example (", ")")]
+    folders = ["examples", "test", "tests/data", "fixtures", "demo"]
+    # Places: what stands around the value, whether the path is one of examples, and what a digest is there.
+    places = [
+        ([("", "")], False, 1),
+        (named, False, 1),
+        (loose, False, 1),
+        (digests, False, 0),
+        (shown, False, 0),
+        ([("", "")], True, 0),
+        (named, True, 1),
+        (loose, True, 1),
+        (digests, True, 0),
+    ]
     values = {
-        # Secrets: hexadecimal, base 64, capital letters and digits, mixed.
+        # Secrets: short hexadecimal, capital letters and digits, mixed. Digests have no label of their own.
         "hex18": (F.substring(draw, 1, 18), 1),
-        "hex40": (F.substring(draw, 3, 40), 1),
-        "hex32": (F.md5(draw), 1),
-        "base64": (F.substring(strong, 1, 28), 1),
+        "hex40": (F.substring(draw, 3, 40), None),
+        "hex32": (F.md5(draw), None),
+        "base64": (F.substring(strong, 1, 28), None),
+        "hex64": (F.sha2(draw, 256), None),
         "capitals": (F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(strong, "[^A-Za-z0-9]", "Q")), 1, 16)), 1),
         "mixed": (F.concat(F.substring(strong, 5, 10), F.lit("_"), F.substring(strong, 20, 14)), 1),
         "letters": (F.substring(letters, 3, 24), 1),
@@ -227,15 +254,34 @@ def labelled_findings(docs: DataFrame, documents: int = LABEL_DOCUMENTS) -> Data
         "folders": (F.concat_ws("/", F.lit(""), F.lower(word(8)), F.lower(word(10)), F.lower(word(2)), F.lower(word(7))), 0),
         "rule": (F.repeat(F.element_at(F.array(*map(F.lit, "-=_")), F.pmod(F.hash("seed"), F.lit(3)) + 1), 32), 0),
     }
-    made = []
-    for place, (value, label) in enumerate(values.values()):
-        # Each shape in two of the places: plain, or after a name.
-        head = heads[place % len(heads)]
-        for lead, tail in (("", ""), (head, named[head])):
-            left, right = F.concat_ws(" ", F.slice("w", 8, 8)), F.concat_ws(" ", F.slice("w", 20, 8))
-            text = F.concat(left, F.lit(f" {lead}"), value, F.lit(f"{tail} "), right)
-            made.append(F.struct(text.alias("text"), F.lit(float(label)).alias("label")))
-    rows = base.select("path", F.explode(F.array(*made)).alias("m")).select("path", "m.text", "m.label")
+    shapes = [
+        F.struct(F.lit(i).alias("shape"), value.alias("value"), F.lit(label).cast("double").alias("own"))
+        for i, (value, label) in enumerate(values.values())
+    ]
+    pairs = [
+        F.struct(
+            F.lit(i).alias("place"),
+            F.array(*[F.struct(F.lit(a).alias("lead"), F.lit(b).alias("tail")) for a, b in around]).alias("around"),
+            F.lit(show).alias("show"),
+            F.lit(float(digest)).alias("digest"),
+        )
+        for i, (around, show, digest) in enumerate(places)
+    ]
+    rows = base.select("path", "seed", "w", F.explode(F.array(*shapes)).alias("s")).select(
+        "path", "seed", "w", "s", F.explode(F.array(*pairs)).alias("p")
+    )
+    # Places and the words in them are dealt over documents and shapes.
+    turn = F.pmod(F.hash("seed") + F.col("s.shape"), F.lit(len(places)))
+    rows = rows.where(F.pmod(F.col("p.place") + turn, F.lit(len(places))) < PLACES_EACH)
+    choice = F.pmod(F.xxhash64("seed", "s.shape", "p.place"), F.lit(60)).cast("int")
+    here = F.get("p.around", F.pmod(choice, F.size("p.around")))
+    folder = F.get(F.array(*map(F.lit, folders)), F.pmod(choice, F.lit(len(folders))))
+    text = F.concat(
+        F.concat_ws(" ", F.slice("w", 8, 8)), F.lit(" "), here["lead"], F.col("s.value"), here["tail"], F.lit(" "),
+        F.concat_ws(" ", F.slice("w", 20, 8)),
+    )
+    path = F.when(F.col("p.show"), F.concat_ws("/", "path", folder, F.lit("notes"))).otherwise(F.col("path"))
+    rows = rows.select(path.alias("path"), text.alias("text"), F.coalesce("s.own", "p.digest").alias("label"))
     return rows.where("text is not null")
 
 
