@@ -77,3 +77,18 @@ def test_furniture_of_a_host_is_found_by_entropy(spark):
         (0, "b", 1), (40, "a", 1), (40, "a", 1), (41, "", 0)
     ]
     assert site_style_tree.main_texts(pages.limit(0)).count() == 0
+
+
+def test_sections_of_a_large_host(spark):
+    """A box of a tenth of the pages goes; a section of unique texts stays, however many layouts it has."""
+    rows, want = [], {}
+    for i in range(1000):
+        main, own = f"main {i} " + f"w{i} " * 30, f"note {i} n{i}"
+        box = "<div class=c7><p>Read it all at our place</p></div>" if 300 <= i < 400 else ""
+        kind = f" class=k{i}" if i >= 160 else ""
+        section = f"<div class=c8><p{kind}>{own}</p></div>" if i < 200 else ""
+        rows.append((i, f"http://large.example.com/{i}", f"<body><div class=c1><p>{main}</p></div>{section}{box}</body>"))
+        want[i] = main.strip() + (f"\n\n{own}" if i < 200 else "")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style_tree.main_texts(pages).collect()}
+    assert got == want

@@ -2,12 +2,12 @@
 
 Pages are cut into blocks once: a block is the text between two block-level tags, with the path of elements (tag, class and
 role) that it stands under. The DOMs of a host's pages are merged by path. Two entropies, both over the distinct pages of
-the host, say how important a node of the merged tree is:
+the host that hold the element, say how important a node of the merged tree is:
 
 * content: text that stands on many pages of the host under the same path is of low importance, text of its own is of
   high importance; a branch has the mean of the texts below it;
 * presentation: an element whose children are laid out differently from page to page is more important than one that
-  always looks alike.
+  always looks alike. Looking alike says nothing against text of its own.
 
 Branches of low importance are removed from every page of the host. The tree can only tell furniture that repeats from
 text that doesn't, so elements whose tag, role or class names them as furniture (navigation, adverts, forms, comments
@@ -33,7 +33,7 @@ from tripspark.session import materialize
 #: Importance up to which a branch is removed, and the weight of presentation for each kind of layout below an element.
 IMPORTANCE = 0.2
 DECAY = 0.9
-#: Distinct pages a host needs before its tree is believed.
+#: Distinct pages a host needs before its tree is believed; an element on fewer pages is measured as if on so many.
 LEAST_PAGES = 5
 #: A branch that holds more of its pages' text than this is what the pages are about.
 MOST_SHARE = 0.3
@@ -232,7 +232,9 @@ def _unimportant(parsed: DataFrame) -> DataFrame:
         "host", "print", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text"), F.length("b.text").alias("chars")
     )
     # A text that occurs more than once on a page counts once.
-    texts = texts.distinct().groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    texts = texts.distinct()
+    texts_of_pages = texts.select("host", "print", "path").distinct()
+    texts = texts.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     leaves = texts.groupBy("host", "path").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("spread"),
         F.sum("chars").alias("chars"),
@@ -245,6 +247,8 @@ def _unimportant(parsed: DataFrame) -> DataFrame:
     branches = branches.groupBy("host", "branch").agg(
         F.sum("n").alias("n"), F.sum("spread").alias("spread"), F.sum("chars").alias("chars")
     )
+    held = texts_of_pages.where("path <> ''").select("host", "print", F.explode(above).alias("branch")).distinct()
+    held = held.groupBy("host", "branch").agg(F.count("*").alias("held"))
     everything = leaves.groupBy("host").agg(F.sum("chars").alias("all_chars"))
 
     looks = pages.select("host", "print", F.explode("layouts").alias("l")).select("host", "print", "l.path", "l.layout")
@@ -256,14 +260,17 @@ def _unimportant(parsed: DataFrame) -> DataFrame:
     )
     looks = looks.select(F.col("host").alias("h"), "path", "seen", "kinds", "alike")
 
-    joined = branches.join(sizes, "host").join(everything, "host")
+    joined = branches.join(held, ["host", "branch"]).join(sizes, "host").join(everything, "host")
     joined = joined.join(looks, (F.col("host") == F.col("h")) & (F.col("branch") == F.col("path")), "left")
-    # Entropies over the host's pages, in its own logarithm: 1 for what is spread over all of them.
-    scale = F.log(F.col("pages").cast("double"))
-    content = 1 - F.col("spread") / (F.col("n") * scale)
-    layout = F.coalesce((F.log(F.col("seen").cast("double")) - F.col("alike") / F.col("seen")) / scale, F.lit(0.0))
+    # Entropies over the pages that hold an element, in their own logarithm: 1 for what differs on each of them.
+    def scale(n: str) -> Column:
+        return F.log(F.greatest(F.col(n), F.lit(LEAST_PAGES)).cast("double"))
+
+    content = 1 - F.col("spread") / (F.col("n") * scale("held"))
+    layout = (F.log(F.col("seen").cast("double")) - F.col("alike") / F.col("seen")) / scale("seen")
+    layout = F.coalesce(layout, F.lit(0.0))
     weight = F.pow(F.lit(DECAY), F.coalesce("kinds", F.lit(1)).cast("double"))
-    importance = (1 - weight) * layout + weight * content
+    importance = F.greatest(content, (1 - weight) * layout + weight * content)
     removed = joined.where(
         (importance <= IMPORTANCE)
         & (F.col("chars") <= MOST_SHARE * F.col("all_chars"))
