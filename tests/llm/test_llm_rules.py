@@ -152,3 +152,16 @@ def test_documents_stand_in_training_order(documents):
     falling = [s for i, s in enumerate(sources) if i % 3 == 1]
     assert sum(last[s] for s in rising) > sum(first[s] for s in rising)
     assert sum(last[s] for s in falling) < sum(first[s] for s in falling)
+
+
+def test_query_of_the_mix_stands_in_training_order(spark, sf_dir, documents):
+    from tripspark.llm import queries
+
+    mixed = {r.doc_id: r for r in curriculum.mix(documents).collect()}
+    rows = queries.op4(spark, sf_dir).collect()
+    assert len(rows) == len(mixed)
+    assert all(r == tuple(mixed[r.doc_id])[:5] for r in rows)
+    first = [min(mixed[r.doc_id].positions, default=2.0) for r in rows]
+    assert first == sorted(first) and first[0] < 0.1
+    full = curriculum.mix_in_training_order(documents).collect()
+    assert all(r.positions == sorted(mixed[r.doc_id].positions) for r in full)

@@ -155,6 +155,33 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def mix_in_training_order(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` what :func:`mix` says, made from copies that are range-sorted by training position.
+
+    Each copy that the mix takes is a row of its own; a document that it doesn't take is one without a position. The
+    sorted copies are written, and ``taken`` and ``positions`` are put together from them. Documents come in the order
+    of their first copy, those that are not taken last.
+    """
+    rows = materialize(_ordered(docs, [F.col("doc_id")]), "sized")
+    line = _line(rows, rows).withColumn("words", _taken(whole=False)).withColumn("row", F.monotonically_increasing_id())
+    line = materialize(line, "mixed")
+    copies = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda n: F.get("words", n) > 0),
+        lambda n: F.struct(_position(n).alias("position"), F.get("words", n).alias("words")),
+    )
+    own = ["row", "doc_id", "size", "source_size", "target"]
+    each = line.select(*own, F.explode_outer(copies).alias("copy")).select(*own, "copy.*")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id"), F.col("row")]
+    each = materialize(each.repartitionByRange(*order).sortWithinPartitions(*order), "training-copies")
+    whole = each.groupBy(*own).agg(
+        F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"),
+        F.sort_array(F.collect_list("position")).alias("positions"),
+    )
+    first = [F.get("positions", F.lit(0)).asc_nulls_last(), F.col("doc_id"), F.col("row")]
+    whole = whole.repartitionByRange(*first).sortWithinPartitions(*first)
+    return whole.select("doc_id", "size", "source_size", "target", "taken", "positions")
+
+
 def in_training_order(docs: DataFrame) -> DataFrame:
     """The mixed documents with all their columns, whatever their names: each as often as the mix takes it, range-sorted
     by training position.

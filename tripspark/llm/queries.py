@@ -50,7 +50,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_curriculum_mix", oracles.MIX)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
+    mixed = curriculum.mix_in_training_order(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
