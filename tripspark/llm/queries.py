@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,10 @@ from tripspark.llm import (
     bottomk_dedup,
     chat_windows,
     curriculum,
+    fim_chunks,
     host_rules,
+    license_diagonals,
+    merkle_shift,
     oracles,
     orc_tokens,
     pivot_join,
@@ -87,3 +92,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sum_of_squares_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op11_license_diagonals", oracles.LICENSES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_diagonals.scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_fim_chunk_memo", oracles.FILL_IN_MIDDLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim_chunks.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fim_chunks.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_merkle_sibling_shift", oracles.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has a checksum divisible by three are tampered with: their text's A-Z become a-z."""
+    tampered = F.when(
+        F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    )
+    text = lambda name: merkle_shift.hex_text(F.col(name)).alias(name)
+    rows = merkle_shift.manifest(_table(spark, sf_dir, "documents"), tampered=tampered)
+    rows = rows.withColumn("folded_root", merkle_shift.fold(F.coalesce("tampered_leaf", "leaf"), F.col("path")))
+    return rows.select(
+        "doc_id",
+        text("leaf"),
+        text("subroot"),
+        text("root"),
+        merkle_shift.proof_digest(F.col("path")).alias("proof_sha256"),
+        text("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

@@ -22,6 +22,7 @@ class _WordPrints(dict):
 
 
 _prints = _WordPrints()
+word_print = _prints.__getitem__
 
 
 def ascii_lower_words(text: str | None) -> list[bytes]:
