@@ -61,4 +61,4 @@ def test_query_agrees_with_its_sql(name, spark, con, sf_dir):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES if name.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
