@@ -144,7 +144,9 @@ def template_windows(spark: SparkSession, templates: Templates) -> DataFrame:
         shift = max(1, min(MOST_SHIFT, len(words) // 8))
         grams = _windows(words).tolist()
         rows += [(gram, name, place, len(grams), shift) for place, gram in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram long, template string, place int, n_grams int, shift int")
+    windows = spark.createDataFrame(rows, "gram long, template string, place int, n_grams int, shift int")
+    # Written, so that the planner knows how small it is before it deals out the documents' windows.
+    return materialize(windows, "license-windows")
 
 
 def _digest(text: str) -> bytes:
