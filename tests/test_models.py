@@ -2,53 +2,170 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripspark.functions import vectors
-from tripspark.operators import baselines, trees
+from tripspark.functions import scores, vectors
+from tripspark.operators import baselines, boosting as bt
+from tripspark.sources import artifacts
 from tripspark.vocab import TARGET
 
-PARAMS = trees.TreeParams(rounds=6, rate=0.5, depth=3, min_rows=20, write_every=3)
+PARAMS = bt.BoostParams(rounds=12, rate=0.5, leaves=8, depth=3, min_rows=20, patience=4)
+FEATURES = ("f1", "f2")
 
 
 @pytest.fixture(scope="module")
 def data(spark):
     rng = np.random.default_rng(2)
 
-    def sample(n):
+    def sample(n, base):
         x1, x2 = rng.uniform(0, 1, n), rng.uniform(0, 1, n)
         y = 600 + 900 * x1 + rng.normal(0, 1, n) * (60 + 300 * x2)
-        rows = [(i, float(a), None if b < 0.02 else float(b), float(c)) for i, (a, b, c) in enumerate(zip(x1, x2, y))]
-        frame = spark.createDataFrame(rows, f"trip_id long, f1 double, f2 double, {TARGET} double")
-        return trees.vectorise(frame, ["f1", "f2"]).cache()
+        rows = [(base + i, float(a), None if b < 0.02 else float(b), float(c)) for i, (a, b, c) in enumerate(zip(x1, x2, y))]
+        return spark.createDataFrame(rows, f"trip_id long, f1 double, f2 double, {TARGET} double").cache()
 
-    return sample(4000), sample(1500), sample(1500)
+    return sample(4000, 0), sample(1500, 10_000), sample(1500, 20_000)
 
 
-def test_quantile_trees_reach_their_level(data):
-    train, valid, test = data
-    for level in (0.5, 0.9):
-        model = trees.fit_quantile(train, level, PARAMS, valid)
-        cover = model.predict(test).agg(F.avg((F.col(TARGET) <= F.col("prediction")).cast("int"))).first()[0]
-        assert cover == pytest.approx(level, abs=0.05)
-        flat = trees.QuantileTrees(level, model.start)
-        assert trees.pinball_loss(model.predict(test), TARGET, "prediction", level) < 0.9 * trees.pinball_loss(
-            flat.predict(test), TARGET, "prediction", level
-        )
-
-
-def test_composition_never_crosses(data):
-    train, _, test = data
-    models = trees.fit_composition(train, (0.5, 0.75, 0.9), PARAMS)
-    out = trees.predict_composition(models, test)
+@pytest.fixture(scope="module")
+def rows(data):
+    return bt.prepare(data[0], data[1], FEATURES, "trip_id")
+
+
+def mean_loss(frame, prediction, level):
+    return frame.agg(F.avg(scores.pinball(F.col(TARGET), prediction, level))).first()[0]
+
+
+def test_models_reach_their_level_and_stop_early(spark, data, rows):
+    tasks = bt.bundle_tasks((0.5, 0.9), bt.BoostParams(rate=0.3, leaves=8, depth=3, min_rows=20, patience=3))
+    models = bt.fit(rows, tasks)
+    for task in tasks:
+        model = models[task.name]
+        assert model.stopped == "early" and len(model.trees) == model.losses.index(min(model.losses))
+        scored = data[2].withColumn("q", bt.predictions(spark, [model])[0])
+        assert scored.agg(F.avg((F.col(TARGET) <= F.col("q")).cast("int"))).first()[0] == pytest.approx(task.level, abs=0.05)
+        assert mean_loss(scored, F.col("q"), task.level) < 0.8 * mean_loss(scored, F.lit(model.start), task.level)
+        # What the passes added up on validation rows is what the kept trees predict there.
+        checked = data[1].withColumn("q", bt.predictions(spark, [model])[0])
+        assert mean_loss(checked, F.col("q"), task.level) == pytest.approx(min(model.losses), rel=1e-9)
+
+
+def test_first_split_is_the_best_one(spark, data, rows):
+    """Against all thresholds of all features, tried one by one."""
+    model = bt.fit(rows, [bt.Task("one", 0.75, bt.BoostParams(rounds=1, leaves=2, depth=1, min_rows=20))])["one"]
+    if not model.trees:
+        pytest.fail("one round must beat the constant")
+    train = data[0].toPandas()
+    y, start = train[TARGET].to_numpy(), model.start
+    assert start == pytest.approx(np.quantile(y, 0.75))
+    grad = np.where(y > start, -0.75, 0.25)
+    best = (-1.0, None, None)
+    for j, name in enumerate(FEATURES):
+        x = train[name].to_numpy()
+        for edge in rows.edges[j]:
+            left = ~(x > edge)
+            if min(left.sum(), (~left).sum()) >= 20:
+                gain = grad[left].sum() ** 2 / left.sum() + grad[~left].sum() ** 2 / (~left).sum()
+                best = max(best, (gain, j, edge), key=lambda b: b[0])
+    tree = model.trees[0]
+    assert (tree.feature[0], tree.threshold[0]) == (best[1], best[2])
+    left = ~(train[FEATURES[best[1]]].to_numpy() > best[2])
+    for side, node in ((left, tree.left[0]), (~left, tree.right[0])):
+        assert tree.rows[node] == side.sum()
+        want = np.quantile(y[side] - start, 0.75)
+        assert tree.value[node] == pytest.approx(0.3 * want, abs=0.3 * (0.02 * abs(want) + 5))
+
+
+def test_lockstep_changes_nothing(rows):
+    alone = bt.fit(rows, [bt.Task("a", 0.75, PARAMS)])["a"]
+    both = bt.fit(rows, [bt.Task("b", 0.5, PARAMS), bt.Task("a", 0.75, PARAMS)])["a"]
+    assert alone.losses == both.losses and len(alone.trees) == len(both.trees)
+    for s, t in zip(alone.trees, both.trees, strict=True):
+        assert (s.feature == t.feature).all() and (s.value == t.value).all()
+
+
+def test_shares_of_rows_and_columns(rows):
+    half = bt.BoostParams(rounds=3, leaves=8, depth=3, min_rows=20, row_share=0.5, column_share=0.5, seed=4)
+    task = bt.Task("half", 0.5, half)
+    one, two = bt.fit(rows, [task])["half"], bt.fit(rows, [task])["half"]
+    assert one.losses == two.losses
+    for tree in one.trees:
+        assert 1800 < tree.rows[0] < 2200
+        assert len({f for f in tree.feature.tolist() if f >= 0}) <= 1
+
+
+def test_composition_never_crosses(spark, data, rows):
+    models = bt.fit_composition(rows, (0.5, 0.75, 0.9), PARAMS)[0]
+    out = bt.composed(data[2], models)
     assert out.filter(~vectors.is_monotone(F.col("q"))).count() == 0
     first = out.first()
     assert first["q"][0] == first["steps"][0] and first["q"][1] >= first["q"][0]
+    cover = out.agg(F.avg((F.col(TARGET) <= F.col("q")[2]).cast("int"))).first()[0]
+    assert cover == pytest.approx(0.9, abs=0.05)
+
+
+def test_contributions_add_up(spark, data, rows):
+    model = bt.fit(rows, [bt.Task("a", 0.75, PARAMS)])["a"]
+    out = data[2].select(bt.predictions(spark, [model])[0].alias("q"), bt.contributions(spark, model).alias("c"))
+    for r in out.collect():
+        assert sum(r["c"]) == pytest.approx(r["q"] - model.base, abs=1e-6)
+    assert {r["f1"] for r in out.select((F.col("c")[0] != 0).alias("f1")).collect()} >= {True}
+
+
+def test_node_tables_come_back_as_the_same_models(spark, data, rows, tmp_path):
+    models = list(bt.fit(rows, bt.bundle_tasks((0.5, 0.9), PARAMS)).values())
+    bt.node_table(spark, models).write.parquet(str(tmp_path / "nodes"))
+    back = bt.from_node_table(spark.read.parquet(str(tmp_path / "nodes")))
+    both = data[2].select(bt.predictions(spark, models).alias("a"), bt.predictions(spark, back).alias("b"))
+    assert both.filter("a = b").count() == 1500
+    broken = spark.read.parquet(str(tmp_path / "nodes")).filter("not (round = 0 and node = 1)")
+    with pytest.raises(ValueError):
+        bt.from_node_table(broken)
+
+
+def test_changed_artifacts_are_refused(spark, data, rows, tmp_path):
+    models = list(bt.fit(rows, bt.bundle_tasks((0.5, 0.9), PARAMS)).values())
+    small = {
+        name: spark.createDataFrame([(1, 0.5, [1.0, 2.0])], "zone_id long, x double, embedding array<double>")
+        for name in artifacts.STATIC
+    }
+    scorer = artifacts.serving(models, 12.5, "abc", artifacts.StaticTables(**small))
+    path = str(tmp_path / "scorer")
+    artifacts.save(spark, path, scorer)
+    back = artifacts.load(spark, path)
+    assert (back.width, back.levels, back.population) == (12.5, (0.5, 0.9), "abc")
+    spark.createDataFrame([([0.5, 0.9], 99.0, "abc")], artifacts._SETTINGS).write.mode("overwrite").parquet(f"{path}/settings")
+    with pytest.raises(ValueError, match="settings"):
+        artifacts.load(spark, path)
+    with pytest.raises(ValueError):
+        artifacts.Artifacts(tuple(models), 1.0, (0.5, 0.75), "abc", back.static)
+
+
+def test_search_halves_every_level(rows):
+    space = bt.SearchSpace(rate=(0.1, 0.5), leaves=(4, 8), min_rows=(20, 50))
+    found = bt.search(rows, (0.5, 0.9), 4, bt.BoostParams(depth=3, patience=2), (2, 4), space=space)
+    for level, ranked in found.items():
+        assert len(ranked) == 4 and ranked[0].stopped == "early" and ranked[0].level == level
+        assert sum(m.stopped == "halved" for m in ranked) >= 2
+        assert all(m.stopped != "rounds" for m in ranked)
+        assert min(ranked[0].losses) <= min(min(m.losses) for m in ranked if m.stopped == "early")
 
 
 def test_search_seeds_differ_by_level():
-    drawn = [trees.candidates(PARAMS, a, 3, 0) for a in (0.5, 0.75, 0.9)]
+    space = bt.SearchSpace()
+    drawn = [bt.candidates(PARAMS, a, 3, 0, space) for a in (0.5, 0.75, 0.9)]
     assert len({c[0].rate for c in drawn}) == 3
-    assert trees.candidates(PARAMS, 0.5, 3, 0) == drawn[0]
-    assert len({trees.search_seed(s, a) for s in range(3) for a in (0.05, 0.5, 0.75, 0.9, 0.95)}) == 15
+    assert bt.candidates(PARAMS, 0.5, 3, 0, space) == drawn[0]
+    assert len({bt.search_seed(s, a) for s in range(3) for a in (0.05, 0.5, 0.75, 0.9, 0.95)}) == 15
+    for p in (p for c in drawn for p in c):
+        assert 0.02 <= p.rate <= 0.2 and 31 <= p.leaves <= 255 and 0.6 <= p.row_share <= 1 and 1e-3 <= p.l2 <= 10
+
+
+def test_wrong_inputs_are_errors(spark, data, rows):
+    with pytest.raises(ValueError):
+        bt.BoostParams(row_share=0.0)
+    with pytest.raises(ValueError):
+        bt.fit(rows, [bt.Task("a", 0.5, PARAMS), bt.Task("a", 0.9, PARAMS)])
+    empty = bt.prepare(data[0].withColumn(TARGET, F.lit(None).cast("double")), None, FEATURES, "trip_id")
+    with pytest.raises(ValueError):
+        bt.fit(empty, [bt.Task("a", 0.5, PARAMS)])
 
 
 def test_historical_mean_falls_back(spark):

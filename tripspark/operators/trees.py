@@ -1,25 +1,15 @@
-"""Tree models on MLlib: squared loss, and quantile boosting with leaf re-estimation.
-
-A quantile booster fits a regression tree to the sign of the residual, then replaces each leaf's value by the
-wanted quantile of the residuals that fall into it (Friedman 2001). The tree fit and the leaf quantiles are
-distributed; the driver holds only the trees and at most 2^depth leaf values per round.
-"""
+"""Squared-loss trees on MLlib; quantile models are in ``boosting``."""
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, functions as F
 
-from tripspark.functions import scores
-from tripspark.operators.orderstats import Quantile, group_quantiles
-from tripspark.session import materialize
-from tripspark.vocab import COMPONENTS, TARGET
+from tripspark.vocab import TARGET
 
 # Trees split a missing value off by this number, which no feature takes.
 MISSING = -1.0e6
@@ -31,9 +21,6 @@ class TreeParams:
     rate: float = 0.3
     depth: int = 5
     min_rows: int = 50
-    patience: int = 5
-    # Rounds between writes of the running prediction, so a lost executor replays few trees.
-    write_every: int = 5
     seed: int = 0
 
 
@@ -59,195 +46,3 @@ def fit_squared_loss(train: DataFrame, valid: DataFrame, params: TreeParams) ->
         validationIndicatorCol="is_valid",
         seed=params.seed,
     ).fit(both)
-
-
-@dataclass(frozen=True)
-class QuantileTrees:
-    """A fitted booster: a start value plus, per round, a tree and its leaf values."""
-
-    level: float
-    start: float
-    rounds: tuple[tuple[DecisionTreeRegressionModel, tuple[float, ...]], ...] = field(default=())
-
-    def _step(self, frame: DataFrame, k: int, output: str) -> DataFrame:
-        tree, values = self.rounds[k]
-        marked = tree.setPredictionCol("_tree").setLeafCol("_leaf").transform(frame)
-        value = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_leaf").cast("int") + 1)
-        return marked.withColumn(output, F.col(output) + value).drop("_tree", "_leaf")
-
-    def predict(self, frame: DataFrame, output: str = "prediction") -> DataFrame:
-        out = frame.withColumn(output, F.lit(self.start))
-        for k in range(len(self.rounds)):
-            out = self._step(out, k, output)
-        return out
-
-
-def pinball_loss(frame: DataFrame, label: str, prediction: str, level: float) -> float:
-    loss = scores.pinball(F.col(label).cast("double"), F.col(prediction), level)
-    return frame.agg(F.avg(loss)).first()[0]
-
-
-def fit_quantile(
-    train: DataFrame, level: float, params: TreeParams, valid: DataFrame | None = None, label: str = TARGET
-) -> QuantileTrees:
-    """Boost towards one quantile; with validation rows, keep the round where their pinball loss was lowest."""
-    rows = train.select("features", F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL")
-    start = group_quantiles(rows, [], "_y", {"q": Quantile(level)}).first()["q"]
-    model = QuantileTrees(level, float(start))
-    current = rows.withColumn("_p", F.lit(model.start))
-    checked = None
-    if valid is not None:
-        checked = valid.select("features", F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL")
-        checked = checked.withColumn("_p", F.lit(model.start))
-    best_loss, best_rounds = math.inf, 0
-    for k in range(params.rounds):
-        pull = F.when(F.col("_y") > F.col("_p"), level).otherwise(level - 1.0)
-        learner = DecisionTreeRegressor(
-            labelCol="_pull",
-            maxDepth=params.depth,
-            minInstancesPerNode=params.min_rows,
-            seed=params.seed + k,
-            predictionCol="_tree",
-            leafCol="_leaf",
-        )
-        tree = learner.fit(current.withColumn("_pull", pull))
-        in_leaf = tree.transform(current).select(
-            F.col("_leaf").cast("int").alias("leaf"), (F.col("_y") - F.col("_p")).alias("residual")
-        )
-        shifts = group_quantiles(in_leaf, ["leaf"], "residual", {"q": Quantile(level)})
-        by_leaf = {row["leaf"]: row["q"] for row in shifts.collect()}
-        leaves = (tree.numNodes + 1) // 2
-        values = tuple(params.rate * by_leaf.get(i, 0.0) for i in range(leaves))
-        model = replace(model, rounds=(*model.rounds, (tree, values)))
-        current = model._step(current, k, "_p")
-        if (k + 1) % params.write_every == 0 and k + 1 < params.rounds:
-            current = materialize(current, "boosting-rows")
-        if checked is not None:
-            checked = model._step(checked, k, "_p")
-            if (k + 1) % params.write_every == 0:
-                checked = materialize(checked, "boosting-checks")
-            loss = pinball_loss(checked, "_y", "_p", level)
-            if loss < best_loss:
-                best_loss, best_rounds = loss, k + 1
-            elif k + 1 - best_rounds >= params.patience:
-                break
-    return replace(model, rounds=model.rounds[:best_rounds]) if checked is not None else model
-
-
-def fit_bundle(
-    train: DataFrame,
-    levels: Sequence[float],
-    params: TreeParams,
-    valid: DataFrame | None = None,
-    per_level: dict[float, TreeParams] | None = None,
-) -> list[QuantileTrees]:
-    """One model per level, each fitted without looking at the others, so their predictions may cross."""
-    return [fit_quantile(train, a, (per_level or {}).get(a, params), valid) for a in levels]
-
-
-def predict_bundle(models: Sequence[QuantileTrees], frame: DataFrame) -> DataFrame:
-    """Adds ``q``, the levels' predictions in ascending level order."""
-    out = frame
-    for i, model in enumerate(models):
-        out = model.predict(out, f"_q{i}")
-    names = [f"_q{i}" for i in range(len(models))]
-    return out.withColumn("q", F.array(*names)).drop(*names)
-
-
-# ---- monotone composition --------------------------------------------------------------------------------
-
-
-def _increment(step: str, first: bool) -> Column:
-    return F.col(step) if first else F.greatest(F.col(step), F.lit(0.0))
-
-
-def fit_composition(
-    train: DataFrame, levels: Sequence[float], params: TreeParams, valid: DataFrame | None = None
-) -> list[QuantileTrees]:
-    """The lowest level first, then for each next level a model of what is left above the levels so far."""
-    models: list[QuantileTrees] = []
-
-    def left_over(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_rest", F.col(TARGET) - F.col("_running"))
-
-    def advance(frame: DataFrame, model: QuantileTrees, first: bool) -> DataFrame:
-        stepped = model.predict(frame, "_step")
-        return stepped.withColumn("_running", F.col("_running") + _increment("_step", first)).drop("_step")
-
-    running = train.select("features", TARGET).withColumn("_running", F.lit(0.0))
-    checked = None if valid is None else valid.select("features", TARGET).withColumn("_running", F.lit(0.0))
-    for i, level in enumerate(levels):
-        model = fit_quantile(
-            left_over(running), level, params, None if checked is None else left_over(checked), label="_rest"
-        )
-        models.append(model)
-        running = materialize(advance(running, model, i == 0), "composition-rows")
-        checked = None if checked is None else materialize(advance(checked, model, i == 0), "composition-checks")
-    return models
-
-
-def predict_composition(models: Sequence[QuantileTrees], frame: DataFrame) -> DataFrame:
-    """Adds ``steps`` (base and raw increments) and ``q``, which never descends."""
-    out = frame.withColumn("_running", F.lit(0.0))
-    for i, model in enumerate(models):
-        out = model.predict(out, f"_s{i}")
-        out = out.withColumn("_running", F.col("_running") + _increment(f"_s{i}", i == 0)).withColumn(
-            f"_q{i}", F.col("_running")
-        )
-    steps, values = [f"_s{i}" for i in range(len(models))], [f"_q{i}" for i in range(len(models))]
-    return out.withColumns({"steps": F.array(*steps), "q": F.array(*values)}).drop("_running", *steps, *values)
-
-
-# ---- decomposed model ------------------------------------------------------------------------------------
-
-
-def fit_components(
-    train: DataFrame, level: float, params: TreeParams, valid: DataFrame | None = None
-) -> dict[str, QuantileTrees]:
-    """One model per component of the trip time; both tables hold component-complete rows."""
-    return {part: fit_quantile(train, level, params, valid, label=part) for part in COMPONENTS}
-
-
-def predict_components(models: dict[str, QuantileTrees], frame: DataFrame, output: str = "summed") -> DataFrame:
-    out = frame
-    for part, model in models.items():
-        out = model.predict(out, f"_p_{part}")
-    total = sum((F.col(f"_p_{part}") for part in models), F.lit(0.0))
-    return out.withColumn(output, total).drop(*[f"_p_{part}" for part in models])
-
-
-# ---- tuning ----------------------------------------------------------------------------------------------
-
-
-def search_seed(seed: int, level: float) -> int:
-    """Distinct per seed and level, so two levels never draw the same candidates."""
-    return seed * 1000 + round(level * 100)
-
-
-def candidates(base: TreeParams, level: float, trials: int, seed: int) -> list[TreeParams]:
-    draw = random.Random(search_seed(seed, level))
-
-    def log_uniform(low: float, high: float) -> float:
-        return math.exp(draw.uniform(math.log(low), math.log(high)))
-
-    return [
-        replace(
-            base,
-            rate=log_uniform(0.02, 0.2),
-            depth=draw.randint(3, 6),
-            min_rows=round(log_uniform(50, 1000)),
-            seed=seed,
-        )
-        for _ in range(trials)
-    ]
-
-
-def tune_on_validation(
-    train: DataFrame, valid: DataFrame, level: float, trials: int, base: TreeParams, seed: int = 0
-) -> list[tuple[float, TreeParams]]:
-    """Candidates with their validation pinball loss, best first. Test rows are not a parameter."""
-    scored = []
-    for params in candidates(base, level, trials, seed):
-        model = fit_quantile(train, level, params, valid)
-        scored.append((pinball_loss(model.predict(valid), TARGET, "prediction", level), params))
-    return sorted(scored, key=lambda pair: pair[0])

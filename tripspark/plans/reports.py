@@ -11,7 +11,7 @@ from tripspark.plans.evaluation import COST, LEVELS, MIN_ROWS, by_model_and_seed
 from tripspark.plans.reference import rounded, sql_rounded
 from tripspark.session import fresh_path
 from tripspark.sources import driver_tables as d, reports, trip_files
-from tripspark.operators.trees import TreeParams
+from tripspark.operators.boosting import BoostParams
 from tripspark.operators.cleaning import clean
 
 
@@ -53,7 +53,8 @@ def seed_results_read_back(spark, sf):
     "tuned_or_default_parameters",
     "S11",
     """SELECT level, CASE WHEN level IN (0.5, 0.9) THEN level / 10 ELSE 0.3 END AS rate,
-       CAST(CASE WHEN level IN (0.5, 0.9) THEN 4 ELSE 5 END AS INTEGER) AS depth, CAST(level IN (0.5, 0.9) AS INTEGER) AS is_tuned,
+       CAST(CASE WHEN level IN (0.5, 0.9) THEN 40 ELSE 31 END AS INTEGER) AS leaves,
+       CASE WHEN level IN (0.5, 0.9) THEN 0.75::DOUBLE ELSE 1.0 END AS row_share, CAST(level IN (0.5, 0.9) AS INTEGER) AS is_tuned,
        COUNT(*) AS rows FROM scored, (VALUES (CAST(0.05 AS DOUBLE)), (0.5), (0.75), (0.9), (0.95)) l(level) GROUP BY 1""",
 )
 def tuned_or_default_parameters(spark, sf):
@@ -61,12 +62,13 @@ def tuned_or_default_parameters(spark, sf):
     per_level = d.scored(spark, sf).select(F.explode(F.array(*map(F.lit, LEVELS))).alias("level"))
     levels = per_level.groupBy("level").agg(F.count("*").alias("rows"))
     found = levels.filter(F.col("level").isin(0.5, 0.9)).select(
-        "level", (F.col("level") / 10).alias("rate"), F.lit(4).alias("depth"), F.lit(80).alias("min_rows")
+        "level", (F.col("level") / 10).alias("rate"), F.lit(40).alias("leaves"), F.lit(80).alias("min_rows"),
+        F.lit(0.75).alias("row_share"),
     )
     reports.write_report(found, path)
-    tuned = reports.tuned_parameters(spark, path, levels.select("level"), TreeParams())
+    tuned = reports.tuned_parameters(spark, path, levels.select("level"), BoostParams())
     return tuned.join(levels, "level").select(
-        "level", "rate", "depth", F.col("is_tuned").cast("int").alias("is_tuned"), "rows"
+        "level", "rate", "leaves", "row_share", F.col("is_tuned").cast("int").alias("is_tuned"), "rows"
     )
 
 
