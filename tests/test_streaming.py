@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripspark.operators import zone_state as batch
-from tripspark.streaming import scoring, zone_state as live
+from tripspark.streaming import live_table, replay, scoring, zone_state as live
 
 SCHEMA = "zone long, bucket_s long, completed long, distance_m double, duration_s long"
 
@@ -52,27 +52,126 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert got == {0: 1, 60: 1, 120: 1, 125: 1}
 
 
-def test_custom_state_evicts_after_an_hour(spark, tmp_path):
-    write(spark, tmp_path, "g1", [row(1, 0), row(1, 10), row(2, 10)])
-    write(spark, tmp_path, "g2", [row(1, 30)])
-    write(spark, tmp_path, "g3", [row(1, 70)])
-    table, _ = live.run_to_table(live.ticking_state(stream(spark, tmp_path)), "ticks")
-    got = {(r["zone"], minute(r["clock_s"])): (r["completed_15m"], r["completed_30m"], r["completed_60m"]) for r in table.collect()}
-    assert got == {(1, 10): (2, 2, 2), (2, 10): (1, 1, 1), (1, 30): (1, 2, 3), (1, 70): (1, 1, 2)}
+def in_order(spark, path, parts):
+    """Each part's rows as one file; the stream reads them one per micro-batch."""
+    for n, rows in enumerate(parts):
+        write(spark, path, f"p{n}", rows)
+    return stream(spark, path)
 
 
-def test_state_table_versions_can_be_rerun(spark, tmp_path):
-    path = str(tmp_path / "state")
-    put = live.upsert_state(path)
-    frame = lambda *r: spark.createDataFrame(list(r), "zone long, clock_s long, completed_60m long")
-    put(frame((1, 100, 5), (2, 100, 7)), 0)
-    put(frame((1, 400, 6), (1, 300, 9)), 1)
-    put(frame((1, 400, 6), (1, 300, 9)), 1)
-    put(frame((2, 50, 1)), 2)
-    got = {r["zone"]: (r["clock_s"], r["completed_60m"]) for r in live.latest_version(spark, path).collect()}
-    assert got == {1: (400, 6), 2: (100, 7)}
-    assert live.stream_clock(live.latest_version(spark, path)).first()["clock_s"] == 400
-    assert live.latest_version(spark, str(tmp_path / "none")) is None
+def test_quiet_zones_tick_decay_and_are_cleared(spark, tmp_path):
+    """Whatever the micro-batches, the ticks are those of the batch state, and a zone that comes back starts anew."""
+    rows = [row(z, m, 1 + m % 3) for z in (1, 2) for m in (0, 5, 20, 90, 95, 300, 305)]
+    rows += [row(3, m) for m in (0, 400)] + [row(4, 450)]
+    parts = [[r for r in rows if lo <= minute(r[1]) < lo + 100] for lo in range(0, 500, 100)]
+    table, _ = live.run_to_table(replay.ticking_state(in_order(spark, tmp_path, [p for p in parts if p])), "ticks")
+    once, _ = live.run_to_table(replay.ticking_state(in_order(spark, tmp_path / "one", [rows])), "ticks-once")
+    want = batch.decayed_state(spark.createDataFrame(rows, SCHEMA)).filter(F.col("clock_s") <= START + 450 * 60)
+    columns = sorted(want.columns)
+    key = lambda frame: sorted(tuple(map(float, r)) for r in frame.select(*columns).collect())
+    assert key(table) == key(want) == key(once)
+    zone3 = [r for r in table.filter("zone = 3").collect() if minute(r["clock_s"]) == 60]
+    assert zone3[0]["completed_60m"] == 0.0
+
+
+ASKED = "zone long, key_s long"
+
+
+def plain_answer(rows, zone, key_s):
+    """Sums of the zone's buckets up to the tick before the request's bucket; null without an earlier bucket."""
+    mine = [r for r in rows if r[0] == zone and r[1] < key_s]
+    if not mine:
+        return (None,) * 10
+    tick = key_s - 300
+    sums = [sum(r[i] for r in mine if tick - 60 * w < r[1] <= tick) for w in (15, 30, 60) for i in (2, 3, 4)]
+    return (tick, *map(float, sums))
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_requests_are_answered_from_buckets_before_their_own(spark, tmp_path, parts):
+    rows = [row(z, m, 1 + m % 4) for z in (1, 2) for m in range(0, 600, 5) if (m // 5 + z) % 3 and not 200 < m < 320]
+    asked = [(z, START + m * 60) for z in (1, 2, 9) for m in range(0, 600, 15)]
+    step = 600 // parts
+    for n in range(parts):
+        lo, hi = START + n * step * 60, START + (n + 1) * step * 60
+        write(spark, tmp_path / "rows", f"p{n}", [r for r in rows if lo <= r[1] < hi])
+        spark.createDataFrame([a for a in asked if lo <= a[1] < hi], ASKED).coalesce(1).write.parquet(f"{tmp_path}/asked/p{n}")
+    clocks = spark.readStream.schema(ASKED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/asked/*")
+    answers, _ = live.run_to_table(replay.answered_requests(stream(spark, tmp_path / "rows"), clocks), "answers")
+    got = {(r["zone"], r["key_s"]): tuple(r[c] for c in ("state_clock_s", *replay.COLUMNS)) for r in answers.collect()}
+    newest = max(r[1] for r in rows)
+    assert got == {(z, k): plain_answer(rows, z, k) for z, k in asked if k - 300 <= newest}
+    assert any(v[0] is None for v in got.values()) and any(v[-1] == 0.0 for v in got.values())
+
+
+def live_rows(table, spark):
+    return {r["zone"]: (minute(r["clock_s"]), r["completed_15m"], r["completed_60m"]) for r in table.state(spark).collect()}
+
+
+def test_live_table_upserts_at_one_clock_and_keeps_late_rows(spark, tmp_path):
+    table = live_table.LiveTable(str(tmp_path / "live"), 600, keep=2)
+    parts = [
+        [row(1, 0), row(2, 5)],
+        [row(1, 10, 2), row(1, 0, 3)],
+        [row(2, 70), row(1, 59), (None, START, 1, 1.0, 1), (1, None, 1, 1.0, 1)],
+        [row(3, 2), row(1, 61, 4)],
+    ]
+    frames = [spark.createDataFrame(p, SCHEMA).coalesce(1) for p in parts]
+    live_table.run_arrivals(table, frames)
+    # Minute 59 came with minute 70 and counts, minute 61 is behind the clock but not by too much, minute 10 has left.
+    assert live_rows(table, spark) == {1: (70, 5.0, 5.0), 2: (70, 1.0, 1.0)}
+    counts = table.counts(spark)
+    assert (counts["in_time"], counts["late"], counts["incomplete"], counts["version"]) == (7, 1, 2, 3)
+    aside = {(r["reason"], r["zone"]) for r in table.aside(spark).collect()}
+    assert aside == {("late", 3), ("incomplete", None), ("incomplete", 1)}
+    assert sum(f.count() for f in frames) == counts["in_time"] + counts["late"] + counts["incomplete"]
+    left = sorted(p.name for p in (tmp_path / "live").glob("version=*/state"))
+    assert len(left) == 2
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    table = live_table.LiveTable(str(tmp_path / "live"))
+    frame = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    table.upsert(frame(row(1, 0), row(2, 0)), 0)
+    table.upsert(frame(row(1, 10, 5)), 1)
+    once = live_rows(table, spark)
+    table.upsert(frame(row(1, 10, 5)), 1)
+    assert live_rows(table, spark) == once == {1: (10, 6.0, 6.0), 2: (10, 1.0, 1.0)}
+    # A batch that failed before the pointer moved is invisible, and its leftovers are overwritten.
+    spark.createDataFrame([(9, START, 1.0, 1.0, 1.0)], live_table.BUCKETS).write.parquet(table._part(2, "buckets"))
+    assert live_rows(table, spark) == once
+    table.upsert(frame(row(2, 15)), 2)
+    assert live_rows(table, spark) == {1: (15, 5.0, 6.0), 2: (15, 1.0, 2.0)}
+    table.upsert(frame(), 3)
+    assert live_rows(table, spark) == {1: (15, 5.0, 6.0), 2: (15, 1.0, 2.0)}
+    with pytest.raises(ValueError):
+        live_table.LiveTable("x", 3600)
+    empty = live_table.LiveTable(str(tmp_path / "none"))
+    assert empty.state(spark) is None and empty.counts(spark) is None
+
+
+def test_a_scan_that_fails_costs_one_batch_its_state(spark, tmp_path):
+    table = live_table.LiveTable(str(tmp_path / "live"))
+    reader = live_table.StateReader(table)
+    state, clock_s = reader.snapshot(spark)
+    assert state.count() == 0 and clock_s is None and reader.failure_rate == 0.0
+    table.upsert(spark.createDataFrame([row(1, 0)], SCHEMA), 0)
+    table.upsert(spark.createDataFrame([row(1, 5)], SCHEMA), 1)
+    state, clock_s = reader.snapshot(spark)
+    assert minute(clock_s) == 5 and state.count() == 1
+    for file in (tmp_path / "live" / "version=000000000001" / "state").glob("*.parquet"):
+        # The footer stays whole, the pages do not: listing and reading the schema still work.
+        data = bytearray(file.read_bytes())
+        data[4 : len(data) // 3] = bytes(len(data) // 3 - 4)
+        file.write_bytes(data)
+    for crc in (tmp_path / "live").rglob(".*.crc"):
+        crc.unlink()
+    lost, clock_s = reader.snapshot(spark)
+    assert lost is None and clock_s is None and reader.failure_rate == pytest.approx(1 / 3)
+    asked = spark.createDataFrame([(7, 1)], "request_id int, pu_zone long")
+    assert scoring.attach_live_state(asked, lost).first()["degraded"]
+    # A snapshot that was taken before stays whole.
+    assert state.first()["completed_15m"] == 2.0
 
 
 def test_a_missing_store_degrades_and_a_cold_zone_does_not(spark):
@@ -100,25 +199,3 @@ def test_request_validity(spark):
     assert (valid.count(), rejected.count()) == (2, 3)
     now = dt.datetime.now().timestamp()
     assert valid.filter("pu_zone = 3").first()["request_s"] == pytest.approx(now, abs=120)
-
-
-def test_old_versions_of_the_state_table_expire(spark, tmp_path):
-    path = str(tmp_path / "state")
-    write = live.upsert_state(path, keep=3)
-    for batch in range(6):
-        write(spark.createDataFrame([(batch % 2, 300 * batch, float(batch))], "zone long, clock_s long, completed_5m double"), batch)
-    assert [v for v, _ in live._finished_versions(spark, path)] == [3, 4, 5]
-    rows = {r["zone"]: r["clock_s"] for r in live.latest_version(spark, path).collect()}
-    assert rows == {0: 1200, 1: 1500}
-    assert live.StateStore.staleness_s(live.latest_version(spark, path), 1560) == 60
-
-
-def test_a_store_that_cannot_be_read_counts_as_failed(spark, tmp_path):
-    store = live.StateStore(str(tmp_path / "none"))
-    assert store.read(spark) is None and store.failure_rate == 0.0
-    broken = tmp_path / "broken" / "version=000000000001"
-    broken.mkdir(parents=True)
-    (broken / "_SUCCESS").write_text("")
-    (broken / "part-0.parquet").write_text("no parquet")
-    bad = live.StateStore(str(tmp_path / "broken"))
-    assert bad.read(spark) is None and bad.failure_rate == 1.0

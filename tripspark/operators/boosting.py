@@ -179,7 +179,11 @@ def prepare(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(bins)], [*kept, "bins"])
 
     schema = "row_key long, is_valid boolean, " + "".join(f"`{c}` double, " for c in labels) + "bins array<tinyint>"
-    return Prepared(materialize(rows.mapInArrow(binned, schema), "binned-rows"), tuple(features), edges)
+    # Every pass reads all rows, so they are dealt evenly over all cores once; binned, a row has a byte per feature.
+    spark = train.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = rows.mapInArrow(binned, schema).repartition(parts, "row_key")
+    return Prepared(materialize(spread, "binned-rows"), tuple(features), edges)
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,15 +31,27 @@ def check_parity(
     other = right.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_r_{f}") for f in features])
     pairs = left.select(key, *features).join(other, null_safe(left, other, [(key, "_key")]), "full")
     alone = F.col(key).isNull() | F.col("_key").isNull()
+    return compare_columns(pairs, {f: (f, f"_r_{f}", types[f]) for f in features}, tolerance, alone)
+
+
+def compare_columns(
+    pairs: DataFrame, features: Mapping[str, tuple[str, str, str]], tolerance: float = 1e-5, alone: Column | None = None
+) -> DataFrame:
+    """The same report for two columns of one row: ``features`` names the left column, the right one and the type.
+
+    Rows for which ``alone`` holds count as a mismatch of every feature.
+    """
     per_feature = []
-    for f in features:
-        a, b = _number(f, types[f]), _number(f"_r_{f}", types[f])
+    for f, (mine, theirs, dtype) in features.items():
+        a, b = _number(mine, dtype), _number(theirs, dtype)
         both_missing = a.isNull() & b.isNull()
         gap = F.abs(a - b)
-        if types[f] not in EXACT_TYPES:
+        if dtype not in EXACT_TYPES:
             gap = gap / F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
-        limit = 0.0 if types[f] in EXACT_TYPES else tolerance
-        same = ~alone & (both_missing | F.coalesce(gap <= limit, F.lit(False)))
+        limit = 0.0 if dtype in EXACT_TYPES else tolerance
+        same = both_missing | F.coalesce(gap <= limit, F.lit(False))
+        if alone is not None:
+            same = ~alone & same
         per_feature.append(
             F.struct(
                 F.lit(f).alias("feature"),

@@ -93,9 +93,13 @@ class TickingZone(StatefulProcessor):
         held, tick_s = self.state.get()
         buckets, now_s, out = _Buckets(held), _watermark_s(timerValues), []
         times = buckets.index()
-        while tick_s <= now_s and times and tick_s <= times[-1] + _LONGEST_S:
-            out.append((key[0], tick_s, *buckets.window(times, tick_s)))
-            tick_s += BUCKET_S
+        while tick_s <= now_s and tick_s <= times[-1] + _LONGEST_S:
+            if tick_s <= times[bisect_right(times, tick_s) - 1] + _LONGEST_S:
+                out.append((key[0], tick_s, *buckets.window(times, tick_s)))
+                tick_s += BUCKET_S
+            else:
+                # Cleared by now; it starts again with the next bucket, as it would have if that had come later.
+                tick_s = times[bisect_right(times, tick_s)]
         buckets.evict(tick_s - BUCKET_S)
         if buckets.sums:
             self.state.update((buckets.held(), tick_s))

@@ -1,4 +1,4 @@
-"""Zone state kept up to date in Structured Streaming.
+"""Zone state kept up to date by Spark's own streaming aggregates.
 
 Input streams have one row per finished trip or per pre-counted bucket: zone, bucket_s, completed, distance_m,
 duration_s. Sums are built from the same expressions as the batch state.
@@ -6,17 +6,10 @@ duration_s. Sums are built from the same expressions as the batch state.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import pandas as pd
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
-from tripspark.functions import clock
 from tripspark.operators import zone_state as batch
 from tripspark.session import fresh_path
 from tripspark.vocab import STATE_MEASURES, WINDOWS_MIN
@@ -45,140 +38,6 @@ def sliding_state(rows: DataFrame, lateness_s: int, windows: Sequence[int] = WIN
     return sums.drop("clock_ts")
 
 
-# ---- custom state ----------------------------------------------------------------------------------------
-
-TICK_SCHEMA = "zone bigint, clock_s bigint, " + ", ".join(f"{c} double" for c in batch.state_columns())
-_STATE_SCHEMA = "buckets array<struct<bucket_s:bigint,completed:double,distance_m:double,duration_s:double>>, clock_s bigint"
-
-
-def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds a zone's new buckets, drops those an hour behind its clock, and publishes the sums at the clock.
-
-    The state is at most thirteen buckets, whatever the number of trips in them.
-    """
-    held, clock_s = state.get if state.exists else ([], 0)
-    totals = {b[0]: [float(x) for x in b[1:]] for b in held}
-    for chunk in chunks:
-        sums = chunk.groupby("bucket_s")[list(STATE_MEASURES)].sum()
-        for bucket_s, values in zip(sums.index, sums.to_numpy()):
-            old = totals.setdefault(int(bucket_s), [0.0, 0.0, 0.0])
-            totals[int(bucket_s)] = [a + float(b) for a, b in zip(old, values)]
-        clock_s = max(clock_s, max(totals))
-        totals = {b: v for b, v in totals.items() if b > clock_s - 60 * max(WINDOWS_MIN)}
-    state.update(([(b, *v) for b, v in sorted(totals.items())], clock_s))
-    row: dict[str, object] = {"zone": key[0], "clock_s": clock_s}
-    for w in WINDOWS_MIN:
-        inside = [v for b, v in totals.items() if b > clock_s - 60 * w]
-        for i, measure in enumerate(STATE_MEASURES):
-            row[f"{measure}_{w}m"] = sum(v[i] for v in inside)
-    yield pd.DataFrame([row])
-
-
-def ticking_state(buckets: DataFrame) -> DataFrame:
-    """Per zone and micro-batch one row: the sums at the zone's own clock, with eviction.
-
-    Feed it a stream of finished buckets (``event_buckets`` written to a table and read back as a stream): then a
-    zone sends at most one row per bucket, so no zone's trips pile up in a task.
-    """
-    slim = buckets.select("zone", "bucket_s", *STATE_MEASURES)
-    return slim.groupBy("zone").applyInPandasWithState(
-        _advance, TICK_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-# ---- state table -----------------------------------------------------------------------------------------
-
-
-#: Versions that stay; a reader has that many batches to finish, and a failed batch finds the one before it.
-KEPT_VERSIONS = 5
-
-
-def upsert_state(path: str, keep: int = KEPT_VERSIONS):
-    """A foreachBatch function that keeps the newest row per zone in a versioned table.
-
-    Each batch writes version ``batch_id`` from the version before it, so a batch that is run again after a
-    failure writes the same rows to the same place. The table has one row per zone.
-    """
-
-    def write(changes: DataFrame, batch_id: int) -> None:
-        spark = changes.sparkSession
-        newest = changes.groupBy("zone").agg(
-            F.max_by(F.struct(*[c for c in changes.columns if c != "zone"]), "clock_s").alias("row")
-        )
-        merged = newest.select("zone", "row.*")
-        previous = latest_version(spark, path, before=batch_id)
-        if previous is not None:
-            both = previous.unionByName(merged)
-            merged = both.groupBy("zone").agg(
-                F.max_by(F.struct(*[c for c in merged.columns if c != "zone"]), "clock_s").alias("row")
-            ).select("zone", "row.*")
-        # The stream's clock is the newest bucket end any zone has reached.
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
-        expire_versions(spark, path, keep)
-
-    return write
-
-
-def _finished_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """Number and folder name of every finished version, oldest first."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(top)]
-    done = [
-        name
-        for name in names
-        if name.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}", "_SUCCESS"))
-    ]
-    return sorted((int(name.removeprefix("version=")), name) for name in done)
-
-
-def expire_versions(spark: SparkSession, path: str, keep: int) -> None:
-    """Delete all but the newest finished versions, so that listing them costs the same however old the stream is."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for _, name in _finished_versions(spark, path)[:-keep]:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-
-
-def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest finished version of the state table, or None when there is none."""
-    versions = [v for v in _finished_versions(spark, path) if before is None or v[0] < before]
-    return spark.read.parquet(os.path.join(path, versions[-1][1])) if versions else None
-
-
-@dataclass
-class StateStore:
-    """Reads the state table for scoring and counts the reads that failed; scoring goes on without state then."""
-
-    path: str
-    reads: int = 0
-    failures: int = 0
-
-    def read(self, spark: SparkSession) -> DataFrame | None:
-        """The newest state, or None if there is none or it cannot be read now."""
-        self.reads += 1
-        try:
-            return latest_version(spark, self.path)
-        except (PySparkException, Py4JJavaError):
-            self.failures += 1
-            return None
-
-    @property
-    def failure_rate(self) -> float:
-        return self.failures / self.reads if self.reads else 0.0
-
-    @staticmethod
-    def staleness_s(state: DataFrame, now_s: int) -> int | None:
-        """Seconds by which the state's clock is behind ``now_s``; None for a table without zones."""
-        clock_s = stream_clock(state).first()["clock_s"]
-        return None if clock_s is None else int(now_s - clock_s)
-
-
-def stream_clock(state: DataFrame) -> DataFrame:
-    return state.agg(F.max("clock_s").alias("clock_s"), F.count("*").alias("zones"))
-
-
 # ---- running ---------------------------------------------------------------------------------------------
 
 
@@ -208,21 +67,6 @@ def _run(stream: DataFrame, name: str, mode: str) -> tuple[str, list]:
     return out, running.recentProgress
 
 
-def run_upsert(stream: DataFrame, name: str) -> str:
-    """Run a state stream into a state table; returns the table's path."""
-    spark = stream.sparkSession
-    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
-    running = (
-        stream.writeStream.foreachBatch(upsert_state(out))
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
-    return out
-
-
 def dropped_by_watermark(progress: list) -> int:
     """Rows that came too late to count, over all batches."""
     return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
