@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from tripspark.vocab import HASH_MODULUS, TIERS, WINDOWS_MIN
 
 _LEVEL_TOLERANCE = 1e-9
@@ -146,3 +149,32 @@ def tier_threshold(tier: str) -> int:
     _require(tier in TIERS, f"unknown sampling tier {tier!r}")
     _require(TIERS[tier] <= HASH_MODULUS, "a tier cannot exceed the modulus")
     return TIERS[tier]
+
+
+# ---- tables of settings ----------------------------------------------------------------------------------
+
+
+def _holds(levels: Column, wanted: Column) -> Column:
+    return F.exists(levels, lambda level: F.abs(level - wanted) < _LEVEL_TOLERANCE)
+
+
+def check_settings(settings: DataFrame) -> DataFrame:
+    """The same checks for a table of settings: lambda_late, lambda_early, levels, coverage, seeds.
+
+    Adds ``served_level`` and whether it is trained (``serves``), whether both interval levels are (``brackets``), whether
+    levels ascend within (0, 1) and whether there are three seeds or more. A null setting fails its checks.
+    """
+    late, early, levels = F.col("lambda_late"), F.col("lambda_early"), F.col("levels")
+    served = F.when((late > 0) & (early > 0), late / (late + early))
+    low = (1.0 - F.col("coverage")) / 2.0
+    steps = F.zip_with(F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), levels, lambda b, a: b.isNull() | (b > a))
+    within = F.forall(levels, lambda level: (level > 0) & (level < 1))
+    checks = {
+        "serves": _holds(levels, served),
+        "brackets": _holds(levels, low) & _holds(levels, 1.0 - low),
+        "ascends": F.forall(steps, lambda ok: ok) & within & (F.size(levels) > 0),
+        "enough_seeds": F.size(F.array_distinct("seeds")) >= 3,
+    }
+    return settings.withColumn("served_level", served).withColumns(
+        {name: F.coalesce(check, F.lit(False)) for name, check in checks.items()}
+    )

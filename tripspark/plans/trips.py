@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripspark.config import check_settings
 from tripspark.functions import clock, sampling, segments
-from tripspark.operators import card, cleaning, weather, zone_state
+from tripspark.operators import card, cleaning, ingest, weather, zone_state
 from tripspark.plans.catalog import query
 from tripspark.plans.oracle import VIEWS
 from tripspark.session import fresh_path
@@ -169,6 +170,141 @@ def sampling_tiers(spark, sf):
     )
 
 
+SAMPLE_ROWS = 5_000
+
+
+@query(
+    "sample_of_exact_size",
+    "N14",
+    f"""SELECT trip_id, pu_zone FROM clean ORDER BY CAST('0x' || substr(md5('0|' || CAST(trip_id AS VARCHAR) || '|' ||
+        CAST(pu_zone AS VARCHAR)), 1, 15) AS BIGINT), trip_id, pu_zone LIMIT {SAMPLE_ROWS}""",
+)
+def sample_of_exact_size(spark, sf):
+    """A seeded sample without replacement: its size is the feature."""
+    clean = cleaning.clean(d.trips(spark, sf))
+    return sampling.sample_of_size(clean, ("trip_id", "pu_zone"), SAMPLE_ROWS).select("trip_id", "pu_zone")
+
+
+# ---- ingest ----------------------------------------------------------------------------------------------
+
+VIEWS["raw_trips"] = f"""
+SELECT event_id, wall, event_id % 3 AS part, CASE WHEN event_id % 3 <> 2 THEN wall + INTERVAL 3 MINUTE END AS on_scene,
+       wall + to_minutes(5 + event_id % 20) AS pickup, wall + to_minutes(9 + event_id % 70) AS dropoff,
+       user_id % 266 + 1 AS pu_zone, event_id % 264 + 1 AS do_zone,
+       CAST(CASE WHEN event_id % 3 = 1 THEN CAST(value / 8 AS FLOAT) ELSE value / 8 END AS DOUBLE) AS trip_miles,
+       240 + event_id % 900 AS trip_time
+FROM ({RAW_SQL}) JOIN (SELECT event_id, user_id, value FROM events) USING (event_id)"""
+
+
+def _instant_sql(column: str) -> str:
+    real = f"(({column} AT TIME ZONE 'America/New_York') AT TIME ZONE 'America/New_York') = {column}"
+    return f"CASE WHEN {real} THEN CAST(FLOOR(epoch(({column} AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC')) AS BIGINT) END"
+
+
+VIEWS["ingested"] = f"""
+SELECT part, {_instant_sql('wall')} AS request_s,
+       CASE WHEN {_instant_sql('wall')} IS NOT NULL THEN CAST(FLOOR(epoch(wall)) AS BIGINT) END AS request_local_s,
+       {_instant_sql('on_scene')} AS on_scene_s, {_instant_sql('pickup')} AS pickup_s, {_instant_sql('dropoff')} AS dropoff_s,
+       pu_zone, do_zone, trip_miles, trip_time, on_scene IS NOT NULL AS has_scene FROM raw_trips"""
+VIEWS["ingest_ruled"] = VIEWS["ruled"].replace("FROM trips", "FROM ingested")
+
+
+def raw_trip_files(spark: SparkSession, sf: str) -> str:
+    """Three layouts of raw trip files in folders of their own, and a file that is no Parquet; returns the folder."""
+    path = fresh_path(spark, "raw-trips")
+    events = d.table(spark, sf, "events")
+    wall = F.col("ts") + F.expr("INTERVAL 68 DAYS")
+    later = lambda minutes: wall + F.make_dt_interval(mins=minutes)
+    raw = events.select(
+        (F.col("event_id") % 3).alias("part"),
+        F.lit("HV0003").alias("hvfhs_license_num"),
+        wall.alias("request_datetime"),
+        later(F.lit(3)).alias("on_scene_datetime"),
+        later((5 + F.col("event_id") % 20).cast("int")).alias("pickup_datetime"),
+        later((9 + F.col("event_id") % 70).cast("int")).alias("dropoff_datetime"),
+        (F.col("user_id") % 266 + 1).alias("PULocationID"),
+        (F.col("event_id") % 264 + 1).alias("DOLocationID"),
+        (F.col("value") / 8).alias("trip_miles"),
+        (240 + F.col("event_id") % 900).alias("trip_time"),
+    )
+    full = raw.filter("part = 0").drop("part")
+    narrow = raw.filter("part = 1").drop("part").withColumns(
+        {c: F.col(c).cast("int") for c in ("PULocationID", "DOLocationID", "trip_time")}
+    )
+    narrow = narrow.withColumn("trip_miles", F.col("trip_miles").cast("float")).withColumn("extra_fee", F.lit(1.0))
+    old = raw.filter("part = 2").drop("part", "on_scene_datetime")
+    for name, frame in (("full", full), ("narrow", narrow), ("old", old)):
+        frame.write.parquet(f"{path}/layout={name}")
+    spark.createDataFrame([("a download that broke off",)], "value string").coalesce(1).write.text(f"{path}/layout=broken")
+    return path
+
+
+@query(
+    "raw_file_outcomes",
+    "S1 S2 S5",
+    """SELECT CASE part WHEN 0 THEN 'full' WHEN 1 THEN 'narrow' ELSE 'old' END AS layout, 'read' AS status, COUNT(*) AS rows,
+       COUNT(*) FILTER (request_s IS NULL) + COUNT(*) FILTER (on_scene_s IS NULL AND has_scene) + COUNT(*) FILTER (pickup_s IS NULL)
+       + COUNT(*) FILTER (dropoff_s IS NULL) AS gap_nulls, CASE WHEN part = 2 THEN 'on_scene_datetime' ELSE '' END AS lacking
+       FROM ingested GROUP BY part UNION ALL SELECT 'broken', 'damaged', 0, 0, ''""",
+)
+def raw_file_outcomes(spark, sf):
+    """Files of three layouts and a damaged one, found by glob: rows, times lost in the clock change, columns lacking."""
+    path = raw_trip_files(spark, sf)
+    found = ingest.ingest(spark, f"{path}/layout=*/*").outcomes.filter("status <> 'empty'")
+    layout = F.regexp_extract("file", "layout=([a-z]+)/", 1)
+    return found.groupBy(layout.alias("layout"), "status").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("gap_nulls").alias("gap_nulls"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lacking")))), ",").alias("lacking"),
+    )
+
+
+@query(
+    "raw_ingest_report",
+    "S1 S5 F11",
+    """SELECT COALESCE(month, CASE WHEN g = 1 THEN 'all' ELSE 'unknown' END) AS month, rows_in, rows_out, rows_in - rows_out AS rows_dropped,
+       timestamps_present, zones_routable FROM (
+       SELECT strftime(make_timestamp(request_local_s * 1000000), '%Y-%m') AS month,
+              GROUPING(strftime(make_timestamp(request_local_s * 1000000), '%Y-%m')) AS g, COUNT(*) AS rows_in,
+              COUNT(*) FILTER (k1 AND k2 AND k3 AND k4 AND k5 AND k6 AND k7 AND k8) AS rows_out,
+              COUNT(*) FILTER (NOT k1) AS timestamps_present, COUNT(*) FILTER (NOT k8) AS zones_routable
+       FROM ingest_ruled GROUP BY ROLLUP (strftime(make_timestamp(request_local_s * 1000000), '%Y-%m')))""",
+)
+def raw_ingest_report(spark, sf):
+    report = ingest.ingest(spark, f"{raw_trip_files(spark, sf)}/layout=*/*").report()
+    return report.select("month", "rows_in", "rows_out", "rows_dropped", "timestamps_present", "zones_routable")
+
+
+# ---- settings --------------------------------------------------------------------------------------------
+
+
+@query(
+    "zone_settings_check",
+    "P30 P29 P31",
+    """SELECT pu_zone, trips, ROUND((2 + pu_zone % 4) / (3.0 + pu_zone % 4), 6) AS served_level,
+       CAST(pu_zone % 4 = 1 AS INTEGER) AS serves, CAST(pu_zone % 3 <> 0 AS INTEGER) AS brackets,
+       CAST(pu_zone % 5 <> 0 AS INTEGER) AS ascends, CAST(pu_zone % 2 = 0 AS INTEGER) AS enough_seeds
+       FROM (SELECT pu_zone, COUNT(*) AS trips FROM clean GROUP BY 1)""",
+)
+def zone_settings_check(spark, sf):
+    """Cost rates, levels and seeds that each pickup zone asks for, checked as the settings of a job are."""
+    zone = F.col("pu_zone")
+    asked = cleaning.clean(d.trips(spark, sf)).groupBy("pu_zone").agg(F.count("*").alias("trips")).withColumns(
+        {
+            "lambda_late": (2 + zone % 4).cast("double"),
+            "lambda_early": F.lit(1.0),
+            "levels": F.when(zone % 5 == 0, F.array(*map(F.lit, (0.05, 0.75, 0.5, 0.9, 0.95)))).otherwise(
+                F.array(*map(F.lit, (0.05, 0.5, 0.75, 0.9, 0.95)))
+            ),
+            "coverage": F.when(zone % 3 == 0, 0.8).otherwise(0.9),
+            "seeds": F.when(zone % 2 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(*map(F.lit, (0, 1)))),
+        }
+    )
+    out = check_settings(asked)
+    flags = [F.col(c).cast("int").alias(c) for c in ("serves", "brackets", "ascends", "enough_seeds")]
+    return out.select("pu_zone", "trips", F.round("served_level", 6).alias("served_level"), *flags)
+
+
 # ---- weather and segments --------------------------------------------------------------------------------
 
 def _rounded(names, digits=6):
