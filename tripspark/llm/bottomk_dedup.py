@@ -166,6 +166,18 @@ def _inverted_lists(classes: DataFrame, size: int, shared: int) -> DataFrame:
     return each.select("rep", "n_shingles", "common", left.alias("left"), F.col("item.value").alias("value"))
 
 
+def _mixed_lists(lists: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components, with ``earlier``: the values that the set met before this one.
+
+    A set has at most WIDE values. A pair's first common value leaves most values over for its overlap, so a pair that
+    may not overlap enough there may not do so later either.
+    """
+    several = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = lists.join(several.where("lo < hi").select("value"), "value")
+    before = Window.partitionBy("rep").orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(mixed.withColumn("earlier", F.collect_list("value").over(before)), "across")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
@@ -204,12 +216,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     still = materialize(still.select("rep", "n_shingles", "component").distinct(), "open")
     opened = sets.join(still.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     wide = materialize(opened.mapInArrow(_widened, _WIDE).dropDuplicates(["rep"]).join(still, "rep"), "wide")
-    around = materialize(_inverted_lists(wide, WIDE, WIDE_SHARED).join(still.select("rep", "component"), "rep"), "across")
+    around = _mixed_lists(_inverted_lists(wide, WIDE, WIDE_SHARED).join(still.select("rep", "component"), "rep"))
     x, y = around.alias("x"), around.alias("y")
     meet = (
         (F.col("x.value") == F.col("y.value"))
         & (F.col("x.component") < F.col("y.component"))
         & _may_overlap(F.col("x.n_shingles"), F.col("y.n_shingles"), F.least("x.left", "y.left"), WIDE)
+        # Alike texts share many values; they are compared at the first of them.
+        & ~F.arrays_overlap("x.earlier", "y.earlier")
     )
     across = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = _confirm(_likely(across, wide, WIDE), sets)
