@@ -241,12 +241,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each component, with all their columns.
+    """One row of ``docs`` for each group of near copies, with all its columns.
 
-    Rows without a doc_id stay. Of rows that repeat a kept doc_id, the smallest text stays.
+    Every row is a node of its own, whatever its doc_id: rows with null or repeated ids go only if they are copies. Of a
+    group, the row with the smallest doc_id stays, null last. Rows whose text is null, empty or blank are copies of
+    nothing and stay. Very long texts are compared whole; columns of any name come back as they are; no rows give none.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"))
-    order = Window.partitionBy("_kept_id").orderBy(F.col("text").asc_nulls_last())
-    first = rows.withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return first.select(*docs.columns).union(docs.where("doc_id is null"))
+    # Written with a key of their own, so that the key means the same row wherever it is read.
+    keyed = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_key")), "keyed")
+    found = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = keyed.select("row_key", F.col("row.doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "row_key")
+    kept = found.join(ids, found["doc_id"] == ids["row_key"]).groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = materialize(kept.select(F.col("first.row_key").alias("row_key")), "kept-rows")
+    return keyed.join(kept, "row_key", "left_semi").select("row.*")
