@@ -117,3 +117,35 @@ def test_isotonic_repairs_a_biased_bucket_and_thin_ones_use_the_whole(spark):
     raw = cb.coverage_report(df, (0.75,), ["seg_zone_density"], min_rows=100)
     assert {r["bucket"]: r["empirical"] for r in raw.collect()}["airport"] < 0.1
     assert cb.worst_segment(raw).first()["worst_segment"] == "seg_zone_density=airport"
+
+
+def test_large_maps_are_the_small_ones(spark):
+    """The job of one task per map and the one from counts give the same maps, ties, nulls and thin bins included."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(6000):
+        p = float(rng.integers(0, 40)) * 25
+        bucket = ["a", "b", None][int(rng.integers(0, 3))] if i % 50 else "thin"
+        actual = None if i % 97 == 0 else p + float(rng.normal(0, 60))
+        rows.append((i % 2, i, actual, [p, None if i % 31 == 0 else p + 30.0], bucket))
+    df = spark.createDataFrame(rows, "seed int, trip_id long, actual double, q array<double>, seg_zone_density string")
+    def maps(most):
+        found = cb.fit_isotonic(df, (0.5, 0.9), ["seg_zone_density"], 300, keys=["seed"], most=most)
+        return {(r["seed"], r["bucket"], r["level"]): r for r in found.collect()}
+    one, two = maps(1_000_000), maps(0)
+    assert one.keys() == two.keys() and len(one) == 12
+    for key in one:
+        assert one[key]["rows"] == two[key]["rows"]
+        np.testing.assert_allclose(one[key]["xs"], two[key]["xs"])
+        np.testing.assert_allclose(one[key]["ys"], two[key]["ys"])
+
+
+def test_pools_are_the_largest_of_smallest_means(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        y, w = rng.normal(0, 1, 12).round(1), rng.integers(1, 4, 12)
+        want = [
+            max(min(np.average(y[a : b + 1], weights=w[a : b + 1]) for b in range(i, 12)) for a in range(i + 1))
+            for i in range(12)
+        ]
+        np.testing.assert_allclose(cb.pool_adjacent(y, w), want)

@@ -10,6 +10,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripspark.config import Settings
@@ -298,6 +300,10 @@ def interpolate(xs: Column, ys: Column, value: Column) -> Column:
     )
 
 
+#: Rows of one map that one task may fit in memory; a larger one is fitted from counts.
+MOST_FITTED = 200_000
+
+
 def fit_isotonic(
     cal: DataFrame,
     levels: Sequence[float],
@@ -308,26 +314,92 @@ def fit_isotonic(
     bins: int = 20,
     min_bin_rows: int = 20,
     keys: Sequence[str] = (),
+    most: int = MOST_FITTED,
 ) -> DataFrame:
-    """Increasing maps per axis bucket and level, and overall (axis and bucket ``*``), all from one job.
+    """Increasing maps per axis bucket and level, and overall (axis and bucket ``*``).
 
     Columns keys, axis, bucket, level, xs, ys, rows.
     Rows are cut into equal-count bins by prediction; a bin gives its median prediction and the shift that makes
     its coverage exact. Buckets with few rows get no map of their own. A map with under two points is left out.
-    Equal predictions are split by the id column. The small tables between the steps are written, so each step's plan
-    starts from a table and not from all steps before it.
+    Equal predictions are split by the id column.
+
+    Sizes come from the rows as they are. All maps of up to ``most`` rows are fitted in one job, a task per map; larger
+    ones by order statistics that never gather a map's rows. Both give the same maps.
     """
-    per_level = F.array(
-        *[F.struct(F.lit(float(a)).alias("level"), F.col("q")[i].alias("pred")) for i, a in enumerate(levels)]
-    )
     own = [F.struct(F.lit(a).alias("axis"), F.col(a).alias("bucket")) for a in axes]
     whole = F.struct(F.lit(ALL).alias("axis"), F.lit(ALL).alias("bucket"))
-    long = (
-        cal.select(*keys, "actual", F.col(tie).alias("_tie"), "q", F.inline(F.array(whole, *own)))
-        .filter("bucket IS NOT NULL")
-        .select(*keys, "actual", "_tie", "axis", "bucket", F.inline(per_level))
+    spread = cal.select(*keys, "actual", F.col(tie).alias("_tie"), "q", F.inline(F.array(whole, *own)))
+    spread = spread.filter("bucket IS NOT NULL")
+    cells = [*keys, "axis", "bucket"]
+    sizes = materialize(spread.groupBy(*cells).agg(F.count("*").alias("_size")), "isotonic-sizes")
+    wanted = sizes.filter((F.col("bucket") == ALL) | (F.col("_size") >= min_rows))
+    per_level = F.array(
+        *[F.struct(F.lit(float(a)).alias("level"), F.col("q")[i].alias("pred")) for i, a in enumerate(levels)]
     )
-    groups = [*keys, "axis", "bucket", "level"]
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        named = chosen.select(*[F.col(c).alias(f"_c_{c}") for c in cells])
+        held = spread.join(named, null_safe(spread, named, [(c, f"_c_{c}") for c in cells]), "left_semi")
+        return held.select(*keys, "actual", "_tie", "axis", "bucket", F.inline(per_level))
+
+    small, large = wanted.filter(F.col("_size") <= most), wanted.filter(F.col("_size") > most)
+    fitted = _fit_in_tasks(rows_of(small), [*cells, "level"], min_rows, bins, min_bin_rows)
+    if not large.isEmpty():
+        fitted = fitted.unionByName(_fit_by_counts(rows_of(large), [*cells, "level"], min_rows, bins, min_bin_rows))
+    return materialize(fitted, "isotonic-maps")
+
+
+def _linear_quantile(ordered: np.ndarray, level: float) -> float:
+    position = (len(ordered) - 1) * level
+    low = ordered[int(np.floor(position))]
+    return float(low + (ordered[int(np.ceil(position))] - low) * (position - np.floor(position)))
+
+
+def pool_adjacent(y: Sequence[float], weight: Sequence[float]) -> list[float]:
+    """The increasing fit of values in order: neighbours that fall are pooled into their weighted mean."""
+    pools: list[list[float]] = []
+    for value, w in zip(y, weight, strict=True):
+        pools.append([value, w, 1])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            value, w, n = pools.pop()
+            before = pools[-1]
+            before[0] = (before[0] * before[1] + value * w) / (before[1] + w)
+            before[1] += w
+            before[2] += n
+    return [mean for mean, _, n in pools for _ in range(int(n))]
+
+
+def _fit_in_tasks(rows: DataFrame, groups: Sequence[str], min_rows: int, bins: int, min_bin_rows: int) -> DataFrame:
+    """Maps of groups that fit into a task."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{g}` {kinds[g]}" for g in groups) + ", xs array<double>, ys array<double>, rows bigint"
+    names = [*groups, "xs", "ys", "rows"]
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part["pred"].notna()].sort_values(["pred", "_tie"], kind="stable")
+        n, level, bucket = len(part), key[groups.index("level")], key[groups.index("bucket")]
+        count = int(min(bins, max(n // 200, 2)))
+        pred, residual = part["pred"].to_numpy(float), (part["actual"] - part["pred"]).to_numpy(float)
+        points: dict[float, list[float]] = {}
+        for i in range(count):
+            lo, hi = i * n // count, (i + 1) * n // count
+            known = np.sort(residual[lo:hi][~np.isnan(residual[lo:hi])])
+            if hi - lo >= min_bin_rows and len(known):
+                x = _linear_quantile(pred[lo:hi], 0.5)
+                points.setdefault(x, []).append(x + _linear_quantile(known, level))
+        if sum(map(len, points.values())) < 2 or (bucket != ALL and n < min_rows):
+            return pd.DataFrame(columns=names)
+        xs = sorted(points)
+        ys = pool_adjacent([float(np.mean(points[x])) for x in xs], [float(len(points[x])) for x in xs])
+        return pd.DataFrame([(*key, xs, ys, n)], columns=names)
+
+    return rows.groupBy(*groups).applyInPandas(fit, schema)
+
+
+def _fit_by_counts(long: DataFrame, groups: Sequence[str], min_rows: int, bins: int, min_bin_rows: int) -> DataFrame:
+    """The same maps by order statistics; the small tables between the steps are written, so each step's plan starts
+    from a table and not from all steps before it."""
+    long = materialize(long, "isotonic-rows")
 
     def parts(n: Column) -> Column:
         return F.least(F.lit(bins), F.greatest(F.floor(n / 200.0), F.lit(2)))
@@ -344,6 +416,7 @@ def fit_isotonic(
         slice_of(F.col("edges"), F.col("pred"), F.col("_tie"), bins).alias("bin"),
         (F.col("actual") - F.col("pred")).alias("residual"),
     )
+    cut = materialize(cut, "isotonic-cut")
     binned = [*groups, "bin"]
     centre = group_quantiles(cut, binned, "pred", {"x": Quantile(0.5)})
     shift = group_quantiles(cut, binned, "residual", {"shift": Quantile("level")})
@@ -359,8 +432,7 @@ def fit_isotonic(
     )
     maps = maps.filter(F.col("bins") >= 2).join(sizes, groups)
     maps = maps.filter((F.col("bucket") == ALL) | (F.col("rows") >= min_rows))
-    fitted = _pool_adjacent(maps).select(*groups, F.col("points.x").alias("xs"), "ys", "rows")
-    return materialize(fitted, "isotonic-maps")
+    return _pool_adjacent(maps).select(*groups, F.col("points.x").alias("xs"), "ys", "rows")
 
 
 def apply_isotonic(
