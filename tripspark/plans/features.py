@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripspark.functions import vectors
@@ -141,10 +143,20 @@ for _name, _covers in (
     query(f"{_name}_features", _covers, f"SELECT trip_id, {_shown_sql(_NAMES[_name])} FROM featured")(_run)
 
 
-@query("embedding_similarity_feature", "Z3")
+@query(
+    "embedding_similarity_feature",
+    "Z3",
+    """
+WITH p AS (SELECT a.zone_id AS pu_zone, b.zone_id AS do_zone, SUM(a.x * b.x) AS ab, SUM(a.x * a.x) AS aa, SUM(b.x * b.x) AS bb
+           FROM centred_cells a JOIN centred_cells b ON a.slot = b.slot GROUP BY 1, 2)
+SELECT t.trip_id, ROUND(CAST(CAST(ab / (sqrt(aa) * sqrt(bb)) AS FLOAT) AS DOUBLE), 2) AS similarity
+FROM enriched t LEFT JOIN p ON t.pu_zone = p.pu_zone AND t.do_zone = p.do_zone WHERE split IN ('train', 'cal', 'val', 'test')""",
+)
 def embedding_similarity_feature(spark, sf):
-    built = dataset.model_matrix(d.enriched(spark, sf), static_tables(spark, sf), "full", KEY)
-    return built.select("trip_id", F.round(F.col("zone_embedding_similarity").cast("double"), 3).alias("similarity"))
+    """The similarity of pickup and drop-off zone, with vectors of full rank so that SQL can say what it must be."""
+    tables = replace(static_tables(spark, sf), embeddings=reference.full_embeddings(spark, sf))
+    built = dataset.model_matrix(d.enriched(spark, sf), tables, "full", KEY)
+    return built.select("trip_id", F.round(F.col("zone_embedding_similarity").cast("double"), 2).alias("similarity"))
 
 
 @query(

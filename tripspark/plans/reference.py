@@ -284,9 +284,38 @@ def training_pair_counts(spark, sf):
     return ref.pair_counts(d.enriched(spark, sf))
 
 
-@query("zone_embeddings", "A11")
+VIEWS["pair_cells"] = """
+SELECT pu_zone AS zone_id, do_zone AS slot, ln(1 + COUNT(*)) AS w FROM train GROUP BY 1, 2
+UNION ALL SELECT do_zone, pu_zone + 1000, ln(1 + COUNT(*)) FROM train GROUP BY 1, 2"""
+VIEWS["centred_cells"] = """
+SELECT z.zone_id, s.slot, COALESCE(c.w, 0) - AVG(COALESCE(c.w, 0)) OVER (PARTITION BY s.slot) AS x
+FROM zones z CROSS JOIN (SELECT DISTINCT slot FROM pair_cells) s
+LEFT JOIN pair_cells c ON c.zone_id = z.zone_id AND c.slot = s.slot"""
+
+
+def full_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """As many dimensions as zones: products of these vectors are those of the centred trip-count rows themselves."""
+    return embeddings(spark, sf, d.zones(spark, sf).count())
+
+
+@query(
+    "zone_embeddings",
+    "A11",
+    """SELECT a.zone_id, ROUND(SUM(a.x * a.x), 2) AS squared_norm, ROUND(SUM(a.x * b.x), 2) AS product_with_next
+       FROM centred_cells a LEFT JOIN centred_cells b ON b.zone_id = a.zone_id + 1 AND b.slot = a.slot GROUP BY 1""",
+)
 def zone_embeddings(spark, sf):
-    return ref.zone_embeddings(d.enriched(spark, sf), d.zones(spark, sf), 4)
+    """Length of every zone's vector and its product with the next zone's; signs of single components are arbitrary."""
+    found = full_embeddings(spark, sf)
+    after = found.select((F.col("zone_id") - 1).alias("zone_id"), F.col("embedding").alias("next"))
+    def product(a: str, b: str):
+        terms = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+        return F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 2)
+
+    joined = found.join(after, "zone_id", "left")
+    return joined.select(
+        "zone_id", product("embedding", "embedding").alias("squared_norm"), product("embedding", "next").alias("product_with_next")
+    )
 
 
 @query(
