@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -33,6 +34,13 @@ def text_of(page):
         ("<template><p>no</p></template><noscript><p>no</p></noscript><p>yes<", "yes<"),
         ("<P CLASS=NOTICE>no</P><Main><P>yes</MAIN>", "yes"),
         ("<title>no<p>still</title><p>yes", "yes"),
+        ("<div class=content><p>a long main text</p></div><article><p>card</p></article>", "a long main text\n\ncard"),
+        ("<article>the whole story of it</article><div>by us</div>", "the whole story of it"),
+        ("<div class='layout with-sidebar'>a</div><div class=post-ad-free>b</div><div id=related-work>c</div>", "a\n\nb\n\nc"),
+        ("<div class=alert-system-design>a</div><div class=article-header>b</div><div class=site-header>no</div>", "a\n\nb"),
+        ("<div class='left_sidebar x'>no</div><div class=ad-slot-2>no</div><div class='shareButtons'>no</div>a", "a"),
+        ("a<p title='open>b</p><p>c", "a\n\nb\n\nc"),
+        ("a <b <i>x</i> 1 < 2 <", "a x 1 < 2 <"),
     ],
 )
 def test_blocks(page, text):
@@ -45,6 +53,19 @@ def test_long_and_broken_pages_end():
     assert text_of("<" * 5000 + "x").endswith("x")
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a" * 100_000, "<div>" * 100_000, "<a \"" * 100_000, "<div></div>" * 100_000, "</p>" * 200_000, "<div><p>" * 50_000,
+     "<!--" * 100_000, "<p title='" * 50_000 + ">" * 50_000],
+    ids=["names", "nested", "quotes", "empty", "ends", "paragraphs", "comments", "titles"],
+)
+def test_long_pages_of_markup_take_time_in_proportion(page):
+    start = time.perf_counter()
+    blocks, layouts = cut_into_blocks(page)
+    assert time.perf_counter() - start < 15
+    assert sum(len(path) for path, _ in blocks) + sum(len(path) for path, _ in layouts) < 40 * len(page)
+
+
 def test_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in site_style_tree.main_texts(pages).collect()}

@@ -11,7 +11,8 @@ the host that hold the element, say how important a node of the merged tree is:
 
 Branches of low importance are removed from every page of the host. The tree can only tell furniture that repeats from
 text that doesn't, so elements whose tag, role or class names them as furniture (navigation, adverts, forms, comments
-and the like) are left out before, and if a page has an article or main element, only blocks below it count.
+and the like) are left out before, and if an article or main element holds most of the text that is left, only blocks
+below it count.
 
 Pages with the same text are one page for the tree, so copies of an article don't make it furniture.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,10 +35,14 @@ from tripspark.session import materialize
 #: Importance up to which a branch is removed, and the weight of presentation for each kind of layout below an element.
 IMPORTANCE = 0.2
 DECAY = 0.9
-#: Distinct pages a host needs before its tree is believed; an element on fewer pages is measured as if on so many.
+#: An element on fewer distinct pages is measured as if on so many, so that few pages say little against a text.
 LEAST_PAGES = 5
 #: A branch that holds more of its pages' text than this is what the pages are about.
 MOST_SHARE = 0.3
+#: Elements nested deeper than this stand where their ancestor at this depth does; their text stays.
+DEEPEST = 256
+#: An article or main element is what the page is about if it holds this share of the text that is no furniture.
+MAIN_SHARE = 0.5
 
 _SKIPPED_TAGS = frozenset(
     "head title script style noscript template iframe object svg canvas math audio video select button textarea "
@@ -60,10 +66,16 @@ _FURNITURE_WORDS = frozenset(
     "breadcrumbs footer header masthead popup modal overlay newsletter subscribe subscription login signup search "
     "toolbar pagination pager copyright widget alert disclaimer announcement".split()
 )
-_NO_ARTICLE = frozenset("comment reply ad advert promo related teaser".split())
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL
+#: First words that make a name one of content, and words that only say which part of a thing an element is.
+_CONTENT_WORDS = frozenset("article post entry content story with has no without".split())
+_PART_WORDS = frozenset(
+    "area bar block body bottom box button buttons center column container content field footer form grid group head header "
+    "heading icon icons inner item items label left link links list main outer panel part posts right row section slot "
+    "slots space stories text title top unit widget wrap wrapper".split()
 )
+_NO_ARTICLE = frozenset("comment reply ad advert promo related teaser".split())
+_TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -98,8 +110,48 @@ def _is_furniture(tag: str, own: dict[str, str], in_main: bool) -> bool:
     if tag == "article":
         # Publishing systems put many words on an article; only whole names count here.
         return bool(set(own.get("class", "").lower().split()) & _NO_ARTICLE)
-    words = {w.lower() for name in ("class", "id") for w in _NAME_WORD.findall(_CAMEL.sub(" ", own.get(name, "")))}
-    return bool(words & _FURNITURE_WORDS)
+    return any(_names_furniture(token) for name in ("class", "id") for token in own.get(name, "").split())
+
+
+def _names_furniture(token: str) -> bool:
+    """Whether one class or id says furniture: by its last word, or by its first one if the rest only names a part.
+
+    ``site-header``, ``ad-slot-2`` and ``left_sidebar`` do; ``article-header``, ``with-sidebar``, ``alert-system-design``
+    and ``related-work`` do not.
+    """
+    words = [w.lower() for w in _NAME_WORD.findall(_CAMEL.sub(" ", token))]
+    if not words:
+        return False
+    if words[-1] in _FURNITURE_WORDS:
+        return len(words) == 1 or words[0] not in _CONTENT_WORDS
+    return words[0] in _FURNITURE_WORDS and all(w in _PART_WORDS or w in _FURNITURE_WORDS for w in words[1:])
+
+
+def _next_tag(page: str, at: int) -> tuple[int, int, str, str] | None:
+    """The next tag or comment: start, end, name (``/name`` for an end tag, empty for what is no element), attributes.
+
+    Each character is looked at a few times at most: a quote that is never closed is no quote, and a tag that never
+    ends is text, as is all that follows it.
+    """
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, len(page) if end < 0 else end + 3, "", ""
+        name = _TAG_NAME.match(page, start + 1)
+        if not name:
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                return None if end < 0 else (start, end + 1, "", "")
+            at = start + 1
+            continue
+        end = name.end()
+        while (mark := _QUOTE.search(page, end)) and mark[0] != ">":
+            close = page.find(mark[0], mark.end())
+            end = mark.end() if close < 0 else close + 1
+        if not mark:
+            return None
+        return start, mark.end(), name[0].lower(), page[name.end() : mark.start()]
+    return None
 
 
 def cut_into_blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -110,6 +162,7 @@ def cut_into_blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[str, s
     """
     root = _Element("", "", False, False)
     stack, blocks, layouts, text = [root], [], [], []
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         if text:
@@ -122,25 +175,27 @@ def cut_into_blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[str, s
     def close() -> None:
         flush()
         done = stack.pop()
-        if not done.out:
+        open_tags[done.tag] -= 1
+        if not done.out and len(stack) <= DEEPEST:
             layouts.append((done.path, " ".join(done.children)))
 
     at, end = 0, len(page)
     while at < end:
-        tag = _TAG.search(page, at)
+        tag = _next_tag(page, at)
         if not tag:
             text.append(page[at:])
             break
-        if tag.start() > at:
-            text.append(page[at : tag.start()])
-        at, name = tag.end(), (tag[2] or "").lower()
+        if tag[0] > at:
+            text.append(page[at : tag[0]])
+        at, name = tag[1], tag[2]
         if not name:
             continue
-        if tag[1]:
+        if name.startswith("/"):
+            name = name[1:]
             if name in _INLINE_TAGS or name in _VOID_TAGS:
                 if name == "br":
                     text.append(" ")
-            elif any(e.tag == name for e in stack[1:]):
+            elif open_tags[name]:
                 while stack[-1].tag != name:
                     close()
                 close()
@@ -167,19 +222,22 @@ def cut_into_blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[str, s
             close()
         own = _attributes(tag[3])
         above = stack[-1]
+        deep = len(stack) > DEEPEST
         label = name + "".join(f".{w}" for w in sorted(own.get("class", "").split()))
         if "role" in own:
             label += f"@{own['role']}"
-        if not above.children or above.children[-1] != label:
+        if not deep and (not above.children or above.children[-1] != label):
             above.children.append(label)
         in_main = above.main or name in ("article", "main") or own.get("role", "").lower() in ("main", "article")
         out = above.out or _is_furniture(name, own, above.main)
-        stack.append(_Element(name, f"{above.path}/{label}", out, in_main and not out))
+        open_tags[name] += 1
+        stack.append(_Element(name, above.path if deep else f"{above.path}/{label}", out, in_main and not out))
     while len(stack) > 1:
         close()
     flush()
     inside = [(path, words) for path, words, main in blocks if main]
-    return (inside or [(path, words) for path, words, _ in blocks]), layouts
+    share = sum(len(words) for _, words in inside) / max(1, sum(len(words) for _, words, _ in blocks))
+    return (inside if share >= MAIN_SHARE else [(path, words) for path, words, _ in blocks]), layouts
 
 
 _BLOCKS = (
@@ -226,7 +284,6 @@ def _unimportant(parsed: DataFrame) -> DataFrame:
     texts: only hashes of texts and layouts travel."""
     pages = parsed.where("host is not null")
     sizes = pages.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    sizes = sizes.where(F.col("pages") >= LEAST_PAGES)
 
     texts = pages.select("host", "print", F.explode("blocks").alias("b")).select(
         "host", "print", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text"), F.length("b.text").alias("chars")
