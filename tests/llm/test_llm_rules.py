@@ -165,3 +165,21 @@ def test_query_of_the_mix_stands_in_training_order(spark, sf_dir, documents):
     assert first == sorted(first) and first[0] < 0.1
     full = curriculum.mix_in_training_order(documents).collect()
     assert all(r.positions == sorted(mixed[r.doc_id].positions) for r in full)
+
+
+def test_positions_follow_the_schedules(spark, monkeypatch):
+    """Other schedules give the same words at other times; copies of one line come in its order."""
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 5), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+
+    def mixed():
+        return {r.doc_id: r for r in curriculum.mix_in_training_order(docs).collect()}
+
+    one = mixed()
+    monkeypatch.setattr(curriculum, "SCHEDULES", ((1.0, 1.0), (1.0, 1.0), (1.0, 1.0)))
+    flat = mixed()
+    assert {i: r.taken for i, r in one.items()} == {i: r.taken for i, r in flat.items()}
+    moved = [i for i in one if one[i].positions and one[i].positions != flat[i].positions]
+    assert len(moved) > 200
+    for r in [*one.values(), *flat.values()]:
+        assert r.positions == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions)
+        assert bool(r.positions) == (r.taken > 0)

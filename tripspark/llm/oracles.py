@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+from tripspark.llm import curriculum
 from tripspark.llm import license_diagonals as lic
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _due(share: str) -> str:
+    """The time at which a share of a source's target is due, by the source's turn among the schedules."""
+    cases = []
+    for turn, weights in enumerate(curriculum.SCHEDULES):
+        pieces = len(weights) - 1
+        areas = [(a + b) / 2 for a, b in zip(weights, weights[1:], strict=False)]
+        whens = []
+        for i in range(pieces):
+            low, slope, before = weights[i], weights[i + 1] - weights[i], sum(areas[:i])
+            area = f"greatest(0.0::DOUBLE, {share} * {sum(areas)}::DOUBLE - {before}::DOUBLE)"
+            root = f"sqrt(greatest(0.0::DOUBLE, {low * low}::DOUBLE + {2 * slope}::DOUBLE * {area}))"
+            inside = f"coalesce(2 * {area} / nullif({low}::DOUBLE + {root}, 0), 0)"
+            whens.append(f"WHEN {share} * {sum(areas)}::DOUBLE <= {before + areas[i]}::DOUBLE THEN ({i} + least(1.0::DOUBLE, {inside})) / {pieces}")
+        cases.append(f"WHEN {turn} THEN CASE {' '.join(whens)} ELSE 1.0::DOUBLE END")
+    return f"CASE turn {' '.join(cases)} END"
+
+
 MIX = rf"""
 WITH sized AS (
   SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
 ),
 own AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS most,
+         (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS turn,
          CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
   FROM sized GROUP BY source
 ),
@@ -23,20 +44,21 @@ levels AS (
   WINDOW up AS (ORDER BY most / weight::DOUBLE, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 targets AS (
-  SELECT source, source_size, least(most::DOUBLE,
+  SELECT source, source_size, turn, least(most::DOUBLE,
          (SELECT max(level) FROM levels WHERE level * weight <= most) * weight) AS target
   FROM levels
 ),
 line AS (
-  SELECT s.*, t.source_size, t.target,
+  SELECT s.*, t.source_size, t.target, t.turn,
          CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY digest, size
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_it
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       greatest(0, least(size, CAST(round(target) AS BIGINT) - before_it))
-       + greatest(0, least(size, CAST(round(target) AS BIGINT) - before_it - source_size)) AS taken
-FROM line
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, words1 + words2 AS taken,
+       CASE WHEN words1 > 0 THEN round({_due('before_it / target')}, 6) END AS first_position,
+       CASE WHEN words2 > 0 THEN round({_due('(before_it + source_size) / target')}, 6) END AS second_position
+FROM (SELECT *, greatest(0, least(size, CAST(round(target) AS BIGINT) - before_it)) AS words1,
+             greatest(0, least(size, CAST(round(target) AS BIGINT) - before_it - source_size)) AS words2 FROM line)
 """
 
 QUALITY = rf"""

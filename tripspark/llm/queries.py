@@ -56,7 +56,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_curriculum_mix", oracles.MIX)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix_in_training_order(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    place = lambda n: F.round(F.get("positions", F.lit(n)), 6)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", place(0).alias("first_position"), place(1).alias("second_position")
+    )
 
 
 @query("op5_host_quality_rules", oracles.QUALITY)
