@@ -810,6 +810,7 @@ def component_tasks(level: float, params: BoostParams) -> list[Task]:
 class SearchSpace:
     """Ranges of the six searched parameters; rates, leaves, rows and l2 are drawn evenly in their logarithm."""
 
+    # The default ranges.
     rate: tuple[float, float] = (0.02, 0.2)
     leaves: tuple[int, int] = (31, 255)
     min_rows: tuple[int, int] = (50, 1000)

@@ -22,6 +22,7 @@ from tripspark.vocab import (
 )
 
 
+# The rules' names, in the order of the report.
 RULE_NAMES = (
     "timestamps_present",
     "timestamps_ordered",
