@@ -178,6 +178,15 @@ def _mixed_lists(lists: DataFrame) -> DataFrame:
     return materialize(mixed.withColumn("earlier", F.collect_list("value").over(before)), "across")
 
 
+def _discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        folders = {file.rpartition("/")[0] for file in table.inputFiles()}
+        for folder in folders:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
@@ -233,6 +242,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = rows.join(several, "doc_id").select("a", F.col("rep").alias("b"))
     links = found.union(more).union(same_id)
     component = materialize(connected_components(links, "a", "b"), "components")
+    # The components are written; what they were found with is as large as the texts.
+    _discard(lists, sets, still, wide, around, found)
     rows = rows.join(component, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
