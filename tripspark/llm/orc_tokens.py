@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripspark.llm.bpe import encoder, ship
@@ -23,6 +23,8 @@ STRIPE_BYTES = 32 << 20
 BLOOM_FALSE_POSITIVES = 0.01
 #: Bytes of ids that meet in one array, unless a single document has more.
 ARRAY_BYTES = 8 << 20
+#: Input bytes of a range of doc_id, which becomes a file.
+RANGE_BYTES = 16 << 20
 SCHEMA = "doc_id long, ordinal long, ids array<int>"
 
 
@@ -37,6 +39,31 @@ def _bounded(batch: pa.RecordBatch, encode) -> Iterator[tuple[pa.RecordBatch, li
             first, held, size = row + 1, [], 0
 
 
+def _range_number(value: Column, bounds: Sequence[int]) -> Column:
+    """How many of the ascending bounds are below a value, found in two steps; 0 for null."""
+    step = max(1, round(len(bounds) ** 0.5))
+    parts = [list(bounds[i : i + step]) for i in range(0, len(bounds), step)]
+    if not parts:
+        return F.lit(0)
+    heads, rows = F.lit([p[0] for p in parts]), F.array(*[F.lit(p) for p in parts])
+    whole = F.size(F.filter(heads, lambda head: head < value))
+    last = F.get(rows, whole - 1)
+    return F.when(whole == 0, 0).otherwise((whole - 1) * step + F.size(F.filter(last, lambda b: b < value)))
+
+
+def _in_ranges(docs: DataFrame) -> DataFrame:
+    """The rows dealt out by ascending ranges of doc_id, with bounds from that column alone: texts are read once."""
+    spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # A plan that doesn't know its size says a number near the largest there is.
+    known = size if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGE_BYTES
+    parts = max(spark.sparkContext.defaultParallelism, known // RANGE_BYTES)
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * parts))).first()[0] if parts > 1 else None
+    number = _range_number(F.col("doc_id"), sorted(set(found or ())))
+    return docs.repartitionById(parts, F.coalesce(number, F.lit(0)).cast("int"))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Write the ids of every whole text of ``docs`` (doc_id, text), each followed by ``end_id``.
 
@@ -60,7 +87,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     [part.column("doc_id").cast(pa.int64()), rows, ids], ["doc_id", "ordinal", "ids"]
                 )
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranged = _in_ranges(rows).sortWithinPartitions("doc_id", "text")
     (
         ranged.mapInArrow(encoded, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
