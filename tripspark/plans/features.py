@@ -29,13 +29,12 @@ def static_tables(spark: SparkSession, sf: str) -> features.StaticTables:
 
 
 def model_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Written by split once; the model and scoring jobs start from it."""
+    """Written once, without another shuffle; the model and scoring jobs start from it."""
     return written_once(
         spark,
         sf,
         "model-matrix",
         lambda: dataset.model_matrix(d.enriched(spark, sf), static_tables(spark, sf), "full", KEY),
-        ["split"],
     )
 
 
