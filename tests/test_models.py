@@ -187,3 +187,33 @@ def test_multiplier_goes_through_the_origin(spark):
     overall = (100 * 200 * 100 + 50 * 300 * 100) / (150 * 100 * 100)
     mean = (100 * 200 + 50 * 300 + 900) / 151
     assert got == {1: 100.0, 2: pytest.approx(50 * overall), 3: pytest.approx(mean), 4: pytest.approx(mean)}
+
+
+def test_rows_travel_in_blocks(spark, rows):
+    """A pass moves a row per block to Python, training and validation rows apart, and none is lost or changed."""
+    blocks = bt._in_blocks(rows, [TARGET], [5.0, 7.0]).collect()
+    assert len(blocks) <= 2 * spark.sparkContext.defaultParallelism
+    asked = {(r["row_key"], r[TARGET], bytes(r["bins"]), r["is_valid"]) for r in rows.table.collect()}
+    found = set()
+    for b in blocks:
+        key, y = np.frombuffer(b["key"], np.int64), np.frombuffer(b["y"])
+        bins = np.frombuffer(b["bins"], np.int8).reshape(len(FEATURES), -1).T
+        assert (np.frombuffer(b["p"]).reshape(2, -1) == [[5.0], [7.0]]).all()
+        found |= {(int(k), float(v), x.tobytes(), b["is_valid"]) for k, v, x in zip(key, y, bins, strict=True)}
+    assert found == asked and len(asked) == 5500
+
+
+def test_composition_takes_models_that_are_there(rows, monkeypatch):
+    seeds, levels = (0, 1), (0.5, 0.9)
+    few = bt.BoostParams(rounds=3, rate=0.5, leaves=4, depth=2, min_rows=20, row_share=0.7)
+    tasks = bt.bundle_tasks(levels, few, seeds)
+    fitted = bt.fit(rows, tasks)
+    fits, fit = [], bt.fit
+    monkeypatch.setattr(bt, "fit", lambda *a: fits.append(a) or fit(*a))
+    alone = bt.fit_composition(rows, levels, few, seeds)
+    given = bt.fit_composition(rows, levels, few, seeds, [fitted[f"seed{s}_p50"] for s in seeds])
+    assert len(fits) == 3
+    for s in seeds:
+        for a, b in zip(alone[s], given[s], strict=True):
+            assert (a.name, a.start, a.losses) == (b.name, b.start, b.losses)
+            assert all((x.value == y.value).all() for x, y in zip(a.trees, b.trees, strict=True))
