@@ -199,3 +199,11 @@ def test_request_validity(spark):
     assert (valid.count(), rejected.count()) == (2, 3)
     now = dt.datetime.now().timestamp()
     assert valid.filter("pu_zone = 3").first()["request_s"] == pytest.approx(now, abs=120)
+
+
+def test_scored_requests_show_their_numbers():
+    """SQL must say levels, bounds and promises, not only facts about them."""
+    from tripspark.plans import catalog
+
+    sql = catalog.load()["scored_requests"].sql
+    assert all(f" AS {c}" in sql for c in ("p5", "p50", "p75", "p90", "p95", "lo", "hi", "promised"))
