@@ -217,3 +217,49 @@ def test_composition_takes_models_that_are_there(rows, monkeypatch):
         for a, b in zip(alone[s], given[s], strict=True):
             assert (a.name, a.start, a.losses) == (b.name, b.start, b.losses)
             assert all((x.value == y.value).all() for x, y in zip(a.trees, b.trees, strict=True))
+
+
+def test_smaller_leaf_is_counted_and_its_sibling_is_what_is_left(spark, rows, data):
+    """The counts that a pass doesn't make are those that counting would have found; the root's signs are packed."""
+    labels, starts, edges = [TARGET], [800.0, 1200.0, 1300.0], rows.edges
+    shape = bt._Shape(len(FEATURES), 1, 3, (0, 0, 0))
+    state = bt._in_blocks(rows, labels, starts)
+    sprouts = [bt._Sprout(i, 0, bt.Task(str(i), 0.5, PARAMS), 0, (0, 1), 1000.0) for i in range(3)]
+    for s, counts in zip(sprouts, bt._histogram_pass(state, shape, sprouts, True).values(), strict=True):
+        assert counts.pop(-1) > 0
+        s.note(counts)
+        s.split(edges)
+        assert len(s.counted) == 1 and len(s.fresh) == 2
+    parent = {s.at: s.held[0] for s in sprouts}
+    found = bt._histogram_pass(state, shape, sprouts, False)
+    train = data[0].toPandas()
+    for s in sprouts:
+        s.note(found[s.at])
+        feature, threshold = s.nodes[0]["feature"], s.nodes[0]["threshold"]
+        left = ~(train[FEATURES[feature]].to_numpy() > threshold)
+        small, large = s.counted[0], next(n for n in s.fresh if n not in s.counted)
+        assert found[s.at][small][0].sum() == min(left.sum(), (~left).sum())
+        for node, here in ((1, left), (2, ~left)):
+            counts = found[s.at][node] if node == small else parent[s.at] - found[s.at][small]
+            x, y = train[FEATURES[0]].to_numpy()[here], train[TARGET].to_numpy()[here]
+            bins = np.where(np.isnan(x), 0, 1 + np.searchsorted(np.array(edges[0]), x, "left"))
+            for sign in (0, 1):
+                want = np.bincount(bins[(y > starts[s.at]) == bool(sign)], minlength=bt.BINS)
+                assert (counts[0, :, sign] == want).all()
+        assert large not in s.held or (s.held[large] == parent[s.at] - found[s.at][small]).all()
+
+
+def test_thresholds_stand_at_even_ranks_of_known_values(spark):
+    """Missing values, NaN as well as null, take no thresholds; a feature with few values has them exactly."""
+    n = 30_000
+    frame = spark.range(0, n, 1, 7).select(
+        F.when(F.col("id") % 2 == 0, F.pow(F.col("id") / n, 3)).otherwise(F.lit(float("nan"))).alias("half"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("few"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    half, few, none = bt.feature_edges(frame, ("half", "few", "none"))
+    known = np.sort((np.arange(0, n, 2) / n) ** 3)
+    assert len(half) == bt.BINS - 2 and not np.isnan(half).any()
+    ranks = np.searchsorted(known, half, "right") / len(known)
+    assert np.abs(ranks - np.arange(1, bt.BINS - 1) / (bt.BINS - 1)).max() < 0.001
+    assert few == (0.0, 1.0, 2.0, 3.0, 4.0) and none == ()
