@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tripspark.config import CostConfig, ModelConfig, Settings, check_settings
 from tripspark.functions import sampling
 from tripspark.operators import ingest
+from tripspark.sources import trip_files
 
 RAW = (
     "hvfhs_license_num string, request_datetime timestamp_ntz, on_scene_datetime timestamp_ntz, pickup_datetime timestamp_ntz, "
@@ -49,6 +50,27 @@ def test_each_file_has_an_outcome_and_damaged_ones_add_no_row(spark, tmp_path):
     assert report == {"2024-03": 2, "2024-11": 2, "unknown": 2, "all": 6}
 
 
+def test_files_that_do_not_open_cost_no_second_decoding(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        raw(spark, ["2024-03-10 01:30:00"]).coalesce(1).write.parquet(str(tmp_path / f"m={k}"))
+    (tmp_path / "m=3").mkdir()
+    (tmp_path / "m=3" / "x.parquet").write_text("a download that broke off")
+    decoded, measured = [], ingest._measured
+    monkeypatch.setattr(ingest, "_measured", lambda spark, files, tz: decoded.extend(files) or measured(spark, files, tz))
+    files = ingest.list_files(spark, f"{tmp_path}/m=*/*")
+    got = sorted((r["status"], r["rows"]) for r in ingest.file_outcomes(spark, files).collect())
+    assert got == [("damaged", 0)] + 3 * [("read", 1)]
+    assert sorted(decoded) == files[:3]
+
+
+def test_a_time_is_converted_once_and_back_once(spark, tmp_path):
+    raw(spark, ["2024-03-10 01:30:00"]).write.parquet(str(tmp_path / "m"))
+    frame = spark.read.schema(RAW).parquet(str(tmp_path / "m"))
+    for used in (trip_files.localise(frame), ingest._measured(spark, [str(tmp_path / "m")], "America/New_York")):
+        plan = used._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.lower().count("convert_timezone") <= 8
+
+
 def test_no_files_and_no_sound_files_are_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ingest.ingest(spark, f"{tmp_path}/*")

@@ -27,9 +27,18 @@ def ntz_seconds(ts: Column) -> Column:
 
 def instant_seconds(ts: Column, tz: str = LOCAL_TZ) -> Column:
     """Instant of a local timestamp: the earlier one in the autumn hour, null in the spring gap."""
-    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), ts)
-    back = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
-    return F.when(back == ts, ntz_seconds(utc))
+    utc = as_utc(ts, tz)
+    return F.when(exists(ts, utc, tz), ntz_seconds(utc))
+
+
+def as_utc(ts: Column, tz: str = LOCAL_TZ) -> Column:
+    """UTC clock of a local timestamp. Converting is dear: where it is used more than once, make it a column first."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), ts)
+
+
+def exists(ts: Column, utc: Column, tz: str = LOCAL_TZ) -> Column:
+    """Whether a local timestamp, whose UTC clock is given, lies outside the spring gap."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc) == ts
 
 
 def local_seconds(instant: Column, tz: str = LOCAL_TZ) -> Column:

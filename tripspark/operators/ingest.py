@@ -7,7 +7,8 @@ is null in its rows and named in its outcome.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -35,11 +36,32 @@ def list_files(spark: SparkSession, *globs: str) -> list[str]:
     return sorted(found)
 
 
+def _raw(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    return spark.read.option("ignoreCorruptFiles", "false").schema(TRIP_SCHEMA).parquet(*files)
+
+
+def _apart(files: Sequence[str], job: Callable[[list[str]], object]) -> tuple[list[tuple[list[str], object]], list[str]]:
+    """What a job gives for the parts of the list that it gets through, and the files that it fails on alone."""
+    waiting, done, failed = [list(files)] if files else [], [], []
+    while waiting:
+        part = waiting.pop()
+        try:
+            done.append((part, job(part)))
+        except (PySparkException, Py4JJavaError):
+            if len(part) == 1:
+                failed += part
+            else:
+                waiting += [part[: len(part) // 2], part[len(part) // 2 :]]
+    return done, failed
+
+
 def _measured(spark: SparkSession, files: Sequence[str], tz: str) -> DataFrame:
     """Rows of each file with every used column decoded, times that don't exist, and columns it has no value of."""
-    raw = spark.read.option("ignoreCorruptFiles", "false").schema(TRIP_SCHEMA).parquet(*files)
+    raw = _raw(spark, files)
+    # No time, no gap: the comparison is null then.
     gaps = [
-        (F.col(c).isNotNull() & clock.instant_seconds(F.col(c), tz).isNull()).cast("int") for c in TRIP_TIMESTAMPS
+        F.coalesce(~clock.exists(F.col(c), clock.as_utc(F.col(c), tz), tz), F.lit(False)).cast("int")
+        for c in TRIP_TIMESTAMPS
     ]
     known = [F.when(F.count(c) == 0, F.lit(c)) for c in TRIP_COLUMNS]
     return raw.groupBy(F.col("_metadata.file_path").alias("file")).agg(
@@ -53,24 +75,17 @@ def _measured(spark: SparkSession, files: Sequence[str], tz: str) -> DataFrame:
 def file_outcomes(spark: SparkSession, files: Sequence[str], tz: str = LOCAL_TZ) -> DataFrame:
     """One row per file: read, empty or damaged, its rows, times lost in the clock change, columns it lacks.
 
-    All files are decoded in one job. Only if that fails, the list is halved until the files that fail stand alone, so
-    one damaged file among n costs about 2 log n jobs, and a sound list costs one.
+    A first job opens all files without decoding a column, a second decodes those that open. Only if one fails, its list
+    is halved until the files that fail stand alone, so one damaged file among n costs about 2 log n jobs, which decode
+    nothing if the file does not even open.
     """
-    waiting, done, damaged = [list(files)] if files else [], None, []
-    while waiting:
-        part = waiting.pop()
-        try:
-            found = materialize(_measured(spark, part, tz), "file-outcomes")
-        except (PySparkException, Py4JJavaError):
-            if len(part) == 1:
-                damaged.append((part[0], "damaged", 0, 0, []))
-            else:
-                waiting += [part[: len(part) // 2], part[len(part) // 2 :]]
-            continue
-        done = found if done is None else done.unionByName(found)
+    opened, closed = _apart(files, lambda part: _raw(spark, part).count())
+    readable = [f for part, _ in opened for f in part]
+    measured, torn = _apart(readable, lambda part: materialize(_measured(spark, part, tz), "file-outcomes"))
+    damaged = [(f, "damaged", 0, 0, []) for f in closed + torn]
     named = spark.createDataFrame([(f,) for f in files], "file string")
     bad = spark.createDataFrame(damaged, _OUTCOME)
-    seen = bad if done is None else done.unionByName(bad)
+    seen = reduce(DataFrame.unionByName, [found for _, found in measured], bad)
     # A file without rows is in no group.
     keyed = seen.withColumn("_key", _plain(F.col("file"))).drop("file")
     listed = named.withColumn("_key", _plain(F.col("file"))).join(keyed, "_key", "left").drop("_key")

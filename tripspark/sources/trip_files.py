@@ -32,15 +32,21 @@ def localise(raw: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     A time that does not exist (spring gap) becomes null; a time that exists twice is the earlier instant.
     """
 
+    # Columns of their own, so that each time is converted once and back once.
+    converted = raw.withColumns({f"_{c}": clock.as_utc(F.col(c), tz) for c in TRIP_TIMESTAMPS})
+    checked = converted.withColumns(
+        {f"_{c}": F.when(clock.exists(F.col(c), F.col(f"_{c}"), tz), F.col(f"_{c}")) for c in TRIP_TIMESTAMPS}
+    )
+
     def instant(name: str) -> F.Column:
-        return clock.instant_seconds(F.col(f"{name}_datetime"), tz)
+        return clock.ntz_seconds(F.col(f"_{name}_datetime")).alias(f"{name}_s")
 
-    request = instant("request")
-    return raw.select(
+    wall = F.when(F.col("_request_datetime").isNotNull(), clock.ntz_seconds(F.col("request_datetime")))
+    return checked.select(
         F.col("hvfhs_license_num").alias("operator"),
-        request.alias("request_s"),
-        F.when(request.isNotNull(), clock.ntz_seconds(F.col("request_datetime"))).alias("request_local_s"),
-        *[instant(n).alias(f"{n}_s") for n in ("on_scene", "pickup", "dropoff")],
+        instant("request"),
+        wall.alias("request_local_s"),
+        *[instant(n) for n in ("on_scene", "pickup", "dropoff")],
         F.col("PULocationID").cast("bigint").alias("pu_zone"),
         F.col("DOLocationID").cast("bigint").alias("do_zone"),
         "trip_miles",
