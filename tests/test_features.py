@@ -126,3 +126,26 @@ def test_population_digest(spark):
         "do_zone", F.when(F.col("request_s") == 0, F.lit(1)).when(F.col("request_s") == 7, F.lit(0)).otherwise(F.col("x"))
     )
     assert one["digest"] != dataset.population_digest(swapped).first()["digest"], "equal sums, other rows"
+
+
+def test_trips_meet_the_state_only_where_a_feature_reads_it(spark, sf_dir):
+    from tripspark.plans import catalog
+
+    registry = ft.default_registry()
+    assert {f.family for f in registry.pick() if f.reads_zone_state} == {"congestion"}
+    assert all(f.reads_zone_state for f in registry.family("congestion"))
+
+    def plan(name):
+        return catalog.load()[name].run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Window" in plan("congestion_features")
+    for name in ("embedding_similarity_feature", "zone_features", "route_features", "temporal_features", "weather_features"):
+        assert "Window" not in plan(name)
+
+
+def test_trips_are_not_shuffled_for_lookups(spark, sf_dir):
+    from tripspark.plans import catalog
+
+    for name in ("embedding_similarity_feature", "zone_features"):
+        plan = catalog.load()[name].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tripspark.functions.sampling import in_tier, key_hash
-from tripspark.operators.features import StaticTables, feature_frame
+from tripspark.operators.features import StaticTables, default_registry, feature_frame
 from tripspark.operators.zone_state import zone_state
 from tripspark.vocab import COMPONENTS, SEGMENT_COLUMNS, TARGET
 
@@ -27,11 +27,21 @@ CARRY = (
 
 
 def model_matrix(
-    trips: DataFrame, static: StaticTables, tier: str, key: Sequence[str], carry: Sequence[str] = CARRY
+    trips: DataFrame,
+    static: StaticTables,
+    tier: str,
+    key: Sequence[str],
+    carry: Sequence[str] = CARRY,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Sampling comes first, so only the sampled requests are shuffled; the zone state still sees all trips."""
+    """Sampling comes first, so only the sampled requests are shuffled; the zone state still sees all trips.
+
+    With ``names`` only these features are built, and trips meet the zone state only if one of them reads it.
+    """
     sampled = trips.filter(F.col("split").isin(*MODEL_SPLITS) & in_tier(key_hash(trips, key), tier))
-    return feature_frame(sampled, static, zone_state(trips), carry)
+    registry = default_registry()
+    state = zone_state(trips) if any(f.reads_zone_state for f in registry.pick(names)) else None
+    return feature_frame(sampled, static, state, carry, names, registry)
 
 
 def write_model_matrix(matrix: DataFrame, path: str) -> None:

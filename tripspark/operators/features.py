@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +17,7 @@ from tripspark.functions import clock, vectors
 from tripspark.functions.scores import clip_low
 from tripspark.operators.lookups import join_lookup
 from tripspark.operators.zone_state import attach_state
+from tripspark.session import materialize
 from tripspark.vocab import BOROUGH_IDS, EVAL_ONLY_COLUMNS, POST_HOC_COLUMNS, WEATHER_COLUMNS, WINDOWS_MIN
 
 FAMILIES = ("route", "temporal", "congestion", "zone", "weather")
@@ -32,6 +34,10 @@ class Feature:
     def column(self) -> Column:
         return self.expression.cast(self.dtype).alias(self.name)
 
+    @property
+    def reads_zone_state(self) -> bool:
+        return any(key.startswith("cong:") for key in self.live_keys)
+
 
 class Registry:
     """Features in registration order; names are unique."""
@@ -184,30 +190,35 @@ class StaticTables:
     embeddings: DataFrame
     history: DataFrame
 
+    @cached_property
     def pair_lookup(self) -> DataFrame:
+        """Written, like the tables it is made of: of a join the planner only has a guess, and would shuffle trips for it."""
         pairs = ["pu_zone", "do_zone"]
         routed = self.matrix.select(
             *pairs, "route_distance_m", "free_flow_duration_s", "turn_count", "highway_fraction"
         )
-        return routed.join(self.detour, pairs, "left")
+        return materialize(routed.join(self.detour, pairs, "left"), "pair-lookup")
 
+    @cached_property
     def zone_lookup(self) -> DataFrame:
+        """Written, as pairs are."""
         ids = F.create_map(*[F.lit(x) for pair in BOROUGH_IDS.items() for x in pair])
         known = F.when(F.col("borough").isNotNull(), F.try_element_at(ids, F.col("borough")))
         zones = self.zones.select(
             "zone_id", "area_km2", "is_airport", F.coalesce(known, F.lit(0)).alias("borough_id")
         )
         history = self.history.select("zone_id", "hist_mean_duration_s", "reference_speed_ms")
-        return zones.join(history, "zone_id", "left").join(
+        joined = zones.join(history, "zone_id", "left").join(
             self.embeddings.select("zone_id", "embedding"), "zone_id", "left"
         )
+        return materialize(joined, "zone-lookup")
 
 
 def add_lookups(requests: DataFrame, static: StaticTables) -> DataFrame:
     """Pair columns, then every zone column once for the pickup side and once for the drop-off side."""
     pairs = ["pu_zone", "do_zone"]
-    frame = join_lookup(requests, static.pair_lookup(), pairs)
-    by_zone = static.zone_lookup()
+    frame = join_lookup(requests, static.pair_lookup, pairs)
+    by_zone = static.zone_lookup
     for side in ("pu", "do"):
         renamed = by_zone.select(
             F.col("zone_id").alias(f"{side}_zone"),
@@ -218,7 +229,7 @@ def add_lookups(requests: DataFrame, static: StaticTables) -> DataFrame:
 
 
 def assemble(requests: DataFrame, static: StaticTables, state: DataFrame | None = None) -> DataFrame:
-    """All columns the features read. Without ``state`` the requests must carry the congestion columns."""
+    """All columns the features read. Without ``state`` the requests must carry the congestion columns, if any is read."""
     frame = attach_state(requests, state) if state is not None else requests
     return add_lookups(frame, static)
 

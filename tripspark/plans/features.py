@@ -136,8 +136,9 @@ for _name, _covers in (
 ):
 
     def _run(spark, sf, family=_name):
-        built = dataset.model_matrix(d.enriched(spark, sf), static_tables(spark, sf), "full", KEY)
-        return built.select("trip_id", *_shown(_family(spark, sf, family)))
+        names = _family(spark, sf, family)
+        built = dataset.model_matrix(d.enriched(spark, sf), static_tables(spark, sf), "full", KEY, names=names)
+        return built.select("trip_id", *_shown(names))
 
     query(f"{_name}_features", _covers, f"SELECT trip_id, {_shown_sql(_NAMES[_name])} FROM featured")(_run)
 
@@ -154,7 +155,8 @@ FROM enriched t LEFT JOIN p ON t.pu_zone = p.pu_zone AND t.do_zone = p.do_zone W
 def embedding_similarity_feature(spark, sf):
     """The similarity of pickup and drop-off zone, with vectors of full rank so that SQL can say what it must be."""
     tables = replace(static_tables(spark, sf), embeddings=reference.full_embeddings(spark, sf))
-    built = dataset.model_matrix(d.enriched(spark, sf), tables, "full", KEY)
+    names = ["zone_embedding_similarity"]
+    built = dataset.model_matrix(d.enriched(spark, sf), tables, "full", KEY, names=names)
     return built.select("trip_id", F.round(F.col("zone_embedding_similarity").cast("double"), 2).alias("similarity"))
 
 
