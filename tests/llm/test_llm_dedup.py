@@ -196,3 +196,16 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert got.columns == docs.columns
     assert sorted(r._row for r in got.collect()) == ["c", "d", "f", "g", "h", "h", "j", "k"]
     assert bottomk_dedup.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_components_of_stars_take_few_jobs(spark):
+    rows = [(100 * k, 100 * k + i) for k in range(20) for i in range(1, 30)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    spark.sparkContext.setJobGroup("components-of-stars", "components of stars")
+    try:
+        got = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {x: 100 * (x // 100) for x in [b for _, b in rows] + [a for a, _ in rows]}
+    # What is a star forest from the start needs no round.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components-of-stars")) <= 8

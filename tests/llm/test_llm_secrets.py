@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -127,3 +128,19 @@ def test_equal_digests_are_told_by_path_and_neighbours(docs):
     assert len(got) == len(rows)
     wrong = [(rows[r.doc_id - 90000], r.score) for r in got if int(r.is_secret) != want[r.doc_id - 90000]]
     assert len(wrong) <= len(rows) * 0.02, wrong[:10]
+
+
+def test_letter_transitions_are_one_literal_in_the_plan(spark):
+    words = spark.createDataFrame([("abba", 3), ("cab", 2), ("x", 9), ("Ab", 5)], "word string, n long")
+    table = forest._transition_table(words)
+    row = spark.range(1).select(table.alias("t"))
+    got = row.first()["t"]
+    after = {"a": 5, "b": 6}
+    assert len(got) == 676
+    assert got["ab"] == pytest.approx(math.log((5 + 0.5) / (after["a"] + 13)))
+    assert got["bb"] == pytest.approx(math.log((3 + 0.5) / (after["b"] + 13)))
+    assert got["zz"] == pytest.approx(math.log(0.5 / 13))
+    plan = row._jdf.queryExecution()
+    # Read once by the optimizer, not once a row; no node for each entry.
+    assert "from_json" not in plan.optimizedPlan().toString()
+    assert "ln(" not in plan.analyzed().toString().lower()

@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stars.where(enough)
     pairs = stars.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
     found = materialize(_confirm(_likely(pairs, classes, SKETCH), sets), "near")
-    joined = connected_components(found, "a", "b")
+    joined = materialize(connected_components(found, "a", "b"), "joined")
 
     member = lists.join(joined, F.col("rep") == F.col("node"), "left").drop("node")
     member = member.withColumn("component", F.coalesce("component", "rep"))
@@ -240,10 +240,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = filled.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi")
     same_id = rows.join(several, "doc_id").select("a", F.col("rep").alias("b"))
-    links = found.union(more).union(same_id)
+    # What is joined already comes in as stars, not as the links that made them.
+    links = joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more).union(same_id)
     component = materialize(connected_components(links, "a", "b"), "components")
     # The components are written; what they were found with is as large as the texts.
-    _discard(lists, sets, still, wide, around, found)
+    _discard(lists, sets, still, wide, around, found, joined)
     rows = rows.join(component, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )

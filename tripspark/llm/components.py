@@ -22,6 +22,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each child has one parent and no parent is a child; one pass over both ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("parents"), F.lit(False).alias("is_parent")).union(
+        edges.select("v", F.lit(0), F.lit(True))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("is_parent").alias("is_parent"))
+    chained = (F.col("parents") > 1) | ((F.col("parents") == 1) & F.col("is_parent"))
+    return nodes.agg(F.count_if(chained)).first()[0] == 0
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component) for every node of a link; component is the smallest node that links reach.
 
@@ -31,12 +41,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = materialize(edges.where("u <> v").distinct(), "links")
-    while True:
-        edges = materialize(_small_star(_large_star(edges).distinct()), "stars")
-        heads = edges.select(F.col("v").alias("u")).distinct()
-        # A finished star forest has one parent for each child, and no parent is a child.
-        chained = edges.join(heads, "u", "left_semi").limit(1).count()
-        if not chained and edges.count() == edges.select("u").distinct().count():
-            break
+    while not _is_star_forest(edges):
+        # The large star makes a row of each edge at most; its repeated rows go with those of the small star.
+        edges = materialize(_small_star(_large_star(edges)), "stars")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -11,6 +11,8 @@ text that holds one candidate, its path, and whether it is a secret.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -113,13 +115,14 @@ def _transition_table(words: DataFrame) -> Column:
     at = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
     pairs = plain.select("n", "word", at.alias("i")).select("n", F.expr("substring(word, i, 2)").alias("pair"))
     rows = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
-    entries = []
+    shares = {}
     for a in _LETTERS:
         after = sum(rows.get(a + b, 0) for b in _LETTERS)
-        for b in _LETTERS:
-            share = F.log(F.lit((rows.get(a + b, 0) + 0.5) / (after + 13.0)))
-            entries += [F.lit(a + b), share]
-    return F.create_map(*entries)
+        shares |= {a + b: (rows.get(a + b, 0) + 0.5) / (after + 13.0) for b in _LETTERS}
+    logs = F.transform(F.array(*map(F.lit, shares.values())), lambda share: F.log(share))
+    values = words.sparkSession.range(1).select(logs.alias("logs")).first()["logs"]
+    # Two expressions in the plans that carry the map, not two for each entry.
+    return F.from_json(F.lit(json.dumps(dict(zip(shares, values, strict=True)))), "map<string,double>")
 
 
 def _shares(value: Column) -> dict[str, Column]:
