@@ -126,3 +126,12 @@ STEP = {"distance": 500.0, "maneuver": {"type": "turn", "modifier": "left"}, "in
 def test_route_json(spark, payload, want):
     row = spark.createDataFrame([(json.dumps(payload),)], "j string").select(parse_route(F.col("j")).alias("r")).first()["r"]
     assert (None if row is None else tuple(row)) == want
+
+
+def test_a_route_text_is_parsed_once(spark):
+    """Four columns read the answer; the text must not be parsed for each of them and for each lambda inside."""
+    texts = spark.createDataFrame([('{"routes": []}',), (None,), ("no json",)], "j string")
+    route = texts.select(parse_route(F.col("j")).alias("r")).select("r.route_distance_m", "r.turn_count", "r.highway_fraction")
+    plan = route._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert [tuple(r) for r in route.collect()] == [(None, None, None)] * 3

@@ -32,8 +32,16 @@ def _on_motorway(step: Column) -> Column:
 
 
 def parse_route(payload: Column) -> Column:
-    """Struct of route_distance_m, free_flow_duration_s, turn_count, highway_fraction; null without a route."""
+    """Struct of route_distance_m, free_flow_duration_s, turn_count, highway_fraction; null without a route.
+
+    What a lambda is given is computed once. An expression that several columns or lambdas read is computed in each of
+    them, and here that would be the parsing of the text.
+    """
     first = F.get(F.from_json(payload, ROUTE_SCHEMA)["routes"], F.lit(0))
+    return F.get(F.transform(F.array(first), _measured), F.lit(0))
+
+
+def _measured(first: Column) -> Column:
     no_steps = F.array().cast("array<struct<distance:double,maneuver:struct<type:string,modifier:string>,"
                               "intersections:array<struct<classes:array<string>>>>>")
     steps = F.coalesce(
