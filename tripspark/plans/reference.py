@@ -101,7 +101,7 @@ def embeddings(spark: SparkSession, sf: str, dims: int = 4) -> DataFrame:
         spark,
         sf,
         f"embeddings-{dims}",
-        lambda: ref.zone_embeddings(d.enriched(spark, sf), d.zones(spark, sf), dims),
+        lambda: ref.zone_embeddings(d.split_trips(spark, sf), d.zones(spark, sf), dims),
     )
 
 
@@ -232,7 +232,7 @@ def routed_zone_speed(spark, sf):
 
 @query("night_zone_speed", "A4", f"SELECT zone_id, {sql_rounded('night_speed_ms')}, night_trips FROM night")
 def night_zone_speed(spark, sf):
-    return ref.night_speed(d.enriched(spark, sf)).select("zone_id", *rounded("night_speed_ms"), "night_trips")
+    return ref.night_speed(d.split_trips(spark, sf)).select("zone_id", *rounded("night_speed_ms"), "night_trips")
 
 
 @query(

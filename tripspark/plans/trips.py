@@ -543,7 +543,7 @@ SELECT COUNT(*) AS cells, CAST(SUM(rows) AS BIGINT) AS rows, COUNT(*) FILTER (ro
        CAST(COALESCE(SUM(rows) FILTER (rows < 500), 0) AS BIGINT) AS rows_in_thin_cells, MIN(rows) AS smallest FROM g""",
 )
 def calibration_grid(spark, sf):
-    return card.grid_viability(d.enriched(spark, sf).filter("split = 'cal'"), 500)
+    return card.grid_viability(d.enriched_splits(spark, sf, ("cal",)), 500)
 
 
 @query(
@@ -554,7 +554,7 @@ def calibration_grid(spark, sf):
        ORDER BY rows, seg_time, seg_trip_length, seg_zone_density, seg_weather LIMIT 8""",
 )
 def thinnest_cells(spark, sf):
-    return card.thinnest_cells(d.enriched(spark, sf).filter("split = 'cal'"), 500)
+    return card.thinnest_cells(d.enriched_splits(spark, sf, ("cal",)), 500)
 
 
 # ---- flagship --------------------------------------------------------------------------------------------

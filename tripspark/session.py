@@ -87,14 +87,23 @@ def folder_stamp(spark: SparkSession, folder: str) -> str:
     return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
+def already_written(spark: SparkSession, scope: str, name: str) -> DataFrame | None:
+    """A table of ``written_once``, if this application has it and the folder's files didn't change since."""
+    known = _WRITTEN.get((spark.sparkContext.applicationId, scope, name))
+    if known is None or known[2] != folder_stamp(spark, scope) or not is_written(spark, known[0]):
+        return None
+    return spark.read.schema(known[1]).parquet(known[0])
+
+
 def written_once(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
 ) -> DataFrame:
     """A table derived from the folder ``scope`` that many jobs read: written by the first of them in this application,
     and again if the shared folder was emptied or the folder's files changed since."""
-    key, stamp = (spark.sparkContext.applicationId, scope, name), folder_stamp(spark, scope)
-    if key not in _WRITTEN or _WRITTEN[key][2] != stamp or not is_written(spark, _WRITTEN[key][0]):
-        table = build()
-        _WRITTEN[key] = (_write(table, name, partition_by), table.schema, stamp)
-    path, schema, _ = _WRITTEN[key]
-    return spark.read.schema(schema).parquet(path)
+    found = already_written(spark, scope, name)
+    if found is not None:
+        return found
+    stamp, table = folder_stamp(spark, scope), build()
+    path = _write(table, name, partition_by)
+    _WRITTEN[spark.sparkContext.applicationId, scope, name] = (path, table.schema, stamp)
+    return spark.read.schema(table.schema).parquet(path)
