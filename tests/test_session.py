@@ -55,3 +55,20 @@ def test_flagship_runs_on_the_smallest_tables(spark):
     out = driver.entry(spark)
     assert out.columns and out.count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_queries_over_one_split_or_plain_trips_dont_write_all_enriched_trips(spark, tmp_path):
+    """They give the same rows whether the application has the enriched trips or not."""
+    from tripspark.sources import driver_tables as d
+
+    scope = str(tmp_path / "tables")
+    shutil.copytree("/root/testdata/sf0.001", scope)
+    names = ("night_zone_speed", "zone_embeddings", "thinnest_cells", "mondrian_conformal_fit")
+    found = lambda: [sorted(map(repr, catalog.load()[n].run(spark, scope).collect())) for n in names]
+    alone = found()
+    assert session.already_written(spark, scope, "enriched") is None
+    whole, part = d.enriched(spark, scope).filter("split = 'cal'"), d.enriched_splits(spark, scope, ("cal",))
+    assert part.count() == whole.count() > 0 and part.exceptAll(whole).isEmpty()
+    for key in [k for k in session._WRITTEN if k[1] == scope and k[2] not in ("enriched", "trips")]:
+        del session._WRITTEN[key]
+    assert found() == alone
