@@ -263,3 +263,51 @@ def test_thresholds_stand_at_even_ranks_of_known_values(spark):
     ranks = np.searchsorted(known, half, "right") / len(known)
     assert np.abs(ranks - np.arange(1, bt.BINS - 1) / (bt.BINS - 1)).max() < 0.001
     assert few == (0.0, 1.0, 2.0, 3.0, 4.0) and none == ()
+
+
+def test_rows_are_written_one_by_one_and_removed(spark, rows, monkeypatch):
+    """A reader of files holds thousands of rows at once, so what is written between rounds are rows and no blocks; a fit
+    that goes on from them is the same, and leaves no files behind."""
+    import os
+
+    task = bt.Task("a", 0.75, bt.BoostParams(rounds=4, rate=0.5, leaves=8, depth=3, min_rows=20, row_share=0.7))
+    whole = bt.fit(rows, [task])["a"]
+    seen, written = [], bt.written
+
+    def noted(table, name):
+        out, path = written(table, name)
+        seen.append((out.count(), max(len(r["p"]) for r in out.select("p").collect()), path.removeprefix("file:")))
+        return out, path
+
+    monkeypatch.setattr(bt, "written", noted)
+    monkeypatch.setattr(bt, "WRITE_EVERY", 2)
+    cut = bt.fit(rows, [task])["a"]
+    assert [(n, size) for n, size, _ in seen] == [(5500, 8)] * 2
+    assert not any(os.path.exists(path) for _, _, path in seen)
+    assert cut.losses == pytest.approx(whole.losses, rel=1e-12) and len(cut.trees) == len(whole.trees)
+    for s, t in zip(cut.trees, whole.trees, strict=True):
+        assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and (s.value == t.value).all()
+
+
+def test_rows_of_spark_stay_small_whatever_the_models(spark):
+    """A block of many models is still some hundred KB."""
+    n = 20_000
+    frame = spark.range(0, n, 1, 1).select(
+        F.col("id").alias("trip_id"), F.rand(1).alias("f1"), F.rand(2).alias("f2"), F.rand(3).alias(TARGET)
+    )
+    blocks = bt._in_blocks(bt.prepare(frame, None, FEATURES, "trip_id"), [TARGET], [0.5] * 24).collect()
+    assert sum(len(b["key"]) for b in blocks) == 8 * n
+    assert max(sum(len(b[c]) for c in ("key", "y", "bins", "p", "signs")) for b in blocks) < 1 << 18
+
+
+def test_tree_walk_is_the_same_for_all_rows_at_once():
+    tree = bt.Tree(
+        np.array([1, 0, -1, -1, -1], np.int32), np.zeros(5, np.int32), np.array([0.5, -1.0, 0.0, 0.0, 0.0]),
+        np.array([1, 3, 0, 0, 0], np.int32), np.array([2, 4, 0, 0, 0], np.int32), np.array([0.0, 0.0, 7.0, 1.0, 2.0]),
+        np.zeros(5, np.int64),
+    )
+    table = np.array([[0.0, 0.4], [-3.0, 0.5], [0.0, 0.6], [np.nan, 0.1], [5.0, np.nan]])
+    assert tree.leaves(table, tree.threshold).tolist() == [4, 3, 2, 3, 4]
+    total = np.ones(5)
+    tree.add_to(total, table, tree.threshold)
+    assert total.tolist() == [3.0, 2.0, 8.0, 2.0, 3.0]
