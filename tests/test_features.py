@@ -149,3 +149,17 @@ def test_trips_are_not_shuffled_for_lookups(spark, sf_dir):
     for name in ("embedding_similarity_feature", "zone_features"):
         plan = catalog.load()[name].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_matrix_is_written_from_where_its_rows_are(spark, tmp_path):
+    """A folder per split without a shuffle of the whole matrix: every task writes its own rows of a split."""
+    from pathlib import Path
+
+    from tripspark.operators import dataset
+
+    split = F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split")
+    matrix = spark.range(0, 4000, 1, 4).select(F.col("id").alias("trip_id"), split)
+    dataset.write_model_matrix(matrix, path := str(tmp_path / "matrix"))
+    assert len(list(Path(path, "split=train").glob("*.parquet"))) == 4
+    found = {s: {r["trip_id"] for r in dataset.load_split(spark, path, s).collect()} for s in ("train", "val")}
+    assert found["val"] == set(range(0, 4000, 10)) and found["train"] == set(range(4000)) - found["val"]

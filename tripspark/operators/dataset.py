@@ -45,7 +45,9 @@ def model_matrix(
 
 
 def write_model_matrix(matrix: DataFrame, path: str) -> None:
-    matrix.hint("rebalance", "split").write.partitionBy("split").option("compression", "zstd").parquet(path)
+    """A folder per split, written by each task from the rows it has: a split of nearly all rows is many files without
+    another shuffle of the whole matrix."""
+    matrix.write.partitionBy("split").option("compression", "zstd").parquet(path)
 
 
 def load_split(spark, path: str, split: str) -> DataFrame:
