@@ -155,8 +155,6 @@ def test_matrix_is_written_from_where_its_rows_are(spark, tmp_path):
     """A folder per split without a shuffle of the whole matrix: every task writes its own rows of a split."""
     from pathlib import Path
 
-    from tripspark.operators import dataset
-
     split = F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split")
     matrix = spark.range(0, 4000, 1, 4).select(F.col("id").alias("trip_id"), split)
     dataset.write_model_matrix(matrix, path := str(tmp_path / "matrix"))
